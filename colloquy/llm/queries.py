@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import token_counts
+from . import exact_dedup, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,5 +18,46 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op10_token_counts": op10_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_read(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op5_warc": op5_warc,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_counts": op10_token_counts,
+}
+
+ORACLE_SQL = {
+    "op5_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ), g AS (
+            SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+        ), b AS (
+            SELECT *, list_reduce(list_transform(range(40), lambda i:
+                lpad(bin(strpos('0123456789abcdef', substr(hex, CAST(i + 1 AS INT), 1)) - 1), 4, '0')),
+                lambda x, y: x || y) AS bits
+            FROM g
+        )
+        SELECT page_id, strlen(html) AS payload_bytes,
+               list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + list_sum(list_transform(range(5), lambda k:
+                       CAST(substr(bits, CAST(5 * i + k + 1 AS INT), 1) AS INT) * CAST(pow(2, 4 - k) AS INT))) AS INT), 1)),
+                   lambda x, y: x || y) AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM b""",
+    "op7_exact_dedup": r"""
+        WITH n AS (
+            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+        )
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM n WINDOW w AS (PARTITION BY t)""",
+}
