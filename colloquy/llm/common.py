@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 #: White space of every word contract; all other bytes belong to words.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -21,7 +20,10 @@ def words_of(text: str | None) -> list[str]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, unchanged; none for null."""
     if not text:
         return []
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
+    for c in "\t\n\x0b\x0c\r":
+        if c in text:
+            text = text.replace(c, " ")
+    return list(filter(None, text.split(" ")))
 
 
 def lower_ascii(text: str) -> str:

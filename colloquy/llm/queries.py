@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts, warc
+from . import exact_dedup, packing, quality, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,22 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """The quality model, learned from rows whose remainder by 5 is not 0."""
+    labels = _read(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return quality.train(_read(spark, sf_dir, "documents"), labels)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(_read(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -34,6 +50,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op5_warc": op5_warc,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
