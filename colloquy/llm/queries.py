@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality, token_counts, warc
+from . import exact_dedup, packing, quality, token_counts, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     return quality.train(_read(spark, sf_dir, "documents"), labels)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").where(_remainder(4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    docs = _read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(_read(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -49,6 +56,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
