@@ -80,7 +80,7 @@ def row_ids(df: DataFrame, name: str = "_row") -> DataFrame:
 
 
 def first_of_group(rows: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Joins to every row the smallest id and the size of its (binary) key's group.
+    """Joins to every row the smallest id and the size of its key's group.
 
     The group side is aggregated map-side first, so a key that holds a third
     of all rows arrives as one partial row per task. Its output is projected
@@ -88,5 +88,7 @@ def first_of_group(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     adaptive execution can then split a hot key's rows over many tasks.
     """
     groups = rows.groupBy(key).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.concat(F.col(key), F.lit(b"")).alias("_group_key"), "first_id", "group_size")
-    return rows.join(groups, rows[key] == groups["_group_key"], "left").drop("_group_key")
+    again = (lambda c: F.concat(c, F.lit(b""))) if dict(rows.dtypes)[key] == "binary" else F.hex
+    groups = groups.select(again(F.col(key)).alias("_group_key"), "first_id", "group_size")
+    mine = rows[key] if again is not F.hex else F.hex(rows[key])
+    return rows.join(groups, mine == groups["_group_key"], "left").drop("_group_key")
