@@ -101,8 +101,8 @@ def _document_frequencies(hot):
                         row.append(r), doc.append(None), size.append(None), total.append(0), unit.append(u), freq.append(f)
                     else:
                         known += n * f
-                # a key of its own, so that these rows spread in the join
-                row.append(r), doc.append(d), size.append(len(text.encode())), total.append(known), unit.append(f"\x00{r}"), freq.append(0)
+                # a key of its own, which no unit equals, so that these rows spread in the join
+                row.append(r), doc.append(d), size.append(len(text.encode())), total.append(known), unit.append(f" {r}"), freq.append(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(unit, pa.string()), pa.array(freq, pa.int64())],
                 ["row", "doc_id", "n_bytes", "known", "unit", "freq"],
