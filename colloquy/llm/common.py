@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LATIN = [chr(c) for c in range(0x250)]
+#: Letters and numbers below U+0250, as the inside of a character class.
+LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
+NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
+#: Characters whose normalisation or class may depend on a Unicode version.
+OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
 
 
 def words_of(text: str | None) -> list[str]:

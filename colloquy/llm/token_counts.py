@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import sys
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,22 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_ids, table
+from .common import LETTERS, NUMBERS, OTHER, WORD, row_ids, table
 
 #: Pre-tokens in the broadcast table: at most 2^17 strings, whatever the input.
 HOT = 1 << 17
 #: A task's counter is emitted and emptied at this many entries.
 FLUSH = 200_000
 
-_LATIN = [chr(c) for c in range(0x250)]
-_L = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
-_N = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
 #: The tokenizer's own split pattern, over the characters of the fast path.
-_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-#: Characters whose normalisation or class may depend on a Unicode version.
-_OTHER = re.compile("[^\t-\r\x20-\x7e\xa1-įı-ɏ]")
+_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
 _SPECIAL = "<|"
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def pre_tokens(text: str | None) -> list[str]:
@@ -46,11 +39,11 @@ def pre_tokens(text: str | None) -> list[str]:
     """
     if not text:
         return []
-    if _SPECIAL not in text and not _OTHER.search(text):
+    if _SPECIAL not in text and not OTHER.search(text):
         return _PRE.findall(text.lower())
     units: list[str] = []
-    for word in _CHUNK.findall(text):
-        if _SPECIAL in word or _OTHER.search(word):
+    for word in WORD.findall(text):
+        if _SPECIAL in word or OTHER.search(word):
             units.append(word)
         else:
             units += _PRE.findall(word.lower())
