@@ -77,7 +77,13 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # the written table replaces the shuffle files
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
     return spark.read.schema(df.schema).parquet(path)
 
 

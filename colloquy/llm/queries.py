@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_model, packing, quality, simhash, token_counts, toxicity, warc
+from . import decontamination, exact_dedup, language_model, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
@@ -88,6 +93,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ), win AS (
+            SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)
+        ), rep AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+        ), gone AS (
+            SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM rep) GROUP BY doc_id
+        ), kept AS (
+            SELECT w.doc_id, ws, coalesce(ps, []) AS ps FROM w LEFT JOIN gone USING (doc_id)
+        ), flat AS (
+            SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM kept)
+            ANTI JOIN (SELECT doc_id, unnest(ps) AS i FROM gone) g USING (doc_id, i)
+        ), joined AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM flat GROUP BY doc_id
+        )
+        SELECT kept.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM kept LEFT JOIN joined USING (doc_id)""",
     "op5_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
