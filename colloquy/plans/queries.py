@@ -1,0 +1,71 @@
+"""Queries over the derived corpus, one or more per operator."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..corpus import Corpus, derive
+from ..operators import chunking, extraction
+from .oracle import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, body: str | None = None, extra: dict[str, str] | None = None):
+    """Registers a function of a corpus under ``name``, with its SQL."""
+
+    def register(f: Callable[[Corpus], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(derive(spark, sf_dir))
+        if body is not None:
+            ORACLE_SQL[name] = sql(body, extra)
+        return f
+
+    return register
+
+
+@query("c01_cuts", "SELECT conversation_id, array_to_string(raw_cuts, ',') AS raw_cuts FROM raw")
+def _(c: Corpus) -> DataFrame:
+    return chunking.boundaries(c.messages).select("conversation_id", F.array_join("raw_cuts", ",").alias("raw_cuts"))
+
+
+@query("c02_merge", "SELECT conversation_id, array_to_string(cuts, ',') AS cuts FROM cut")
+def _(c: Corpus) -> DataFrame:
+    return chunking.boundaries(c.messages).select("conversation_id", F.array_join("cuts", ",").alias("cuts"))
+
+
+@query("c03_chunks", "SELECT * FROM chk")
+def _(c: Corpus) -> DataFrame:
+    return c.chunks
+
+
+for _kind in ("project", "decision", "open_loop", "preference", "artifact", "entity"):
+    _n = {"project": "e01", "decision": "e02", "open_loop": "e03", "preference": "e04", "artifact": "e05", "entity": "e06"}[_kind]
+
+    @query(f"{_n}_{_kind}", f"SELECT conversation_id, ordinal, title, description, excerpt, canonical_key FROM hit WHERE kind = '{_kind}'")
+    def _(c: Corpus, kind: str = _kind) -> DataFrame:
+        return c.hits.where(F.col("kind") == kind).select("conversation_id", "ordinal", "title", "description", "excerpt", "canonical_key")
+
+
+@query("e07_provenance", "SELECT * FROM prov")
+def _(c: Corpus) -> DataFrame:
+    return c.provenance
+
+
+@query("m04_upsert", "SELECT * FROM obj")
+def _(c: Corpus) -> DataFrame:
+    return c.objects
+
+
+@query("e08_scores", "SELECT conversation_id, importance_score, resurfacing_score, has_open_loops, summary_short FROM conv")
+def _(c: Corpus) -> DataFrame:
+    return c.conversations.select("conversation_id", "importance_score", "resurfacing_score", "has_open_loops", "summary_short")
+
+
+@query("a13_acronyms", "SELECT conversation_id, token, CAST(n AS BIGINT) AS n FROM acro")
+def _(c: Corpus) -> DataFrame:
+    seen = c.messages.join(c.base.where("state IN ('indexed', 'private')"), "conversation_id", "left_semi")
+    return extraction.acronyms(seen).select("conversation_id", "token", "n")
