@@ -41,7 +41,8 @@ def bm25(rows: DataFrame, key: str, texts: tuple[str, ...], query: str) -> DataF
     """
     terms = query_terms(query)
     tokens = rows.select(key, F.concat(*[X.index_tokens(F.col(t)) for t in texts]).alias("t"))
-    counted = tokens.select(key, F.size("t").alias("len"), *[F.size(F.filter("t", lambda w, x=x: w == x)).alias(f"f{k}") for k, x in enumerate(terms)])
+    times = lambda x: F.size(F.filter("t", lambda w: w == x))
+    counted = tokens.select(key, F.size("t").alias("len"), *[times(x).alias(f"f{k}") for k, x in enumerate(terms)])
     if not terms:
         return counted.where(F.lit(False)).select(key, F.lit(0.0).alias("bm25"))
     totals = counted.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])

@@ -153,4 +153,5 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
     need(body)
     if not order:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{x} AS ({parts[x]})" for x in order) + "\n" + body
+    own = body.removeprefix("WITH ")
+    return "WITH RECURSIVE " + ",\n".join(f"{x} AS ({parts[x]})" for x in order) + (",\n" if own != body else "\n") + own
