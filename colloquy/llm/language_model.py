@@ -118,17 +118,15 @@ def _company(index, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = index.value
         sums = np.zeros((n + 1) * (CONTEXTS + 1))
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = tokens_of(text)
-                ids = np.fromiter(map(look.__getitem__, words), np.int64, len(words))
-                near = np.minimum(ids, CONTEXTS)
-                for gap in range(1, 5):
-                    if len(ids) > gap:
-                        keys = np.concatenate([ids[gap:] * (CONTEXTS + 1) + near[:-gap], ids[:-gap] * (CONTEXTS + 1) + near[gap:]])
-                        keep = keys % (CONTEXTS + 1) != CONTEXTS
-                        sums += np.bincount(keys[keep], minlength=len(sums))
-                # a bincount per text would touch all of sums: fine for texts of this size only
+        for group in _groups((x for batch in batches for x in batch.column(0).to_pylist()), 16 * STEP_TOKENS):
+            ids = np.fromiter((look[w] for words in group for w in words), np.int64)
+            doc = np.repeat(np.arange(len(group)), [len(words) for words in group])
+            near = np.minimum(ids, CONTEXTS)
+            for gap in range(1, 5):
+                same = doc[gap:] == doc[:-gap]
+                for a, b in ((ids[gap:], near[:-gap]), (ids[:-gap], near[gap:])):
+                    keep = same & (b < CONTEXTS)
+                    sums += np.bincount(a[keep] * (CONTEXTS + 1) + b[keep], minlength=len(sums))
         yield _blocks(sums, 1)
 
     return run
@@ -191,12 +189,15 @@ class Vocabulary:
 def vocabulary(words: list[str], counts: np.ndarray, known: np.ndarray) -> Vocabulary:
     """Tables from the hot words, their counts and the topics of the first of them."""
     ending = endings(words[: len(known)], known, counts[: len(known)])
-    v = Vocabulary(dict(zip(words, range(len(words)), strict=True)), counts, np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), ending, 0, np.zeros(0, np.int64))
+    if not words:  # nothing is known: one entry that no word has
+        counts = np.zeros(1)
+    n = len(counts)
+    v = Vocabulary(dict(zip(words, range(len(words)), strict=True)), counts, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), ending, 0, np.zeros(0, np.int64))
     v.topic[: len(known)] = known
-    v.topic[len(known) :] = [v.topic_of(w) for w in words[len(known) :]]
+    v.topic[len(known) : len(words)] = [v.topic_of(w) for w in words[len(known) :]]
     sizes: list[int] = []
     for t in range(TOPICS):
-        mine = np.flatnonzero(v.topic[:HEAD] == t)
+        mine = np.flatnonzero(v.topic[: min(HEAD, len(words))] == t)
         for at in range(0, len(mine), WIDTH):
             part = mine[at : at + WIDTH]
             v.klass[part], v.member[part] = len(sizes), np.arange(len(part))

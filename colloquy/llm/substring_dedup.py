@@ -131,6 +131,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ranked(docs: DataFrame) -> DataFrame:
     """Adds rank (order of doc_id, nulls last) and stamp (tells apart rows of one doc_id)."""
+    docs = docs.select("doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
     low, high = known.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
