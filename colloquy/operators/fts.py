@@ -7,6 +7,7 @@ indexed, also what a query may not show. All terms of a query must occur.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,40 @@ def bm25(rows: DataFrame, key: str, texts: tuple[str, ...], query: str) -> DataF
     return joined.select(key, sum((part(k) for k in range(1, len(terms))), part(0)).alias("bm25"))
 
 
+@dataclass
+class Index:
+    """A stored index: postings (key, term, tf) and lengths (key, len), written once, read by term.
+
+    Written partitioned or sorted by term, a query reads its terms' postings
+    only. A changed row is taken out by its key and put in anew.
+    """
+
+    postings: DataFrame
+    lengths: DataFrame
+    key: str
+
+    def without(self, keys: DataFrame) -> Index:
+        """The index without some rows (all three parts of a conversation go alike)."""
+        return Index(self.postings.join(keys, self.key, "left_anti"), self.lengths.join(keys, self.key, "left_anti"), self.key)
+
+    def refreshed(self, rows: DataFrame, *texts: str) -> Index:
+        """The index with these rows as they are now."""
+        rest = self.without(rows.select(self.key))
+        return Index(rest.postings.unionByName(postings(rows, self.key, *texts)), rest.lengths.unionByName(lengths(rows, self.key, *texts)), self.key)
+
+    def search(self, query: str) -> DataFrame:
+        """key, bm25 of the rows that hold every term."""
+        terms = query_terms(query)
+        totals = self.lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len"))
+        found = self.postings.where(F.col("term").isin(*terms) if terms else F.lit(False))
+        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per query term
+        rows = found.join(F.broadcast(df), "term").join(self.lengths, self.key).crossJoin(F.broadcast(totals))  # one row
+        idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        scored = rows.groupBy(self.key).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("_n"))
+        return scored.where(F.col("_n") == len(terms)).drop("_n")
+
+
 def snippet(text: Column, query: str, width: int = 16) -> Column:
     """Words around the first match, which stands in brackets."""
     terms = query_terms(query)

@@ -75,6 +75,26 @@ def health(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, obj
     return out
 
 
+def audit_conversations(conversations: DataFrame, objects: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Each conversation with its state and what was derived from it."""
+    links = provenance.join(objects.select("object_id", "kind"), "object_id").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_links"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return conversations.join(links, "conversation_id", "left").select("conversation_id", "state", "message_count", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+def audit_objects(conversations: DataFrame, objects: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Each object with its links and the states of the conversations behind them."""
+    rows = provenance.join(conversations.select("conversation_id", F.col("state").alias("_state")), "conversation_id")
+    links = rows.groupBy("object_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(in_states("_state", VISIBLE)).alias("n_visible"), F.array_join(F.array_sort(F.collect_set("_state")), ",").alias("states"))
+    return objects.join(links, "object_id").select("object_id", "kind", "title", "n_links", "n_visible", "states")
+
+
+def overview(conversations: DataFrame, objects: DataFrame, provenance: DataFrame, states: tuple[str, ...] = VISIBLE) -> DataFrame:
+    """section, name, n: conversations by state and by source, visible objects by kind."""
+    count = lambda df, column, section: df.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), "name", "n")
+    shown = search.visible_objects(objects, provenance, conversations, states)
+    return count(conversations, "state", "state").unionByName(count(conversations, "source", "source")).unionByName(count(shown, "kind", "kind"))
+
+
 # ---- workbook sheets: DataFrames with fixed columns
 
 

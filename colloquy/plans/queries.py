@@ -8,14 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..assist import registers, sampling
+from ..assist import registers, sampling, tasks
 from ..corpus import NOW, Corpus, derive
 from ..functions import text as X
 from ..operators import chunking, cluster, extraction, fts, lifecycle, rules, search, vectors, views
 from ..operators import query as querylang
 from ..schema import KINDS, SEARCHABLE, VISIBLE, in_states
 from ..sources import ingest
-from .oracle import first_line, sql, words
+from .oracle import first_line, quoted, sql, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -170,10 +170,10 @@ def _(c: Corpus) -> DataFrame:
     return c.base.where(in_states("state", VISIBLE)).join(group, "conversation_id", "left_anti").select("conversation_id")
 
 
-@query("j06_orphans", "SELECT object_id, kind FROM obj WHERE object_id NOT IN (SELECT object_id FROM prov JOIN conv0 USING (conversation_id) WHERE state = 'private')")
+@query("j06_orphans", "SELECT object_id, kind FROM obj WHERE object_id NOT IN (SELECT object_id FROM prov JOIN conv0 USING (conversation_id) WHERE conv_id % 50 = 6)")
 def _(c: Corpus) -> DataFrame:
-    private = search.visible_provenance(c.provenance, c.base, ("private",))
-    return lifecycle.orphans(c.objects, private).select("object_id", "kind")
+    few = c.provenance.where(F.substring("conversation_id", 6, 6).cast("int") % 50 == 6)
+    return lifecycle.orphans(c.objects, few).select("object_id", "kind")
 
 
 @query("j09_meta_left", "SELECT conversation_id, title, dominant_register FROM conv0 LEFT JOIN (SELECT * FROM reg WHERE dominant_register IS NOT NULL) USING (conversation_id)")
@@ -601,9 +601,9 @@ for _kind in ("decision", "open_loop", "entity", "project"):
         return search.list_objects(kind, c.objects, c.provenance, c.base, c.register)
 
 
-@query("v01_filtered", f"SELECT object_id, title, description FROM obj WHERE kind = 'decision' AND object_id IN (SELECT object_id FROM prov JOIN conv0 USING (conversation_id) JOIN reg USING (conversation_id) WHERE state = 'indexed' AND dominant_register = 'roleplay' AND source = 'claude' AND {SHOWN_TIME} >= 1704153600)")
+@query("v01_filtered", f"SELECT object_id, title, description FROM obj WHERE kind = 'decision' AND object_id IN (SELECT object_id FROM prov JOIN conv0 USING (conversation_id) JOIN reg USING (conversation_id) WHERE state = 'indexed' AND dominant_register = 'roleplay' AND source = 'chatgpt' AND {SHOWN_TIME} >= 1704153600)")
 def _(c: Corpus) -> DataFrame:
-    return search.list_objects("decision", c.objects, c.provenance, c.base, c.register, registers=("roleplay",), after=1704153600.0, sources=("claude",))
+    return search.list_objects("decision", c.objects, c.provenance, c.base, c.register, registers=("roleplay",), after=1704153600.0, sources=("chatgpt",))
 
 
 @query("v02_project_view", f"SELECT kind, count(*) AS n, string_agg(title, '; ' ORDER BY title) AS titles FROM (WITH v AS (SELECT DISTINCT object_id, conversation_id FROM ({VP})) SELECT DISTINCT object_id, kind, title FROM v JOIN obj USING (object_id) WHERE conversation_id IN (SELECT conversation_id FROM v WHERE object_id = '{ATLAS_ID}') AND v.object_id <> '{ATLAS_ID}') GROUP BY 1")
@@ -760,7 +760,7 @@ def _(c: Corpus) -> DataFrame:
 # ---- register signals and hashes
 
 
-@query("g05_heuristic_register", "SELECT conversation_id, CASE " + " ".join(f"WHEN list_bool_or(list_transform({registers.SIGNALS[r]!r}, lambda s: contains(t, s))) THEN '{r}'" for r in registers.SIGNALS) + " END AS register FROM (SELECT conversation_id, lower(concat_ws(' ', any_value(title), string_agg(left(content_text, 500), ' ' ORDER BY ordinal) FILTER (WHERE k <= 6 AND role = 'user'))) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ordinal) AS k FROM msg) JOIN conv0 USING (conversation_id) GROUP BY 1)")
+@query("g05_heuristic_register", "SELECT conversation_id, CASE " + " ".join(f"WHEN list_bool_or(list_transform({quoted(registers.SIGNALS[r])}, lambda s: contains(t, s))) THEN '{r}'" for r in registers.SIGNALS) + " END AS register FROM (SELECT conversation_id, lower(concat_ws(' ', any_value(title), string_agg(left(content_text, 500), ' ' ORDER BY ordinal) FILTER (WHERE k <= 6 AND role = 'user'))) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ordinal) AS k FROM msg) JOIN conv0 USING (conversation_id) GROUP BY 1)")
 def _(c: Corpus) -> DataFrame:
     return registers.heuristic(c.base, c.messages)
 
@@ -775,3 +775,74 @@ def _(c: Corpus) -> DataFrame:
     prints = ingest.fingerprints(c.base.select("conversation_id", "source", F.col("conversation_id").alias("source_conversation_id"), "title"), c.messages)
     known = prints.where(F.substring("conversation_id", 6, 6).cast("int") % 4 == 0).select("fingerprint")
     return ingest.outcomes(prints, known).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- audits, screens, the stored index
+
+
+@query("v05_audit_conversation", "SELECT conversation_id, state, message_count, coalesce(n, 0) AS n_links, coalesce(kinds, '') AS kinds FROM conv0 LEFT JOIN (SELECT conversation_id, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM prov JOIN obj USING (object_id) GROUP BY 1) USING (conversation_id)")
+def _(c: Corpus) -> DataFrame:
+    return views.audit_conversations(c.base, c.objects, c.provenance)
+
+
+@query("v05_audit_object", "SELECT object_id, kind, title, count(*) AS n_links, count(*) FILTER (WHERE c.state = 'indexed') AS n_visible, string_agg(DISTINCT c.state, ',' ORDER BY c.state) AS states FROM obj JOIN prov USING (object_id) JOIN (SELECT conversation_id, state FROM conv0) c USING (conversation_id) GROUP BY 1, 2, 3")
+def _(c: Corpus) -> DataFrame:
+    return views.audit_objects(c.base, c.objects, c.provenance)
+
+
+@query("v08_overview", f"SELECT 'state' AS section, state AS name, count(*) AS n FROM conv0 GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM conv0 GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM obj WHERE object_id IN (SELECT object_id FROM ({VP})) GROUP BY 2")
+def _(c: Corpus) -> DataFrame:
+    return views.overview(c.base, c.objects, c.provenance)
+
+
+@query("j13_classified_messages", f"SELECT conversation_id, ordinal, register FROM ({CLASSIFIED}) WHERE register IS NOT NULL AND role = 'user'")
+def _(c: Corpus) -> DataFrame:
+    labels = _classified(c).where("register IS NOT NULL").select("message_id", "register")
+    return c.messages.where("role = 'user'").join(labels, "message_id").select("conversation_id", "ordinal", "register")
+
+
+@query("j16_scalar_subq", "SELECT conversation_id, (SELECT count(*) FROM chk k WHERE k.conversation_id = c.conversation_id) AS chunk_count, (SELECT arg_min(content_text, ordinal) FROM msg m WHERE m.conversation_id = c.conversation_id AND role = 'user') AS first_user FROM conv0 c")
+def _(c: Corpus) -> DataFrame:
+    sizes = c.chunks.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    first = c.messages.where("role = 'user'").groupBy("conversation_id").agg(F.min_by("content_text", "ordinal").alias("first_user"))
+    return c.base.select("conversation_id").join(sizes, "conversation_id", "left").join(first, "conversation_id", "left").select("conversation_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "first_user")
+
+
+@query("f01_postings", "SELECT message_id, term, count(*) AS tf FROM (SELECT message_id, unnest(list_concat(" + FOLD.format("content_text") + ", " + FOLD.format("role") + ")) AS term FROM emsg) GROUP BY 1, 2")
+def _(c: Corpus) -> DataFrame:
+    seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")
+    return fts.postings(seen, "message_id", "content_text", "role")
+
+
+@query("f02_indexed_bm25", f"SELECT message_id, round(bm25, 6) AS bm25 FROM ({bm25_sql('SELECT * FROM emsg', 'message_id', ('content_text', 'role'), 'the vendor')})")
+def _(c: Corpus) -> DataFrame:
+    seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")
+    index = fts.Index(fts.postings(seen, "message_id", "content_text", "role"), fts.lengths(seen, "message_id", "content_text", "role"), "message_id")
+    return index.search("the vendor").select("message_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("f05_snippets")
+def _(c: Corpus) -> DataFrame:
+    return c.messages.where(F.lower("content_text").contains("vendor")).select("message_id", fts.snippet(F.col("content_text"), "the vendor").alias("snippet"))
+
+
+@query("p09_query_terms", f"SELECT message_id FROM emsg WHERE list_contains({FOLD.format('content_text')}, 'open') AND list_contains({FOLD.format('content_text')}, 'question')")
+def _(c: Corpus) -> DataFrame:
+    seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")
+    return fts.bm25(seen, "message_id", ("content_text",), '"open" -question!').select("message_id")
+
+
+@query("g13_prompt_lines", "SELECT conversation_id, string_agg(role || ': ' || left(content_text, 800), chr(10) ORDER BY ordinal) FILTER (WHERE role IN ('user', 'assistant')) AS shown FROM msg GROUP BY 1")
+def _(c: Corpus) -> DataFrame:
+    lists = c.messages.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "role", "content_text"))).alias("m"))
+    return lists.select("conversation_id", F.nullif(sampling.transcript(F.col("m")), F.lit("")).alias("shown"))
+
+
+@query("g15_best_text", "SELECT conversation_id, concat_ws(': ', nullif(trim(title), ''), nullif(trim(summary_short), '')) AS best FROM conv")
+def _(c: Corpus) -> DataFrame:
+    return c.conversations.select("conversation_id", tasks.best_text(F.col("title"), F.col("summary_short")).alias("best"))
+
+
+@query("g12_profile", f"SELECT 'conversations' AS section, CAST(count(*) AS VARCHAR) AS line FROM conv0 WHERE state = 'indexed' UNION ALL SELECT 'registers', coalesce(dominant_register, 'other') || ': ' || count(*) FROM conv0 LEFT JOIN reg USING (conversation_id) WHERE state = 'indexed' GROUP BY coalesce(dominant_register, 'other') UNION ALL SELECT kind, title FROM obj WHERE object_id IN (SELECT object_id FROM ({VP})) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY title, object_id) <= 10")
+def _(c: Corpus) -> DataFrame:
+    return tasks.profile(c.base, c.objects, c.provenance, c.register)

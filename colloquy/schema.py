@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: States, and which of them may be shown, indexed or extracted.
 STATES = ("pending_review", "indexed", "private", "quarantined")
@@ -40,3 +41,9 @@ def in_states(column: str, states: tuple[str, ...]) -> Column:
 def allowed_transition(old: Column, new: Column) -> Column:
     """Any reviewed state to any other of them; same state is no transition."""
     return old.isin(*STATES) & new.isin(*STATES) & (old != new)
+
+
+def migrated(df: DataFrame, ddl: str) -> DataFrame:
+    """A table with every column of a schema: missing ones are null, others are cast."""
+    wanted = T._parse_datatype_string(ddl)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted.fields])
