@@ -39,7 +39,7 @@ START_BITS = 25
 RUN_BITS = 4
 RANK_BITS = 63 - START_BITS - RUN_BITS
 #: Anchors with more runs are dealt out window by window.
-HOT_RUNS = 20_000
+HOT_RUNS = 5_000
 #: Words in a shard's index.
 SHARD_WORDS = 400_000
 CACHE = 500_000
