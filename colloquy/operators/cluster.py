@@ -93,9 +93,9 @@ def kmeans(weights: DataFrame, k: int, key: str = "conversation_id", rounds: int
 def distinctive_terms(weights: DataFrame, labels: DataFrame, k: int = 5, key: str = "conversation_id") -> DataFrame:
     """cluster, term, margin, rank: weight less its mean over the other clusters, best k."""
     c = centroids(weights, labels, key)
-    n = labels.select(F.countDistinct("cluster").alias("n_clusters"))
+    n = labels.select(F.countDistinct("cluster").alias("n_clusters")).scalar()
     totals = c.groupBy("term").agg(F.sum("w").alias("total"))
-    rows = c.join(totals, "term").crossJoin(F.broadcast(n)).withColumn("margin", F.round(F.col("w") - F.when(F.col("n_clusters") > 1, (F.col("total") - F.col("w")) / (F.col("n_clusters") - 1)).otherwise(0.0), 9))
+    rows = c.join(totals, "term").withColumn("n_clusters", n).withColumn("margin", F.round(F.col("w") - F.when(F.col("n_clusters") > 1, (F.col("total") - F.col("w")) / (F.col("n_clusters") - 1)).otherwise(0.0), 9))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("margin"), "term"))).where(F.col("rank") <= k).select("cluster", "term", "margin", "rank")
 
 
@@ -134,9 +134,9 @@ def safe_labels(conversations: DataFrame, memberships: DataFrame, k: int = 5) ->
     # raw sums of the rest, over every term of the corpus, give the norm of each other side
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     inside = sums.join(sums.groupBy("group_id").agg(norm.alias("norm")), "group_id").select("group_id", "term", (F.col("w") / F.col("norm")).alias("w"), F.col("w").alias("raw"))
-    squares = everything.agg(F.sum(F.col("all") * F.col("all")).alias("sq"))
+    squares = everything.agg(F.sum(F.col("all") * F.col("all")).alias("sq")).scalar()
     change = inside.join(everything, "term").groupBy("group_id").agg(F.sum((F.col("all") - F.col("raw")) * (F.col("all") - F.col("raw")) - F.col("all") * F.col("all")).alias("d"))
-    rest = change.crossJoin(F.broadcast(squares)).select("group_id", F.sqrt(F.greatest(F.col("sq") + F.col("d"), F.lit(0.0))).alias("rest"))
+    rest = change.withColumn("sq", squares).select("group_id", F.sqrt(F.greatest(F.col("sq") + F.col("d"), F.lit(0.0))).alias("rest"))
     margin = F.round(F.col("w") - F.when(F.col("rest") > 1e-9, (F.col("all") - F.col("raw")) / F.col("rest")).otherwise(0.0), 9)
     rows = inside.join(everything, "term").join(rest, "group_id").withColumn("margin", margin)
     top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("margin"), "term"))).where(F.col("rank") <= k)

@@ -46,14 +46,14 @@ def bm25(rows: DataFrame, key: str, texts: tuple[str, ...], query: str) -> DataF
     counted = tokens.select(key, F.size("t").alias("len"), *[times(x).alias(f"f{k}") for k, x in enumerate(terms)])
     if not terms:
         return counted.where(F.lit(False)).select(key, F.lit(0.0).alias("bm25"))
-    totals = counted.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))])
-    joined = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(terms)))).crossJoin(F.broadcast(totals))  # one row
+    totals = counted.agg(F.struct(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))]))
+    joined = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(terms)))).withColumn("all", totals.scalar())
 
     def part(k: int) -> Column:
-        f, n = F.col(f"f{k}"), F.col(f"n{k}")
-        idf = F.log((F.col("n_rows") - n + 0.5) / (n + 0.5))
+        f, n = F.col(f"f{k}"), F.col(f"all.n{k}")
+        idf = F.log((F.col("all.n_rows") - n + 0.5) / (n + 0.5))
         weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-        return weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        return weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("all.avg_len")))
 
     return joined.select(key, sum((part(k) for k in range(1, len(terms))), part(0)).alias("bm25"))
 
@@ -82,12 +82,12 @@ class Index:
     def search(self, query: str) -> DataFrame:
         """key, bm25 of the rows that hold every term."""
         terms = query_terms(query)
-        totals = self.lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len"))
+        totals = self.lengths.agg(F.struct(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len")))
         found = self.postings.where(F.col("term").isin(*terms) if terms else F.lit(False))
         df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per query term
-        rows = found.join(F.broadcast(df), "term").join(self.lengths, self.key).crossJoin(F.broadcast(totals))  # one row
-        idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        rows = found.join(F.broadcast(df), "term").join(self.lengths, self.key).withColumn("all", totals.scalar())
+        idf = F.log((F.col("all.n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("all.avg_len")))
         scored = rows.groupBy(self.key).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("_n"))
         return scored.where(F.col("_n") == len(terms)).drop("_n")
 

@@ -112,9 +112,9 @@ def hybrid_search(conversations: DataFrame, messages: DataFrame, chunks: DataFra
     k = vectors.ranked(keyword_search(conversations, messages, query, now, states), "conversation_id", limit=limit)
     s = vectors.ranked(semantic_search(conversations, messages, chunks, query, limit, states), "conversation_id", limit=limit)
     both = k.select("conversation_id", F.col("score").alias("k"), F.col("rank").alias("kr")).join(s.select("conversation_id", F.col("rank").alias("sr")), "conversation_id", "full_outer")
-    any_semantic = s.agg((F.count(F.lit(1)) > 0).alias("any"))
+    any_semantic = s.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     part = lambda r: F.coalesce(1.0 / (vectors.RRF_K + F.col(r) + 1), F.lit(0.0))
-    return both.crossJoin(F.broadcast(any_semantic)).select(
+    return both.withColumn("any", any_semantic).select(
         "conversation_id",
         F.when(F.col("any"), part("kr") + part("sr")).otherwise(F.col("k")).alias("score"),
         F.when(F.col("kr").isNull(), "semantic").when(F.col("sr").isNull(), "keyword").otherwise("both").alias("match_type"),

@@ -64,11 +64,9 @@ def similar(sparse: DataFrame, key: str, query: DataFrame) -> DataFrame:
     return sparse.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("q")).alias("score"))
 
 
-def ranked(scored: DataFrame, key: str, score: str = "score", limit: int | None = None) -> DataFrame:
-    """Adds rank from 0 by falling score, ties by key. ``limit`` bounds the list before it is ranked."""
-    if limit is not None:
-        scored = scored.orderBy(F.desc(score), key).limit(limit)
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)
+def ranked(scored: DataFrame, key: str, limit: int, score: str = "score") -> DataFrame:
+    """The best ``limit`` rows with their rank from 0, ties by key; only these reach one task."""
+    return scored.orderBy(F.desc(score), key).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)
 
 
 def fuse(lists: list[DataFrame], key: str) -> DataFrame:

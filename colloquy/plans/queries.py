@@ -414,8 +414,8 @@ def _(c: Corpus) -> DataFrame:
 
 def _f20(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    one = e.where("vec_id = 0").select("embedding").scalar()
+    return e.withColumn("q", one).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("cosine"))
 
 
 QUERIES["f20_cosine"] = _f20
