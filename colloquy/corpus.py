@@ -44,7 +44,11 @@ def conversation_name(conv_id: str = "conv_id") -> F.Column:
 
 @dataclass
 class Corpus:
-    """The corpus tables; what is derived from others is built when asked for."""
+    """The corpus tables; what is derived from others is built when asked for.
+
+    Derived tables that several branches of a plan read are cached (in memory,
+    else on disk): in a stored corpus they are tables of their own.
+    """
 
     base: DataFrame
     messages: DataFrame
@@ -52,11 +56,11 @@ class Corpus:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return chunking.chunk_rows(self.messages)
+        return chunking.chunk_rows(self.messages).cache()
 
     @cached_property
     def hits(self) -> DataFrame:
-        return extraction.harvest(self.base, self.messages)
+        return extraction.harvest(self.base, self.messages).cache()
 
     @cached_property
     def objects(self) -> DataFrame:
@@ -68,7 +72,7 @@ class Corpus:
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return extraction.with_scores(self.base, self.messages, self.hits, self.chunks)
+        return extraction.with_scores(self.base, self.messages, self.hits, self.chunks).cache()
 
 
 def derive(spark: SparkSession, sf_dir: str) -> Corpus:
