@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,21 +30,47 @@ END_ID = 1
 CLASSES = 64
 #: A task packs what it has at this many ids (8 MB of them).
 GROUP_IDS = 4 << 20
-#: The cache of encoded units is emptied at this many entries.
-CACHE = 500_000
-_BEFORE_WORD = re.compile(r"(?= \S)")
+#: Encoded units of a generation; two generations are kept, what is used moves to the younger.
+CACHE = 300_000
 #: The pre-tokenizer's own split pattern, for texts of well-known characters.
 _PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
-_SPACE_SPACE = re.compile(r" (?=\s|$)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for themselves, the rest follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_LETTERS_OF_BYTES = _byte_letters()
+
+
+class _PreTokens(dict):
+    """pre-token -> bytes of its ids, from the library's model; two generations are kept."""
+
+    def __init__(self, model, code: str) -> None:
+        self.model, self.code = model, code
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            letters = unit.encode().decode("latin-1").translate(_LETTERS_OF_BYTES)
+            ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = ids
+        return ids
 
 
 class UnitEncoder:
-    """Ids of whole texts through a byte-level BPE tokenizer, by cached units.
+    """Ids of whole texts through a byte-level BPE tokenizer, by cached pre-tokens.
 
     The ids of a text are those of its pre-tokens, one after the other. Texts
-    with unusual characters are cut only where the pre-tokenizer always starts
-    anew, at a space that a visible character follows; those that may hold
-    special tokens go through the library whole.
+    with unusual characters, or that may hold special tokens, go through the
+    library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,31 +81,12 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.special = "<|"
-        self.cache: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        if not OTHER.search(text):
-            return _PRE.findall(text)
-        if _SPACE_SPACE.search(text):
-            return _BEFORE_WORD.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[] if self.special in t else self.units(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({u for units in cut for u in units} - self.cache.keys())
-        for k in range(0, len(new), 4000):
-            part = new[k : k + 4000]
-            self.cache.update(zip(part, self._bytes(part), strict=True))
-        get = self.cache.__getitem__
-        return [np.frombuffer(self._bytes([t])[0] if self.special in t else b"".join(map(get, units)), self.dtype) for t, units in zip(texts, cut, strict=True)]
+        self.cache = _PreTokens(self.tokenizer.model, "H" if self.dtype is np.uint16 else "I")
+
+    def encode(self, text: str) -> np.ndarray:
+        if "<|" in text or OTHER.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, _PRE.findall(text))), self.dtype)
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> tuple[np.ndarray, ...]:
@@ -161,7 +169,8 @@ def _packer(tokenizer_path: str, capacity: int, group_ids: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                for d, x in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    x = encoder.encode(t or "")
                     doc_ids.append(d)
                     ids.append(np.append(x, encoder.dtype(END_ID)))
                     held += len(x) + 1
