@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .assist import tasks
-from .operators import chunking, cluster, extraction, lifecycle, search, views
+from .operators import chunking, cluster, extraction, lifecycle, rules, search, views
 from .operators import query as querylang
 from .operators.store import Store
-from .schema import REGISTERS, VISIBLE, in_states
+from .schema import CONVERSATION, MESSAGE, REGISTERS, VISIBLE, in_states, migrated
+from .sources import exports, ingest, normalized
 
 
 class ToolError(ValueError):
@@ -178,6 +179,36 @@ def process(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {"chunks": chunks, "objects": extraction.objects(hits), "provenance": extraction.provenance(hits, chunks), "conversations": scored}
 
 
+def import_exports(spark: SparkSession, path: str, known: DataFrame | None = None, given: list[rules.Rule] | None = None, approve: bool = False, parser: str = "auto", now: float | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """New conversations and messages of exports, and counters (outcome, n).
+
+    Conversations without messages are skipped, those whose fingerprint is
+    known (a table with fingerprint) or came before are duplicates. Rules set
+    the initial state, else approval, else review.
+    """
+    conversations, messages = exports.parse_exports(exports.read_exports(spark, path), parser)
+    filled = conversations.join(messages.select("conversation_id"), "conversation_id", "left_semi")
+    prints = ingest.fingerprints(filled, messages)
+    told = ingest.outcomes(prints, known if known is not None else prints.limit(0).select("fingerprint"))
+    empty = conversations.join(messages.select("conversation_id"), "conversation_id", "left_anti").select(F.lit("empty").alias("outcome"))
+    counters = told.select("outcome").unionByName(empty).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    new = told.where("outcome = 'imported'").select("conversation_id", "fingerprint")
+    rows = filled.join(new, "conversation_id")
+    said = messages.join(new.select("conversation_id"), "conversation_id", "left_semi")
+    found = rules.evaluate(rows.withColumn("summary_short", F.lit("")), said, given or [])
+    states = rules.initial_state(found, rows.select("conversation_id"), approve)
+    sizes = said.groupBy("conversation_id").agg(F.count(F.lit(1)).cast("int").alias("message_count"))
+    rows = rows.join(states, "conversation_id").join(sizes, "conversation_id").join(found.select("conversation_id", F.col("notes").alias("notes_local")), "conversation_id", "left")
+    rows = rows.withColumns({"imported_at": F.lit(now).cast("double"), "manual_tags": F.array().cast("array<string>"), "auto_tags": F.array().cast("array<string>")})
+    return {"conversations": migrated(rows, CONVERSATION), "messages": migrated(said, MESSAGE)}, counters
+
+
+def rebuild(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All tables from normalised JSON, derived ones computed anew."""
+    conversations, messages = normalized.read(spark, path, CONVERSATION)
+    return process({"conversations": migrated(conversations, CONVERSATION), "messages": migrated(messages, MESSAGE)})
+
+
 def main(arguments: list[str] | None = None) -> int:
     """``python -m colloquy.api ROOT TOOL [JSON]``: a tool's rows, one JSON object a line."""
     parser = argparse.ArgumentParser(description=main.__doc__)

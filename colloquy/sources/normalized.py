@@ -28,4 +28,5 @@ def read(spark: SparkSession, path: str, conversation_schema: str) -> tuple[Data
 
 
 def _fields(ddl: str) -> str:
+    """Columns of a flat schema as the fields of a struct."""
     return ", ".join(": ".join(f.strip().split(" ", 1)) for f in ddl.split(","))

@@ -6,8 +6,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from colloquy.api import Api, process
+from colloquy.api import Api, import_exports, process, rebuild
 from colloquy.assist import runner, sampling, tasks
+from colloquy.operators import rules
 from colloquy.operators.store import Store
 from colloquy.sources import exports, ingest, normalized, sinks
 from colloquy.streaming import ingest as stream
@@ -75,6 +76,21 @@ def test_normalised_round_trip_and_broken_lines(spark, tmp_path):
     assert c2.collect() == c.collect() and m2.count() == 2
 
 
+def test_import_skips_what_is_known_and_rebuild_gives_the_same(spark, tmp_path):
+    (tmp_path / "conversations.json").write_text(json.dumps(LIST + [LIST[0] | {"uuid": "u2", "chat_messages": []}, LIST[0] | {"uuid": "u3", "name": "SSN 123-45-6789"}]))
+    path = str(tmp_path / "conversations.json")
+    ssn = rules.Rule("ssn", "quarantined", (r"\d{3}-\d{2}-\d{4}",), "regex")
+    tables, counters = import_exports(spark, path, given=[ssn], approve=True, now=5.0)
+    assert {r.outcome: r.n for r in counters.collect()} == {"imported": 2, "empty": 1}
+    assert {r.source_conversation_id: r.state for r in tables["conversations"].collect()} == {"u1": "indexed", "u3": "quarantined"}
+    _, again = import_exports(spark, path, known=tables["conversations"].select("fingerprint"))
+    assert {r.outcome: r.n for r in again.collect()} == {"duplicate": 2, "empty": 1}
+    normalized.write(tables["conversations"], tables["messages"].withColumn("timestamp", F.col("timestamp")), str(tmp_path / "n"))
+    back = rebuild(spark, str(tmp_path / "n"))
+    assert sorted(back["conversations"].select("conversation_id", "state", "title").collect()) == sorted(tables["conversations"].select("conversation_id", "state", "title").collect())
+    assert back["messages"].count() == tables["messages"].count() and back["chunks"].count() == 2
+
+
 def test_workbook_and_report(spark, tmp_path):
     df = spark.createDataFrame([("a<b", 1), (None, 2)], "name string, n int")
     path = str(tmp_path / "w.xlsx")
