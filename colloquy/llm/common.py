@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 #: White space of every word contract; all other bytes belong to words.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LATIN = [chr(c) for c in range(0x250)]
 #: Letters and numbers below U+0250, as the inside of a character class.
 LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
@@ -35,7 +34,7 @@ def words_of(text: str | None) -> list[str]:
 
 def lower_ascii(text: str) -> str:
     """A-Z to a-z, every other character unchanged."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+    return text.lower() if text.isascii() else text.encode().lower().decode()  # bytes lower A-Z only
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,6 +17,7 @@ in exactly one round. Parameters, head and hot words are bounded by constants.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,19 +31,21 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, row_ids, table, words_of
 
 END = " "  # no word equals it
-HEAD = 4096
+HEAD = 1024
 WIDTH = 64
 TOPICS = 8
 #: Words whose counts are broadcast, and those that topics are learned from.
 HOT = 1 << 17
-KNOWN_TOPICS = 1 << 14
+KNOWN_TOPICS = 1 << 13
 CONTEXTS = 64
+#: How far apart words still keep company.
+GAPS = 2
 ROWS = 1 << 12
 ROUNDS = 2
 STEP_TOKENS = 8192
 BLOCK = 1 << 16
 FLUSH = 200_000
-CACHE = 300_000
+CACHE = 400_000
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -119,14 +122,16 @@ def _company(index, n: int):
         look = index.value
         sums = np.zeros((n + 1) * (CONTEXTS + 1))
         for group in _groups((x for batch in batches for x in batch.column(0).to_pylist()), 16 * STEP_TOKENS):
-            ids = np.fromiter((look[w] for words in group for w in words), np.int64)
+            ids = np.fromiter(map(look.__getitem__, itertools.chain.from_iterable(group)), np.int64, sum(map(len, group)))
             doc = np.repeat(np.arange(len(group)), [len(words) for words in group])
             near = np.minimum(ids, CONTEXTS)
-            for gap in range(1, 5):
+            keys = []
+            for gap in range(1, GAPS + 1):
                 same = doc[gap:] == doc[:-gap]
                 for a, b in ((ids[gap:], near[:-gap]), (ids[:-gap], near[gap:])):
                     keep = same & (b < CONTEXTS)
-                    sums += np.bincount(a[keep] * (CONTEXTS + 1) + b[keep], minlength=len(sums))
+                    keys.append(a[keep] * (CONTEXTS + 1) + b[keep])
+            sums += np.bincount(np.concatenate(keys), minlength=len(sums))
         yield _blocks(sums, 1)
 
     return run
@@ -258,7 +263,7 @@ class Tokens:
 def encode(coder: Coder, texts: list[list[str]]) -> Tokens:
     v = coder.v
     lengths = np.array([len(t) for t in texts])
-    code = np.concatenate([np.fromiter(map(coder.__getitem__, t), np.int64, len(t)) for t in texts])
+    code = np.fromiter(map(coder.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(lengths.sum()))
     doc = np.repeat(np.arange(len(texts)), lengths)
     low = code & 0xFFFFFFFF
     cold = low >= HOT
@@ -313,18 +318,19 @@ def log_probabilities(net: Net, t: Tokens, step: int = STEP_TOKENS) -> np.ndarra
 
 
 class Trainer:
-    """Adagrad over a net's rows."""
+    """Adagrad with one step size per row of a net."""
 
     def __init__(self, net: Net, rate: float = 0.15) -> None:
-        self.net, self.rate = net, rate
-        self.seen = Net(net.v, np.full_like(net.flat, 0.05))
+        self.net, self.rate = net, np.float32(rate)
+        self.seen = {name: np.full((len(getattr(net, name)), 1), 0.05, np.float32) for name in ("rows", "inner")}
 
     def _move(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
         where, g = _scatter(rows, grads)
-        seen, w = getattr(self.seen, name), getattr(self.net, name)
-        total = seen[where] + g * g
-        seen[where] = total
-        w[where] -= self.rate * g / np.sqrt(total)
+        w = getattr(self.net, name)
+        total = self.seen[name][where] + np.einsum("ij,ij->i", g, g)[:, None] * np.float32(4 / g.shape[1])
+        self.seen[name][where] = total
+        g *= self.rate / np.sqrt(total)
+        w[where] -= g
 
     def update(self, t: Tokens, s: slice) -> None:
         net, v = self.net, self.net.v
@@ -449,21 +455,23 @@ def _scorer(held):
                 base, score = np.bincount(t.doc, value, k), np.bincount(t.doc, logp, k)
                 out = [rows[at : at + k], ids[at : at + k], size.tolist(), known.astype(np.int64).tolist(), base.tolist(), score.tolist(), [f" {r}" for r in rows[at : at + k]], [0] * k, [0] * k]
                 places = np.flatnonzero(t.cold)
-                begin = np.cumsum(size) - size
-                all_, new = Counter(), Counter()
-                for d, p, again in zip(t.doc[places].tolist(), (places - begin[t.doc[places]]).tolist(), repeat[places].tolist(), strict=True):
-                    key = (d, group[d][p])
-                    all_[key] += 1
-                    if not again:
-                        new[key] += 1
-                c = len(all_)
-                out[0] += [rows[at + d] for d, _ in all_]
-                out[1] += [None] * c
-                for z in range(2, 6):
-                    out[z] += [0] * c
-                out[6] += [w for _, w in all_]
-                out[7] += list(all_.values())
-                out[8] += [new[x] for x in all_]
+                again = repeat[places]
+                inside = (places - (np.cumsum(size) - size)[t.doc[places]]).tolist()
+                bounds = np.searchsorted(t.doc[places], np.arange(k + 1)).tolist()
+                for d, (b, e) in enumerate(itertools.pairwise(bounds)):
+                    if b == e:
+                        continue
+                    said = [group[d][p] for p in inside[b:e]]
+                    whole = Counter(said)
+                    new = Counter(w for w, r in zip(said, again[b:e].tolist(), strict=True) if not r) if again[b:e].any() else whole
+                    c = len(whole)
+                    out[0] += [rows[at + d]] * c
+                    out[1] += [None] * c
+                    for z in range(2, 6):
+                        out[z] += [0] * c
+                    out[6] += list(whole)
+                    out[7] += list(whole.values())
+                    out[8] += [new[w] for w in whole]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
                 at += k
 
