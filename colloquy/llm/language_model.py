@@ -44,8 +44,8 @@ ROWS = 1 << 12
 ROUNDS = 2
 STEP_TOKENS = 8192
 BLOCK = 1 << 16
-FLUSH = 200_000
-CACHE = 400_000
+FLUSH = 400_000
+CACHE = 600_000
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -96,11 +96,15 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gathered(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Sum of the vectors that tasks sent in blocks, and of their weights.
 
-    Blocks are summed where they are made, then per block; what reaches the
-    driver is one vector of fixed size.
+    Blocks are summed in two steps, first over about the square root of the
+    tasks each, then per block; what reaches the driver is one vector of fixed
+    size.
     """
     schema = "block int, weight long, data binary"
-    found = rows.repartition("block").mapInArrow(_sum_blocks, schema).toArrow().sort_by("block")
+    parts = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
+    dealt = rows.withColumn("part", F.spark_partition_id() % parts).repartition("block", "part").select("block", "weight", "data")
+    halfway = dealt.mapInArrow(_sum_blocks, schema)
+    found = halfway.repartition("block").mapInArrow(_sum_blocks, schema).toArrow().sort_by("block")
     if not found.num_rows:
         return np.zeros(0), 0
     return np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in found["data"]]).astype(np.float64), found["weight"][0].as_py()
@@ -121,7 +125,7 @@ def _company(index, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = index.value
         sums = np.zeros((n + 1) * (CONTEXTS + 1))
-        for group in _groups((x for batch in batches for x in batch.column(0).to_pylist()), 16 * STEP_TOKENS):
+        for group in _groups((x for batch in batches for x in batch.column(0).to_pylist()), 8 * STEP_TOKENS):
             ids = np.fromiter(map(look.__getitem__, itertools.chain.from_iterable(group)), np.int64, sum(map(len, group)))
             doc = np.repeat(np.arange(len(group)), [len(words) for words in group])
             near = np.minimum(ids, CONTEXTS)
