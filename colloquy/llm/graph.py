@@ -7,29 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Labels fall at least as fast as paths halve: 2^60 vertices would do with this.
-ROUNDS = 64
-
 
 def components(edges: DataFrame) -> DataFrame:
     """id, root (smallest id of its component) of each end of an edge (u, v).
 
-    Each round every vertex takes the smallest label among its neighbours and
-    then the label of that label, so paths shorten by half. Rounds end when no
-    label changed; each is a written table.
+    Each round every vertex learns the least label of its neighbours' labels,
+    takes it, hands it to the root of its tree (so whole trees are hooked at
+    once) and takes the label of its own label, so paths shorten by half. Rounds
+    end only when no label changed: ends of an edge then have equal labels. Each
+    round is a written table.
     """
     both = table(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     labels = table(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
-    for _ in range(ROUNDS):
-        if labels.isEmpty():
-            break
-        seen = both.join(labels, both["u"] == labels["id"]).groupBy(F.col("v").alias("near")).agg(F.min("root").alias("seen"))
-        near = labels.join(seen, labels["id"] == seen["near"]).select("id", F.col("root").alias("was"), F.least("root", "seen").alias("root"))
+    changed = not labels.isEmpty()
+    while changed:
         up = labels.select(F.col("id").alias("up"), F.col("root").alias("above"))
-        moved = near.join(up, near["root"] == up["up"], "left").select("id", "was", F.least("root", F.coalesce("above", "root")).alias("root"))
+        higher = table(labels.join(up, labels["root"] == up["up"]).select("id", "root", "above"), "higher")
+        seen = both.join(higher, both["u"] == higher["id"]).groupBy(F.col("v").alias("near")).agg(F.min("above").alias("seen"))
+        near = table(higher.join(seen, higher["id"] == seen["near"]).select("id", "root", F.least("above", "seen").alias("low")), "near")
+        hooks = near.groupBy(F.col("root").alias("tree")).agg(F.min("low").alias("hook"))
+        moved = near.join(hooks, near["id"] == hooks["tree"], "left").select("id", F.col("root").alias("was"), F.least("low", "hook").alias("root"))
         moved = table(moved, "labels")
-        changed = moved.where("root <> was").limit(1).count()
+        changed = moved.where("root <> was").limit(1).count() > 0
         labels = moved.select("id", "root")
-        if not changed:
-            break
     return labels

@@ -407,6 +407,13 @@ def test_components_of_a_long_path(spark):
     assert set(got[i] for i in range(41)) == {0} and got[101] == 100
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_path_whose_small_labels_travel_slowly(spark, shuffled):
+    order = random.Random(8).sample(range(1, 301), 300) if shuffled else [1, *range(100, 1, -1)]
+    got = {r.id: r.root for r in graph.components(spark.createDataFrame(list(itertools.pairwise(order)), "u long, v long")).collect()}
+    assert got == dict.fromkeys(order, 1)
+
+
 # ---- language model
 
 
