@@ -18,6 +18,7 @@ where they are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ GRAM = 6
 RUN = 16
 START_BITS = 25
 RUN_BITS = 4
+#: Places of words in a list of texts; one text has at most 2^START_BITS words.
+PLACE_BITS = np.uint64(START_BITS + 1)
 RANK_BITS = 63 - START_BITS - RUN_BITS
 #: Anchors with more runs are dealt out window by window.
 HOT_RUNS = 5_000
@@ -44,14 +47,15 @@ HOT_RUNS = 5_000
 SHARD_WORDS = 400_000
 CACHE = 500_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+#: Multipliers of the two halves of a content hash.
+_MULTIPLIERS = (_MULTIPLIER, 0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        h = self[word] = xxhash.xxh3_128_digest(word.encode())
         return h
 
 
@@ -63,10 +67,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of a base, kept for later calls."""
+    if len(have := _POWERS.get(base, ())) < n:
+        have = np.full(max(n, 1 << 18), base, np.uint64)
+        have[:1] = 1
+        have = _POWERS[base] = np.multiply.accumulate(have)
+    return have[:n]
 
 
 def _lowest(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,31 +90,38 @@ def _lowest(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[list[str]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start word, windows, anchor, content hash) of every run of these word lists."""
+    """(text, start word, windows, anchor, two content hashes) of every run of these word lists.
+
+    The content hashes come from different halves of the words' 128-bit hashes;
+    runs are taken as equal when both are.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
     doc = np.repeat(np.arange(len(texts)), lengths)
-    h = np.fromiter((_HASHES[w] for t in texts for w in t), np.uint64, len(doc))
+    halves = np.frombuffer(b"".join(map(_HASHES.__getitem__, itertools.chain.from_iterable(texts))), "<u8").reshape(-1, 2)
+    h = np.ascontiguousarray(halves[:, 0])
     n = len(h) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     grams = np.zeros(len(h) - gram + 1, np.uint64)
     for k in range(gram):
         grams = grams * np.uint64(_MULTIPLIER) + h[k : k + len(grams)]
     grams = _mix(grams)
-    anchor = _lowest(grams, window - gram + 1)
+    # a gram's upper bits and its place: the least tells the first place of the anchor
+    at = (_lowest(grams >> PLACE_BITS << PLACE_BITS | np.arange(len(grams), dtype=np.uint64), window - gram + 1) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    anchor = grams[at]
     inside = doc[:n] == doc[window - 1 :]
     place = np.arange(n) - (np.cumsum(lengths) - lengths)[doc[:n]]
-    at = np.arange(n)
-    for k in reversed(range(window - gram + 1)):  # the first place of the anchor
-        at = np.where(grams[k : k + n] == anchor, np.arange(k, k + n), at)
     fresh = np.r_[True, (at[1:] != at[:-1]) | ~inside[:-1]] & inside
     begin = np.flatnonzero(fresh)
     size = np.bincount((np.cumsum(fresh) - 1)[inside], minlength=len(begin))
-    # hash of a run's words, from sums of word hashes times powers
-    sums = np.r_[np.uint64(0), np.cumsum(_mix(h) * _powers(_MULTIPLIER, len(h)), dtype=np.uint64)]
-    content = _mix((sums[begin + size + window - 1] - sums[begin]) * _powers(_INVERSE, len(h))[begin] + size.astype(np.uint64))
-    return doc[begin], place[begin], size, anchor[begin].view(np.int64), (content >> np.uint64(32)).astype(np.int64)
+    # hashes of a run's words, from sums of word hashes times powers
+    contents = []
+    for half, base in zip((h, halves[:, 1]), _MULTIPLIERS, strict=True):
+        sums = np.r_[np.uint64(0), np.cumsum(half * _powers(base, len(h)), dtype=np.uint64)]
+        whole = (sums[begin + size + window - 1] - sums[begin]) * _powers(pow(base, -1, 1 << 64), len(h))[begin]
+        contents.append(_mix(whole + size.astype(np.uint64)).view(np.int64))
+    return doc[begin], place[begin], size, anchor[begin].view(np.int64), *contents
 
 
 def _groups(batch: pa.RecordBatch, text: int, words: int = 200_000) -> Iterator[tuple[int, list[list[str]]]]:
@@ -124,9 +141,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rank, stamp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, texts in _groups(batch, 2):
-            doc, start, size, anchor, content = runs(texts)
+            doc, start, size, anchor, content, check = runs(texts)
             pos = (rank[first + doc] << START_BITS | start) << RUN_BITS | (size - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(pos), pa.array(stamp[first + doc])], ["anchor", "content", "pos", "stamp"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(check), pa.array(pos), pa.array(stamp[first + doc])], ["anchor", "content", "check", "pos", "stamp"])
 
 
 def _ranked(docs: DataFrame) -> DataFrame:
@@ -302,16 +319,17 @@ def deduplicate(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     no repeats of each other. Extra columns are ignored.
     """
     docs = _ranked(docs)
-    found = docs.select("rank", "stamp", "text").mapInArrow(_anchors, "anchor long, content long, pos long, stamp long")
-    per_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("pos").alias("first"))
-    anchors = table(per_anchor.where("n > 1").select(F.col("anchor").alias("_anchor"), "n", (F.col("low") != F.col("high")).alias("mixed"), "first"), "anchors")
+    found = docs.select("rank", "stamp", "text").mapInArrow(_anchors, "anchor long, content long, check long, pos long, stamp long")
+    per_anchor = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("check").alias("check_low"), F.max("check").alias("check_high"), F.min("pos").alias("first"))
+    anchors = table(per_anchor.where("n > 1").select(F.col("anchor").alias("_anchor"), "n", F.expr("low <> high OR check_low <> check_high").alias("mixed"), "first"), "anchors")
     # runs that may repeat: of a pure anchor all but the first do
-    shared = found.join(anchors, found["anchor"] == anchors["_anchor"]).where("mixed OR pos <> first").select("anchor", "content", "pos", "stamp", "mixed", (F.col("n") > hot_runs).alias("hot"))
+    shared = found.join(anchors, found["anchor"] == anchors["_anchor"]).where("mixed OR pos <> first").select("anchor", "content", "check", "pos", "stamp", "mixed", (F.col("n") > hot_runs).alias("hot"))
     shared = table(shared, "runs")
     mixed = shared.where("mixed")
-    firsts = table(mixed.groupBy(F.col("anchor").alias("_anchor"), F.col("content").alias("_content")).agg(F.min("pos").alias("first")), "firsts")
-    placed = mixed.join(firsts, (mixed["anchor"] == firsts["_anchor"]) & (mixed["content"] == firsts["_content"])).select("anchor", "content", "pos", "stamp", "hot", (F.col("pos") == F.col("first")).alias("open"))
-    everything = shared.where("NOT mixed").select("anchor", "content", "pos", "stamp", "hot", F.lit(False).alias("open")).unionByName(placed)
+    firsts = table(mixed.groupBy(F.col("anchor").alias("_anchor"), F.col("content").alias("_content"), F.col("check").alias("_check")).agg(F.min("pos").alias("first")), "firsts")
+    same = (mixed["anchor"] == firsts["_anchor"]) & (mixed["content"] == firsts["_content"]) & (mixed["check"] == firsts["_check"])
+    placed = mixed.join(firsts, same).select("anchor", "pos", "stamp", "hot", (F.col("pos") == F.col("first")).alias("open"))
+    everything = shared.where("NOT mixed").select("anchor", "pos", "stamp", "hot", F.lit(False).alias("open")).unionByName(placed)
     start = F.shiftrightunsigned("pos", RUN_BITS).bitwiseAND((1 << START_BITS) - 1).cast("int")
     run = F.struct(start.alias("start"), (F.col("pos").bitwiseAND(RUN - 1) + 1).cast("int").alias("windows"), "anchor", "hot")
     lists = everything.groupBy(F.shiftrightunsigned("pos", START_BITS + RUN_BITS).alias("_rank"), F.col("stamp").alias("_stamp")).agg(

@@ -73,6 +73,20 @@ def test_substrings_of_far_ids_and_long_texts(spark):
     assert got[1 << 62] == (30_000, 30_000) and got[5] == (1, 0) and got[-(1 << 62)][1] > 28_000
 
 
+def around_one_anchor(k):
+    """Twenty words of their own around a 6-gram of very low hash."""
+    return [f"a{k}n{j}" for j in range(7)] + [f"g45610x{j}" for j in range(6)] + [f"a{k}n{j}" for j in range(7, 14)]
+
+
+def test_different_runs_of_one_anchor_are_not_taken_as_copies(spark):
+    # upper 32 bits of these texts' 64-bit content hashes were equal
+    rows = [(k, " ".join(around_one_anchor(k))) for k in (57423, 87126, 9198, 88858)]
+    got = substring_dedup.deduplicate(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_substrings(rows)
+    hashes = np.stack(substring_dedup.runs([around_one_anchor(k) for k in range(130_000)])[4:])
+    assert all(len(np.unique(h)) == hashes.shape[1] for h in hashes)  # 32 bits gave 4 fewer
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), max_size=25), min_size=1, max_size=6), st.integers(2, 5))
 def test_fm_index_finds_what_starts_earlier(texts, least):
