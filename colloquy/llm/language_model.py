@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, row_ids, table, words_of
 
 END = " "  # no word equals it
-HEAD = 1024
+HEAD = 4096
 WIDTH = 64
 TOPICS = 8
 #: Words whose counts are broadcast, and those that topics are learned from.
 HOT = 1 << 17
-KNOWN_TOPICS = 1 << 13
+KNOWN_TOPICS = 1 << 14
 CONTEXTS = 64
 #: How far apart words still keep company.
-GAPS = 2
+GAPS = 4
 ROWS = 1 << 12
 ROUNDS = 2
 STEP_TOKENS = 8192

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -477,6 +478,19 @@ def test_class_probabilities_sum_to_one():
     assert 0 < sums < 1 and v.heads <= t.klass[1] < v.classes - 1
 
 
+def test_words_up_to_4096_have_their_own_statistics_and_company_reaches_four_words():
+    words = [language_model.END] + [f"w{i}" for i in range(4095)]
+    v = language_model.vocabulary(words, np.arange(4096, 0, -1).astype(float), np.arange(4096) % language_model.TOPICS)
+    assert (v.klass < v.heads).all() and len(set(zip(v.klass.tolist(), v.member.tolist(), strict=True))) == 4096
+    t = language_model.encode(language_model.Coder(v), [["w3000", "w1"], ["w3008", "w1"]])  # of one topic
+    assert t.features[1].tolist() != t.features[3].tolist()
+    held = type("Held", (), {"value": language_model._Index(["a", "b"])})
+    batch = pa.RecordBatch.from_arrays([pa.array(["a x x x b"])], ["text"])
+    (sums,) = language_model._company(held, 2)([batch])
+    near = np.frombuffer(sums["data"][0].as_py(), np.float32).reshape(3, -1)
+    assert near[0, 1] == near[1, 0] == 1
+
+
 # ---- token counts
 
 
