@@ -104,3 +104,10 @@ def first_of_group(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     groups = groups.select(again(F.col(key)).alias("_group_key"), "first_id", "group_size")
     mine = rows[key] if again is not F.hex else F.hex(rows[key])
     return rows.join(groups, mine == groups["_group_key"], "left").drop("_group_key")
+
+
+def later_of_group(rows: DataFrame, key: str) -> DataFrame:
+    """_row of all rows (doc_id, _row) but the first of each key, by doc_id with nulls last, then _row."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    placed = rows.select(key, place.alias("place"))
+    return first_of_group(placed, key, "place").where(F.col("place._row") != F.col("first_id._row")).select(F.col("place._row").alias("_row"))

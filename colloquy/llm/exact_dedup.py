@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_group, table
+from .common import first_of_group, later_of_group, table
 
 #: Cut when this many low bits of the rolling hash are zero: about 1 kB.
 CUT_BITS = 10
@@ -103,6 +103,14 @@ def recipes(docs: DataFrame, most_collisions: int = 10_000) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_recipes(frozenset(bad)), "doc_id long, recipe binary, text_sha256 string")
 
 
+def later_rows(docs: DataFrame) -> DataFrame:
+    """_row of every row of ``docs`` (doc_id, text, _row) but one of each group of equal texts."""
+    # recipes carry one long a row: the row's key, by which doc_id comes back
+    made = table(recipes(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_made"), "recipe"), "recipes")
+    ids = docs.select("doc_id", "_row")
+    return later_of_group(made.join(ids, made["_made"] == ids["_row"]).select("doc_id", "_row", "recipe"), "recipe")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 

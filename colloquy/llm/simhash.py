@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_group, lower_ascii, table, words_of
+from .common import first_of_group, later_of_group, lower_ascii, table, words_of
 from .graph import components
 
 SEED = 42
@@ -205,3 +205,12 @@ def near_groups(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
     placed = nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     named = first_of_group(placed, "root", "first_doc").select(F.col("fp").alias("_fp"), F.col("first_id").alias("component_id"))
     return rows.join(named, rows["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+
+
+def later_rows(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """_row of every row of ``docs`` (doc_id, text, _row) but one of each near-duplicate component."""
+    made = table(fingerprints(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_made"), "fp"), "fingerprints")
+    roots = components(links(table(made.select("fp").distinct(), "nodes"), most))
+    ids = docs.select("doc_id", "_row")
+    placed = made.join(ids, made["_made"] == ids["_row"]).select("doc_id", "_row", "fp")
+    return later_of_group(placed.join(roots, placed["fp"] == roots["id"], "left").select("doc_id", "_row", F.coalesce("root", "fp").alias("root")), "root")

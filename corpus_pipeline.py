@@ -13,17 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, exact_dedup, packing, quality, simhash
-from colloquy.llm.common import table
+from colloquy.llm.common import row_ids, table
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key per row (_row), written so that the key stays the same."""
+    return table(row_ids(docs), name)
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't among ``dropped`` (distinct ids).
+    """Rows of ``docs`` (with _row) whose _row isn't among ``dropped``.
 
-    The ids, which are the smaller side, are hashed per partition, so texts are
+    The keys, which are the smaller side, are hashed per partition, so texts are
     shuffled once and not sorted.
     """
-    ids = dropped.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"] == ids["_id"], "left_anti")
+    keys = dropped.select(F.col("_row").alias("_key"))
+    return docs.join(keys.hint("shuffle_hash"), docs["_row"] == keys["_key"], "left_anti").drop("_row")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +41,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of equal texts."""
-    groups = table(exact_dedup.exact_groups(docs), "exact")
-    return _without(docs, groups.where(~F.col("kept")))
+    """One document, of the smallest doc_id, of each group of equal texts."""
+    rows = _keyed(docs, "exact-rows")
+    return _without(rows, table(exact_dedup.later_rows(rows), "exact"))
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component."""
-    groups = table(simhash.near_groups(docs), "near")
-    return _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document, of the smallest doc_id, of each near-duplicate component."""
+    rows = _keyed(docs, "near-rows")
+    return _without(rows, table(simhash.later_rows(rows), "near"))
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from colloquy.llm import decontamination, exact_dedup, graph, language_model, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
 from colloquy.llm.common import table, words_of
 from colloquy.llm.fm_index import FMIndex
@@ -429,6 +430,15 @@ def test_components_of_a_path_whose_small_labels_travel_slowly(spark, shuffled):
     assert got == dict.fromkeys(order, 1)
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_filter, corpus_pipeline.near_filter])
+def test_dedup_stages_keep_one_row_a_group(spark, stage):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(300)) for p in "abc")
+    rows = [(3, a), (5, a), (5, b), (6, c), (6, c), (None, c), (None, "n"), (None, "n")]
+    got = stage(spark, docs(spark, rows).drop("_row"), "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(3, a), (5, b), (6, c), (None, "n")], key=repr)
+    assert "_row" not in got.columns and "doc_id" in got.columns
+
+
 # ---- language model
 
 
