@@ -93,18 +93,19 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([weights[b] for b in names], pa.int64()), pa.array([sums[b].astype(np.float32).tobytes() for b in names], pa.binary())], ["block", "weight", "data"])
 
 
-def _gathered(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Sum of the vectors that tasks sent in blocks, and of their weights.
+def _gathered(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Sum of the vectors of ``size`` entries that tasks sent in blocks, and of their weights.
 
     Blocks are summed in two steps, first over about the square root of the
     tasks each, then per block; what reaches the driver is one vector of fixed
-    size.
+    size. Partitions are counted here so that what one task reads grows with
+    the square root of the tasks only.
     """
     schema = "block int, weight long, data binary"
-    parts = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
-    dealt = rows.withColumn("part", F.spark_partition_id() % parts).repartition("block", "part").select("block", "weight", "data")
+    parts, blocks = max(1, round(rows.rdd.getNumPartitions() ** 0.5)), -(-size // BLOCK)
+    dealt = rows.withColumn("part", F.spark_partition_id() % parts).repartition(parts * -(-blocks // 4), "block", "part").select("block", "weight", "data")
     halfway = dealt.mapInArrow(_sum_blocks, schema)
-    found = halfway.repartition("block").mapInArrow(_sum_blocks, schema).toArrow().sort_by("block")
+    found = halfway.repartition(-(-blocks // 4), "block").mapInArrow(_sum_blocks, schema).toArrow().sort_by("block")
     if not found.num_rows:
         return np.zeros(0), 0
     return np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in found["data"]]).astype(np.float64), found["weight"][0].as_py()
@@ -124,19 +125,19 @@ class _Index(dict):
 def _company(index, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = index.value
-        sums = np.zeros((n + 1) * (CONTEXTS + 1))
+        pad = [n + 1] * GAPS  # between documents, and at both ends
+        sums = np.zeros((n + 2) * (CONTEXTS + 1))
         for group in _groups((x for batch in batches for x in batch.column(0).to_pylist()), 8 * STEP_TOKENS):
-            ids = np.fromiter(map(look.__getitem__, itertools.chain.from_iterable(group)), np.int64, sum(map(len, group)))
-            doc = np.repeat(np.arange(len(group)), [len(words) for words in group])
-            near = np.minimum(ids, CONTEXTS)
-            keys = []
-            for gap in range(1, GAPS + 1):
-                same = doc[gap:] == doc[:-gap]
-                for a, b in ((ids[gap:], near[:-gap]), (ids[:-gap], near[gap:])):
-                    keep = same & (b < CONTEXTS)
-                    keys.append(a[keep] * (CONTEXTS + 1) + b[keep])
+            numbers: list[int] = list(pad)
+            for words in group:
+                numbers.extend(map(look.__getitem__, words))
+                numbers.extend(pad)
+            ids = np.array(numbers, np.int32)
+            place = np.flatnonzero(ids < min(CONTEXTS, n))
+            near = ids[place]
+            keys = [ids[place + gap] * np.int32(CONTEXTS + 1) + near for gap in range(-GAPS, GAPS + 1) if gap]
             sums += np.bincount(np.concatenate(keys), minlength=len(sums))
-        yield _blocks(sums, 1)
+        yield _blocks(sums[: (n + 1) * (CONTEXTS + 1)], 1)
 
     return run
 
@@ -217,19 +218,35 @@ def vocabulary(words: list[str], counts: np.ndarray, known: np.ndarray) -> Vocab
 
 
 class Coder(dict):
-    """word -> number of a hot word, or cold: HOT + topic and a hash above bit 32."""
+    """word -> number of a hot word, or cold: HOT + topic, and its place in ``words`` above bit 32.
+
+    Within one list of texts, codes are equal exactly where words are.
+    """
 
     def __init__(self, v: Vocabulary) -> None:
         super().__init__(v.hot)
         self.v = v
         self.cold: dict[str, int] = {}
+        self.words: list[str] = [""]
+        self.endings: dict[str, int] = {}  # topics of the last four characters of cold words
+
+    def renew(self) -> None:
+        """Forgets cold words when they are many; codes given before no longer hold."""
+        if len(self.words) > CACHE:
+            self.cold.clear()
+            self.endings.clear()
+            del self.words[1:]
 
     def __missing__(self, word: str) -> int:
         code = self.cold.get(word)
         if code is None:
-            if len(self.cold) > CACHE:
-                self.cold.clear()
-            code = self.cold[word] = ((zlib.crc32(word.encode()) >> 2) + 1) << 32 | (HOT + self.v.topic_of(word))
+            topic = self.endings.get(word[-4:])
+            if topic is None:
+                topic = self.v.topic_of(word)
+                if word[-1:] in self.v.ending:  # else the whole word decides
+                    self.endings[word[-4:]] = topic
+            code = self.cold[word] = len(self.words) << 32 | (HOT + topic)
+            self.words.append(word)
         return code
 
 
@@ -249,6 +266,7 @@ class Net:
             head = np.flatnonzero(v.klass < v.heads)
             self.inner_bias[v.klass[head], v.member[head]] = np.log(v.count[head] + 1.0)
             self.inner_bias -= self.inner_bias.max(axis=1, keepdims=True)
+            self.inner_bias[self.outside] = -1e9  # never drawn
 
 
 @dataclass
@@ -256,52 +274,103 @@ class Tokens:
     """Arrays over the tokens of some documents."""
 
     code: np.ndarray
-    doc: np.ndarray  # number of the document
+    lengths: np.ndarray  # tokens of each document
     klass: np.ndarray
     member: np.ndarray
     before: np.ndarray  # class of the previous token
-    features: np.ndarray  # three rows per token
+    features: np.ndarray  # three rows per token, a column in one piece each
     cold: np.ndarray
 
 
+def _hashed(x: np.ndarray, feature: int) -> np.ndarray:
+    return ((x * 0x9E3779B1 >> 11 & (ROWS - 1)) + feature * ROWS).astype(np.uint16 if 3 * ROWS <= 1 << 16 else np.int32)
+
+
 def encode(coder: Coder, texts: list[list[str]]) -> Tokens:
     v = coder.v
+    coder.renew()
     lengths = np.array([len(t) for t in texts])
     code = np.fromiter(map(coder.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(lengths.sum()))
-    doc = np.repeat(np.arange(len(texts)), lengths)
-    low = code & 0xFFFFFFFF
+    low = code.astype(np.int32)  # the lower half
     cold = low >= HOT
-    topic = np.where(cold, low - HOT, 0)
-    hot = np.where(cold, 0, low)
-    klass = np.where(cold, v.heads + topic, v.klass[hot])
-    own = np.where(klass < v.heads, hot, HEAD + klass)  # what contexts see
+    # hot words, then topics of cold ones, look their classes up in one table
+    size = len(v.count)
+    place = np.where(cold, low - (HOT - size), low)
+    klass = np.concatenate([v.klass, v.heads + np.arange(TOPICS)]).astype(np.int32).take(place)
+    member = np.concatenate([v.member, np.zeros(TOPICS, np.int64)]).astype(np.int32).take(place)
+    own = np.where(klass < v.heads, low, HEAD + klass).astype(np.int64)  # what contexts see
     begins = np.cumsum(lengths) - lengths
-    first = np.zeros(len(code), bool)
-    first[begins] = True
-    second = np.zeros(len(code), bool)
-    second[(begins + 1)[lengths > 1]] = True
-    one = np.where(first, -1, np.r_[-1, own[:-1]])
-    two = np.where(first | second, -1, np.r_[-1, -1, own[:-2]][: len(own)])
-    before = np.where(first, v.classes - 1, np.r_[v.classes - 1, klass[:-1]])
-    repeated = np.r_[False, code[1:] == code[:-1]] & ~first
-    klass = np.where(repeated, v.classes - 1, klass)
-    mix = lambda x: (x * 0x9E3779B1 >> 11) & (ROWS - 1)
-    features = np.stack([mix(one + 7), ROWS + mix(two + 77), 2 * ROWS + mix((one + 7) * 40503 + two * 69069 + 5)], axis=1)
-    return Tokens(code, doc, klass, v.member[hot], before, features, cold)
+    one = np.empty_like(own)
+    one[1:] = own[:-1]
+    one[begins] = -1
+    two = np.empty_like(own)
+    two[2:] = own[:-2]
+    two[begins] = -1
+    two[(begins + 1)[lengths > 1]] = -1
+    before = np.empty_like(klass)
+    before[1:] = klass[:-1]
+    before[begins] = v.classes - 1
+    repeated = np.zeros(len(code), bool)
+    repeated[1:] = code[1:] == code[:-1]
+    repeated[begins] = False
+    klass[repeated] = v.classes - 1
+    features = np.stack([_hashed(one + 7, 0), _hashed(two + 77, 1), _hashed((one + 7) * 40503 + two * 69069 + 5, 2)]).T
+    return Tokens(code, lengths, klass, member, before, features, cold)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
-def _scatter(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each row; rows are shifted by their largest entries only where float32 would overflow or vanish."""
+    ones = np.ones(x.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        e = np.exp(x)
+        total = e @ ones
+    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
+        x = x - x.max(axis=1, keepdims=True)
+        e = np.exp(x)
+        total = e @ ones
+    e *= (1 / total)[:, None]
+    return e
+
+
+def _scatter(rows: np.ndarray, grads: np.ndarray, few: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sum of each one's gradients.
+
+    Rows that come up to ``few`` times are summed side by side, one more
+    gradient each time; the others one after the other.
+    """
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
     at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[at], np.add.reduceat(grads[order], at, axis=0)
+    size = np.diff(np.r_[at, len(rows)])
+    sorted_ = grads.take(order, axis=0)
+    sums = sorted_.take(at, axis=0)
+    for k in range(1, few):
+        more = np.flatnonzero((size > k) & (size <= few))
+        if len(more):
+            part = sums.take(more, axis=0)
+            part += sorted_.take(at[more] + k, axis=0)
+            sums[more] = part
+    for i in np.flatnonzero(size > few).tolist():
+        np.add.reduce(sorted_[at[i] : at[i] + size[i]], axis=0, out=sums[i])
+    return ordered[at], sums
+
+
+def _class_weights(net: Net, t: Tokens, s: slice) -> np.ndarray:
+    first, *others = t.features[s].T
+    x = net.rows.take(first, axis=0)
+    for f in others:
+        x += net.rows.take(f, axis=0)
+    x += net.bias
+    return x
+
+
+def _member_weights(net: Net, t: Tokens, s: slice, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``inner`` of each head token, and the weights of its class's members."""
+    k = t.klass[s][head]
+    row = t.before[s][head] * np.int32(net.v.heads) + k
+    x = net.inner.take(row, axis=0)
+    x += net.inner_bias.take(k, axis=0)
+    return row, x
 
 
 def log_probabilities(net: Net, t: Tokens, step: int = STEP_TOKENS) -> np.ndarray:
@@ -309,14 +378,11 @@ def log_probabilities(net: Net, t: Tokens, step: int = STEP_TOKENS) -> np.ndarra
     v, out = net.v, np.zeros(len(t.code))
     for at in range(0, len(out), step):
         s = slice(at, at + step)
-        f = t.features[s]
-        p = _softmax(net.rows[f[:, 0]] + net.rows[f[:, 1]] + net.rows[f[:, 2]] + net.bias)
+        p = _softmax(_class_weights(net, t, s))
         out[s] = np.log10(p[np.arange(len(p)), t.klass[s]] + 1e-12)
         head = np.flatnonzero(t.klass[s] < v.heads)
         if len(head):
-            k, b = t.klass[s][head], t.before[s][head]
-            x = net.inner[b * v.heads + k] + net.inner_bias[k]
-            x[net.outside[k]] = -1e9
+            _, x = _member_weights(net, t, s, head)
             out[at + head] += np.log10(_softmax(x)[np.arange(len(head)), t.member[s][head]] + 1e-12)
     return out
 
@@ -331,29 +397,27 @@ class Trainer:
     def _move(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
         where, g = _scatter(rows, grads)
         w = getattr(self.net, name)
-        total = self.seen[name][where] + np.einsum("ij,ij->i", g, g)[:, None] * np.float32(4 / g.shape[1])
+        total = self.seen[name].take(where, axis=0)
+        total += np.einsum("ij,ij->i", g, g)[:, None] * np.float32(4 / g.shape[1])
         self.seen[name][where] = total
         g *= self.rate / np.sqrt(total)
-        w[where] -= g
+        np.subtract(w.take(where, axis=0), g, out=g)
+        w[where] = g
 
     def update(self, t: Tokens, s: slice) -> None:
         net, v = self.net, self.net.v
-        f = t.features[s]
-        n = len(f)
-        g = _softmax(net.rows[f[:, 0]] + net.rows[f[:, 1]] + net.rows[f[:, 2]] + net.bias)
-        g[np.arange(n), t.klass[s]] -= 1
+        g = _softmax(_class_weights(net, t, s))
+        g[np.arange(len(g)), t.klass[s]] -= 1
         g *= np.float32(0.05)
-        for k in range(3):
-            self._move("rows", f[:, k], g)
+        for f in t.features[s].T:
+            self._move("rows", f, g)
         head = np.flatnonzero(t.klass[s] < v.heads)
         if len(head):
-            k, b = t.klass[s][head], t.before[s][head]
-            x = net.inner[b * v.heads + k] + net.inner_bias[k]
-            x[net.outside[k]] = -1e9
+            row, x = _member_weights(net, t, s, head)
             g = _softmax(x)
             g[np.arange(len(head)), t.member[s][head]] -= 1
             g *= np.float32(0.05)
-            self._move("inner", b * v.heads + k, g)
+            self._move("inner", row.astype(np.uint16) if len(net.inner) <= 1 << 16 else row, g)
 
 
 def _groups(texts: Iterator[str | None], most: int = 8 * STEP_TOKENS) -> Iterator[list[list[str]]]:
@@ -418,7 +482,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     if not words:
         return Model(vocabulary([], n, np.zeros(0, np.int64)), np.zeros(0, np.float32), 0, 0)
     seed = words[:KNOWN_TOPICS]
-    company, _ = _gathered(texts.mapInArrow(_company(sc.broadcast(_Index(seed)), len(seed)), "block int, weight long, data binary"))
+    company, _ = _gathered(texts.mapInArrow(_company(sc.broadcast(_Index(seed)), len(seed)), "block int, weight long, data binary"), (len(seed) + 1) * (CONTEXTS + 1))
     near = company.reshape(len(seed) + 1, CONTEXTS + 1)[: len(seed), : min(CONTEXTS, len(seed))]
     v = vocabulary(words, n, topics(near, n[: len(seed)]))
     tails = counts.mapInArrow(_tails(sc.broadcast(v)), "topic int, tokens long, words long").groupBy("topic").agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).collect()
@@ -429,54 +493,56 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
         part = docs.where(share == k).select("text")
-        sums, weight = _gathered(part.mapInArrow(_train(sc.broadcast((v, net.flat))), "block int, weight long, data binary"))
+        sums, weight = _gathered(part.mapInArrow(_train(sc.broadcast((v, net.flat))), "block int, weight long, data binary"), len(net.flat))
         if weight:
             net = Net(v, sums / weight)
     return Model(v, net.flat, int(total["n"] or 0), int(total["v"]))
 
 
+_SCORED = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("unit", pa.string()), ("freq", pa.int64()), ("scored", pa.int64())]
+)
+
+
+def _cold_rows(coder: Coder, t: Tokens, repeat: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Cold words of each document: how often they occur, and how often not as a repetition."""
+    place = np.flatnonzero(t.cold)
+    doc = np.repeat(np.arange(len(t.lengths)), t.lengths)[place]
+    pairs, which, freq = np.unique(doc << 32 | t.code[place] >> 32, return_inverse=True, return_counts=True)
+    scored = np.bincount(which, ~repeat[place], len(pairs)).astype(np.int64)
+    none = np.zeros(len(pairs), np.int64)
+    units = [coder.words[w] for w in (pairs & 0xFFFFFFFF).tolist()]
+    ids = pa.nulls(len(pairs), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(rows[pairs >> 32]), ids, pa.array(none), pa.array(none), pa.array(none.astype(float)), pa.array(none.astype(float)), pa.array(units, pa.string()), pa.array(freq), pa.array(scored)], schema=_SCORED)
+
+
 def _scorer(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         v = model.vocabulary
         coder, net = Coder(v), Net(v, model.flat) if model.tokens else None
-        log_count = np.log10(v.count + 1)
-        names = ["row", "doc_id", "tokens", "known", "base", "score", "unit", "freq", "scored"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.int64()]
+        # log10 of count + 1 of hot words; of cold ones it is added where counts are joined
+        log_count = np.r_[np.log10(v.count + 1), np.zeros(TOPICS)]
+        tail_total = np.zeros(TOPICS) if v.tail_total is None else v.tail_total
         for batch in batches:
-            rows, ids, text = (batch.column(k).to_pylist() for k in range(3))
+            rows, ids, texts = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_pylist()
             at = 0
-            for group in _groups(text):
+            for group in _groups(texts):
                 t = encode(coder, group)
-                hot = np.where(t.cold, 0, t.code & 0xFFFFFFFF)
-                value = np.where(t.cold, 0.0, log_count[hot]) if len(log_count) else np.zeros(len(t.code))
+                k = len(group)
+                low = t.code.astype(np.int32)
+                value = log_count.take(np.where(t.cold, low - (HOT - len(v.count)), low))
                 repeat = t.klass == v.classes - 1
-                tail = (t.klass >= v.heads) & ~repeat
+                tail = np.flatnonzero((t.klass >= v.heads) & ~repeat)
                 logp = log_probabilities(net, t) if net else np.full(len(t.code), -np.log10(v.classes))
-                logp += np.where(tail, value - (v.tail_total if v.tail_total is not None else np.zeros(TOPICS))[np.where(tail, t.klass - v.heads, 0)], 0.0)
-                k = len(group)
-                size, known = np.bincount(t.doc, minlength=k), np.bincount(t.doc, ~t.cold, k)
-                base, score = np.bincount(t.doc, value, k), np.bincount(t.doc, logp, k)
-                out = [rows[at : at + k], ids[at : at + k], size.tolist(), known.astype(np.int64).tolist(), base.tolist(), score.tolist(), [f" {r}" for r in rows[at : at + k]], [0] * k, [0] * k]
-                places = np.flatnonzero(t.cold)
-                again = repeat[places]
-                inside = (places - (np.cumsum(size) - size)[t.doc[places]]).tolist()
-                bounds = np.searchsorted(t.doc[places], np.arange(k + 1)).tolist()
-                for d, (b, e) in enumerate(itertools.pairwise(bounds)):
-                    if b == e:
-                        continue
-                    said = [group[d][p] for p in inside[b:e]]
-                    whole = Counter(said)
-                    new = Counter(w for w, r in zip(said, again[b:e].tolist(), strict=True) if not r) if again[b:e].any() else whole
-                    c = len(whole)
-                    out[0] += [rows[at + d]] * c
-                    out[1] += [None] * c
-                    for z in range(2, 6):
-                        out[z] += [0] * c
-                    out[6] += list(whole)
-                    out[7] += list(whole.values())
-                    out[8] += [new[w] for w in whole]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names)
+                logp[tail] += value[tail] - tail_total[t.klass[tail] - v.heads]
+                begins = np.cumsum(t.lengths) - t.lengths  # no document is without a token
+                known, base, score = (np.add.reduceat(x, begins) for x in ((~t.cold).astype(np.int64), value, logp))
+                none = pa.array(np.zeros(k, np.int64))
+                mine = rows[at : at + k]
+                yield pa.RecordBatch.from_arrays([pa.array(mine), ids.slice(at, k), pa.array(t.lengths), pa.array(known), pa.array(base), pa.array(score), pa.array([f" {r}" for r in mine.tolist()]), none, none], schema=_SCORED)
+                if t.cold.any():
+                    yield _cold_rows(coder, t, repeat, mine)
                 at += k
 
     return run
