@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from colloquy.llm import decontamination, exact_dedup, graph, language_model, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
+from colloquy.llm import byte_words, decontamination, exact_dedup, graph, language_model, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
 from colloquy.llm.common import table, words_of
 from colloquy.llm.fm_index import FMIndex
 
@@ -75,18 +75,76 @@ def test_substrings_of_far_ids_and_long_texts(spark):
     assert got[1 << 62] == (30_000, 30_000) and got[5] == (1, 0) and got[-(1 << 62)][1] > 28_000
 
 
-def around_one_anchor(k):
-    """Twenty words of their own around a 6-gram of very low hash."""
-    return [f"a{k}n{j}" for j in range(7)] + [f"g45610x{j}" for j in range(6)] + [f"a{k}n{j}" for j in range(7, 14)]
+def low_gram():
+    """Six words whose gram has the lowest hash of many, so that it is the anchor of most windows."""
+    grams = [[f"g{k}x{j}" for j in range(6)] for k in range(60_000)]
+    column = pa.array([" ".join(g) for g in grams])
+    data, offsets = byte_words.buffers(column)
+    h = byte_words.hashes(data, *byte_words.bounds(data, offsets))[0].reshape(-1, 6)
+    total = np.zeros(len(h), np.uint64)
+    for k in range(6):
+        total = total * np.uint64(substring_dedup._MULTIPLIER) + h[:, k]
+    return grams[int(np.argmin(byte_words.mix(total)))]
+
+
+def around(gram, k):
+    """Twenty words of their own around a gram."""
+    return [f"a{k}n{j}" for j in range(7)] + gram + [f"a{k}n{j}" for j in range(7, 14)]
 
 
 def test_different_runs_of_one_anchor_are_not_taken_as_copies(spark):
-    # upper 32 bits of these texts' 64-bit content hashes were equal
-    rows = [(k, " ".join(around_one_anchor(k))) for k in (57423, 87126, 9198, 88858)]
-    got = substring_dedup.deduplicate(docs(spark, rows)).collect()
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_substrings(rows)
-    hashes = np.stack(substring_dedup.runs([around_one_anchor(k) for k in range(130_000)])[4:])
-    assert all(len(np.unique(h)) == hashes.shape[1] for h in hashes)  # 32 bits gave 4 fewer
+    gram = low_gram()
+    *_, anchor, one, two = substring_dedup.runs([around(gram, k) for k in range(130_000)])
+    common = np.unique(anchor, return_counts=True)[1].max()
+    assert common > 120_000 and len(np.unique(one)) == len(np.unique(two)) == len(one)  # whole halves are all different
+    order = np.argsort(one.view(np.uint64) >> np.uint64(32), kind="stable")
+    upper = (one.view(np.uint64) >> np.uint64(32))[order]
+    near = np.flatnonzero(upper[1:] == upper[:-1])
+    doc = substring_dedup.runs([around(gram, k) for k in range(130_000)])[0][order]
+    assert len(near)  # 32 bits would take these as equal
+    rows = [(int(d), " ".join(around(gram, int(d)))) for k in near for d in (doc[k], doc[k + 1])]
+    for hot in (5_000, 1):
+        got = substring_dedup.deduplicate(docs(spark, rows), hot_runs=hot).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_substrings(rows)
+
+
+def test_substrings_of_an_empty_table_and_of_clashing_columns(spark):
+    assert substring_dedup.deduplicate(docs(spark, [])).count() == 0
+    rows = [(2, "w " * 25), (1, "w " * 25)]
+    d = docs(spark, rows).withColumn("rank", F.lit("x")).withColumn("stamp", F.lit(1.5)).withColumn("anchor", F.lit(None).cast("int"))
+    got = substring_dedup.deduplicate(d).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows)
+
+
+def test_ids_and_texts_that_need_more_bits_than_there_are_are_refused(spark, monkeypatch):
+    rows = [(-(1 << 62), "a b"), (0, "c d"), (1 << 62, "a b")]
+    monkeypatch.setattr(substring_dedup, "POSITION_BITS", 7)
+    with pytest.raises(ValueError, match="ids at most"):
+        substring_dedup.deduplicate(docs(spark, rows))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab\u00e9\u4e2d \t\n\x0b\x0c\r\x1c\x85\xa0"), max_size=60)), max_size=8), st.integers(1, 70), st.integers(0, 4))
+def test_byte_words_are_the_words(texts, size, overlap):
+    got, of = {}, {}
+    for row, first, data, offsets in byte_words.pieces(pa.array(texts, pa.string()), overlap, size):
+        start, end = byte_words.bounds(data, offsets)
+        h = byte_words.hashes(data, start, end)
+        begins = np.searchsorted(start, offsets)
+        for k in range(len(offsets) - 1):
+            for j in range(begins[k], begins[k + 1]):
+                word = bytes(data[start[j] : end[j]]).decode()
+                place = (row + k, first + j - begins[k])
+                assert got.setdefault(place, word) == word and of.setdefault(word, h[:, j].tolist()) == h[:, j].tolist()
+    assert got == {(k, j): w for k, t in enumerate(texts) for j, w in enumerate(words_of(t))}
+    assert len({tuple(x) for x in of.values()}) == len(of)
+
+
+def test_long_words_are_hashed_whole():
+    words = ["x" * n for n in (4095, 4096, 4097, 9000)] + ["x" * 8999 + "y", "y" + "x" * 8999, "x" * 4096 + "y"]
+    data, offsets = byte_words.buffers(pa.array([" ".join(words)]))
+    h = byte_words.hashes(data, *byte_words.bounds(data, offsets))
+    assert len(np.unique(h[0])) == len(np.unique(h[1])) == len(words)
 
 
 @settings(max_examples=60, deadline=None)
