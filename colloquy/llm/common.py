@@ -8,6 +8,7 @@ import tempfile
 import unicodedata
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
     ``spark.checkpoint.dir`` where the session has it; else the directory the
-    context already uses; else (tests, single machine) a temporary one.
+    context already uses; else, only where driver and executors are one process
+    (tests), a temporary one.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.sparkContext.setCheckpointDir(set_dir)
         set_dir = spark.sparkContext.getCheckpointDir()
@@ -86,6 +90,26 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """Rows of ``counts`` (unit, n, ...) with the largest n, at most ``most``, by falling n, then unit.
+
+    Only whole grades of n are taken: of those that would pass ``most``, none.
+    Grades are single counts below 1024 and sixty-fourths of a doubling above,
+    so their sizes are a few thousand rows; no task sorts or reads more than
+    its own part.
+    """
+    grade = F.when(F.col("n") < 1024, F.col("n")).otherwise((F.log2("n") * 64).cast("long") + 384)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("units")).collect(), key=lambda r: -r["grade"]):
+        total += r["units"]
+        if total > most:
+            break
+        least = r["grade"]
+    if least is None:
+        return counts.limit(0).toArrow()
+    return counts.where(grade >= least).toArrow().sort_by([("n", "descending"), ("unit", "ascending")])
+
+
 def row_ids(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a unique long per row; equal for every attempt of the same split."""
     return df.withColumn(name, F.monotonically_increasing_id())

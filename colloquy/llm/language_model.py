@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_ids, table, words_of
+from .common import lower_ascii, most_frequent, row_ids, table, words_of
 
 END = " "  # no word equals it
 HEAD = 4096
@@ -144,6 +144,8 @@ def _company(index, n: int):
 
 def topics(company: np.ndarray, counts: np.ndarray, k: int = TOPICS, rounds: int = 25) -> np.ndarray:
     """Spherical k-means of words by square roots of their company, weighted by count."""
+    if not len(company):
+        return np.zeros(0, np.int64)
     x = np.sqrt(company)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     k = min(k, len(x))
@@ -476,10 +478,10 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Fits the model to training documents (doc_id, text) and their word counts (a table)."""
     sc = docs.sparkSession.sparkContext
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    hot = counts.orderBy(F.desc("n"), "unit").limit(HOT).toArrow()  # bounded
+    hot = most_frequent(counts, HOT)
     words, n = hot["unit"].to_pylist(), hot["n"].to_numpy().astype(float)
     texts = docs.select("text")
-    if not words:
+    if not total["n"]:
         return Model(vocabulary([], n, np.zeros(0, np.int64)), np.zeros(0, np.float32), 0, 0)
     seed = words[:KNOWN_TOPICS]
     company, _ = _gathered(texts.mapInArrow(_company(sc.broadcast(_Index(seed)), len(seed)), "block int, weight long, data binary"), (len(seed) + 1) * (CONTEXTS + 1))
