@@ -1,21 +1,23 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed (five consecutive tokens) are
+Documents and benchmark items that share seeds (five consecutive tokens) are
 compared by greedy string tiling: the longest common unmarked runs are marked
-as tiles first, then shorter ones, down to the seed length; candidates of each
+as tiles first, then shorter ones, down to the seed length; runs of each
 length are found by running Karp-Rabin hashes. Tiles don't overlap, but may lie
 in any order, so reordered passages count. An item whose tokens are covered by
-tiles to the threshold is found in the document.
+tiles to the threshold is found in the document. Items of which shared seeds
+can't cover that much are left out before tiling. An item of fewer tokens than
+a seed is found where it is a document's whole text.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,7 @@ def token(word: str) -> str:
 
 def _hash(word: str) -> int:
     t = token(word)
-    data = t.encode()
-    return (zlib.crc32(data) << 32 | zlib.crc32(data, 0xABCDEF) ^ len(data)) if t else 0
+    return (xxhash.xxh3_64_intdigest(t.encode()) or 1) if t else 0
 
 
 class _Hashes(dict):
@@ -86,50 +87,59 @@ def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[i
             yield h, i - size + 1
 
 
+def _common(document: list[int], item: list[int], free_d: list[bool], free_i: list[bool], size: int) -> bool:
+    """Whether unmarked windows of this size have a hash in common."""
+    seen = {h for h, _ in _windows(document, free_d, size)}
+    return any(h in seen for h, _ in _windows(item, free_i, size))
+
+
+def _mark(document: list[int], item: list[int], free_d: list[bool], free_i: list[bool], size: int) -> list[tuple[int, int, int]]:
+    """Marks common runs of this size, in order of the item's and then the document's positions."""
+    places: dict[int, list[int]] = {}
+    for h, d in _windows(document, free_d, size):
+        places.setdefault(h, []).append(d)
+    found: list[tuple[int, int, int]] = []
+    next_i = 0
+    for h, i in list(_windows(item, free_i, size)):
+        if i < next_i or h not in places:
+            continue
+        left = []
+        for k, d in enumerate(places[h]):
+            if not all(free_d[d : d + size]):
+                continue  # a marked place stays marked
+            if item[i : i + size] == document[d : d + size]:
+                free_i[i : i + size] = free_d[d : d + size] = [False] * size
+                found.append((d, i, size))
+                next_i = i + size
+                left += places[h][k + 1 :]
+                break
+            left.append(d)
+        places[h] = left
+    return found
+
+
 def tiles(document: list[int], item: list[int], least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in document, start in item, length) of each tile.
 
     Longest matches are marked first, ties in order of the item's and then the
-    document's positions; every tile has at least ``least`` tokens.
+    document's positions; every tile has at least ``least`` tokens. The longest
+    length is found by halving, so repetitive texts cost no more than others
+    per length.
     """
     free_d, free_i = [True] * len(document), [True] * len(item)
     found: list[tuple[int, int, int]] = []
-    size = max(least, min(len(item), len(document), 4 * least))
-    while True:
-        places: dict[int, list[int]] = {}
-        for h, at in _windows(document, free_d, size):
-            places.setdefault(h, []).append(at)
-        matches: list[tuple[int, int, int]] = []
-        longest = 0
-        for h, i in _windows(item, free_i, size):
-            for d in places.get(h, ()):
-                # a match that goes on from the left has been seen from its start
-                if i and d and free_i[i - 1] and free_d[d - 1] and item[i - 1] == document[d - 1]:
-                    continue
-                n = 0
-                while i + n < len(item) and d + n < len(document) and free_i[i + n] and free_d[d + n] and item[i + n] == document[d + n]:
-                    n += 1
-                if n >= size:
-                    matches.append((n, i, d))
-                    longest = max(longest, n)
-        if longest > 2 * size:  # begin again with the length found
-            size = longest
-            continue
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
-        again = 0
-        for n, i, d in matches:
-            if n < again:
-                break
-            if all(free_i[i : i + n]) and all(free_d[d : d + n]):
-                free_i[i : i + n] = free_d[d : d + n] = [False] * n
-                found.append((d, i, n))
+    most = min(len(item), len(document))
+    while most >= least and _common(document, item, free_d, free_i, least):
+        low, high = least, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            if _common(document, item, free_d, free_i, middle):
+                low = middle
             else:
-                again = n  # a part of it may be longer than the next match
-        if again:
-            continue
-        if size == least:
-            return found
-        size = max(least, size // 2)
+                high = middle - 1
+        found += _mark(document, item, free_d, free_i, low)
+        most = low - 1
+    return found
 
 
 @dataclass
@@ -140,35 +150,65 @@ class Benchmark:
     tokens: list[list[int]]
     seeds: np.ndarray  # sorted
     items: np.ndarray  # of each seed
+    places: np.ndarray  # of each seed in its item
     filter: np.ndarray  # by the upper 20 bits of a seed
+    short: dict[tuple[int, ...], list[int]]  # items of fewer tokens than a seed
+    threshold: float
+    #: Items that sets of seeds can cover.
+    covered: dict[bytes, list[int]] = field(default_factory=dict)
 
     @staticmethod
-    def of(rows: list[tuple[int, str | None]]) -> Benchmark:
+    def of(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD) -> Benchmark:
         hashes = _Hashes()
         tokens = [hashes.of(text)[0] for _, text in rows]
-        seeds = [np.unique(_seeds(t)) for t in tokens]
+        seeds = [_seeds(t) for t in tokens]
         all_ = np.concatenate([*seeds, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
+        place = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, np.int64)])
         order = np.argsort(all_, kind="stable")
         known = np.zeros(1 << 20, bool)
         known[all_ >> np.uint64(44)] = True
-        return Benchmark([i for i, _ in rows], [t.tolist() for t in tokens], all_[order], owner[order], known)
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k, t in enumerate(tokens):
+            if 0 < len(t) < SEED:
+                short.setdefault(tuple(t.tolist()), []).append(k)
+        return Benchmark([i for i, _ in rows], [t.tolist() for t in tokens], all_[order], owner[order], place[order], known, short, threshold)
+
+    def _coverable(self, seeds: np.ndarray) -> list[int]:
+        """Items whose tokens these (distinct) seeds cover to the threshold; tiles lie within what they cover."""
+        key = seeds.tobytes()
+        found = self.covered.get(key)
+        if found is None:
+            low = np.searchsorted(self.seeds, seeds, "left")
+            count = np.searchsorted(self.seeds, seeds, "right") - low
+            entry = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            order = np.lexsort((self.places[entry], self.items[entry]))
+            item, place = self.items[entry][order], self.places[entry][order]
+            reach = np.full(len(item), SEED)
+            same = item[1:] == item[:-1]
+            reach[:-1][same] = np.minimum(np.diff(place), SEED)[same]
+            begins = np.flatnonzero(np.r_[True, ~same])[: len(item)]
+            cover = np.add.reduceat(reach, begins) if len(item) else reach
+            found = [k for k, c in zip(item[begins].tolist(), cover.tolist(), strict=True) if c >= self.threshold * len(self.tokens[k])]
+            if len(self.covered) > CACHE // 10:
+                self.covered.clear()
+            self.covered[key] = found
+        return found
 
     def search(self, hashes: np.ndarray) -> list[tuple[int, list[tuple[int, int, int]]]]:
-        """(item, tiles) of every item that shares a seed with a document's tokens."""
+        """(item, tiles) of every item whose tokens a document's tiles cover to the threshold."""
+        if 0 < len(hashes) < SEED:
+            return [(k, [(0, 0, len(hashes))]) for k in self.short.get(tuple(hashes.tolist()), ())]
         seeds = _seeds(hashes)
         maybe = np.flatnonzero(self.filter[seeds >> np.uint64(44)])
+        at = np.searchsorted(self.seeds, seeds[maybe])
+        maybe = maybe[(at < len(self.seeds)) & (self.seeds[np.minimum(at, len(self.seeds) - 1)] == seeds[maybe])] if len(self.seeds) else maybe[:0]
         if not len(maybe):
             return []
-        low = np.searchsorted(self.seeds, seeds[maybe], "left")
-        count = np.searchsorted(self.seeds, seeds[maybe], "right") - low
-        hit = np.repeat(maybe, count)
-        entry = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        item = self.items[entry]
         found = []
-        for k in np.unique(item).tolist():
+        for k in self._coverable(np.unique(seeds[maybe])):
             # only runs of shared seeds can hold tiles; separators keep them apart
-            starts = hit[item == k]
+            starts = maybe[np.isin(seeds[maybe], _seeds(np.array(self.tokens[k], np.uint64)))]
             near = np.unique(np.concatenate([starts + j for j in range(SEED)]))
             cut = np.flatnonzero(np.diff(near) > 1) + 1
             document: list[int] = []
@@ -179,23 +219,25 @@ class Benchmark:
                     place.append(-1)
                 document += hashes[part].tolist()
                 place += part.tolist()
-            found.append((k, [(place[d], i, n) for d, i, n in tiles(document, self.tokens[k])]))
+            tiled = [(place[d], i, n) for d, i, n in tiles(document, self.tokens[k])]
+            if sum(n for *_, n in tiled) >= self.threshold * len(self.tokens[k]):
+                found.append((k, tiled))
         return found
 
 
 _TILES = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Benchmark]:
+def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Benchmark]:
     """The benchmark in parts of bounded size (one item at least)."""
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-int(chars) // BLOCK_CHARS)
     for k in range(n):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Benchmark.of(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        yield Benchmark.of(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold)
 
 
-def _matcher(held, threshold: float):
+def _matcher(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark, hashes = held.value, _Hashes()
         for batch in batches:
@@ -204,9 +246,8 @@ def _matcher(held, threshold: float):
                 h, at = hashes.of(text)
                 for k, found in benchmark.search(h):
                     covered, whole = sum(n for *_, n in found), len(benchmark.tokens[k])
-                    if covered >= threshold * whole:
-                        spans = [{"doc_start": int(at[d]), "item_start": i, "length": n} for d, i, n in sorted(found)]
-                        rows.append({"doc_id": doc_id, "item_id": benchmark.ids[k], "covered": covered, "item_tokens": whole, "coverage": covered / whole, "tiles": spans})
+                    spans = [{"doc_start": int(at[d]), "item_start": i, "length": n} for d, i, n in sorted(found)]
+                    rows.append({"doc_id": doc_id, "item_id": benchmark.ids[k], "covered": covered, "item_tokens": whole, "coverage": covered / whole, "tiles": spans})
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int64()), ("item_tokens", pa.int64()), ("coverage", pa.float64()), ("tiles", _TILES)])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -217,15 +258,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """A row per document and item (item_id, text) found in it, with its tiles.
 
     ``doc_start`` counts the document's words, ``item_start`` the item's
-    tokens. Null and empty texts match nothing, nor do items of fewer than
-    five tokens. Rows that repeat (documents or items) are reported each;
+    tokens. Null and empty texts match nothing; items of fewer than five tokens
+    match documents that have no other tokens. Rows that repeat (documents or items) are reported each;
     extra columns are ignored. An empty benchmark gives no row.
     """
     sc = docs.sparkSession.sparkContext
     schema = "doc_id long, item_id long, covered long, item_tokens long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
     out = docs.sparkSession.createDataFrame([], schema)
-    for n, block in enumerate(_blocks(benchmark)):
-        part = docs.select("doc_id", "text").mapInArrow(_matcher(sc.broadcast(block), threshold), schema)
+    for n, block in enumerate(_blocks(benchmark, threshold)):
+        part = docs.select("doc_id", "text").mapInArrow(_matcher(sc.broadcast(block)), schema)
         out = out.unionByName(part) if n else part
     return out
 
@@ -233,16 +274,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (all columns) in which no item is found."""
     at = docs.columns.index("text")
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, threshold):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             benchmark_, hashes = held.value, _Hashes()
             for batch in batches:
-                keep = [
-                    not any(sum(n for *_, n in found) >= threshold * len(benchmark_.tokens[k]) for k, found in benchmark_.search(hashes.of(text)[0]))
-                    for text in batch.column(at).to_pylist()
-                ]
+                keep = [not benchmark_.search(hashes.of(text)[0]) for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
