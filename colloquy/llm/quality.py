@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-Features are indicators of hashed n-grams of word shapes, of how much of a
-text each shape makes up, and of words. Each indicator is scaled by its class
+Features are indicators of hashed n-grams: of word shapes up to three, of words
+up to two; and of how much of a text each shape makes up. Each indicator is scaled by its class
 log-count ratio, then a linear hinge-loss model is fit by dual coordinate
 descent and its margins are turned into probabilities by a logistic fit on
 rows kept out of it. The model (two vectors of 2^18 floats) is fit on a bounded
@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import table, words_of
 
 DIMENSIONS = 1 << 18
 #: At most so many labelled rows are used to fit the classifier.
 SAMPLE_ROWS = 20_000
+#: And at most so many indicators in all, so that what the driver holds is bounded.
+SAMPLE_SLOTS = 20_000_000
 CACHE = 300_000
 _SHARES = (0.02, 0.1, 0.3, 0.6)
 #: Odd multipliers that keep the kinds of n-grams apart.
-_MIX = [(zlib.crc32(f"kind {k}".encode()) << 20 | 1) for k in range(11)]
+_MIX = [(zlib.crc32(f"kind {k}".encode()) << 20 | 1) for k in range(13)]
 
 
 def _slot(key: str) -> int:
@@ -84,13 +86,14 @@ class Features:
         kinds = shapes[first]
         share = {("same", x) for x in _SHARES if int((code[1:] == code[:-1]).sum()) >= x * n}
         share |= {("new", x) for x in _SHARES if len(distinct) >= x * n}
-        s = code >> 32
+        s, w = code >> 32, code & 0xFFFFFFFF
         parts = [
             kinds * _MIX[0],
             *[kinds[counts >= x * n] * m for x, m in zip(_SHARES, _MIX[1:], strict=False)],
             s[:-1] * _MIX[5] + s[1:] * _MIX[6],
             s[:-2] * _MIX[7] + s[1:-1] * _MIX[8] + s[2:] * _MIX[9],
             (distinct & 0xFFFFFFFF) * _MIX[10],
+            w[:-1] * _MIX[11] + w[1:] * _MIX[12],
         ]
         slots = (np.concatenate(parts) >> 20) & (DIMENSIONS - 1)
         seen = np.zeros(DIMENSIONS, bool) if n > DIMENSIONS // 4 else None
@@ -151,7 +154,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, c: float
     order = rng.permutation(len(rows))
     apart = set(order[: max(1, len(rows) // 5)].tolist()) if len(rows) >= 50 else set()
     train = [i for i in range(len(rows)) if i not in apart]
-    scaled = [ratio[x] for x in rows]
+    scaled = [ratio[x].astype(np.float32) for x in rows]
     w, bias = np.zeros(DIMENSIONS), 0.0
     dual = np.zeros(len(rows))
     square = [float(v @ v) + 1.0 for v in scaled]
@@ -180,25 +183,36 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
     for batch in batches:
         slots = [features(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int32) for s in slots], pa.list_(pa.int32())), batch.column(1)], ["slots", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array([s.astype(np.int32) for s in slots], pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["slots", "label", "place"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """text, label of at most ``sample_rows`` labelled rows, chosen by a hash.
+    """text, label and place (a hash) of rows with one of at most ``sample_rows`` labelled ids, those of the lowest hashes.
 
     ``labels`` has doc_id and label; null labels are left out, and of several
-    labels of one id the largest holds. The chosen ids, which are bounded, are
+    labels of one id the largest holds. Ids are counted (about) first, so that
+    little more than the chosen ones are sorted; these are bounded and
     broadcast, so no document is shuffled.
     """
-    one = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    place = F.xxhash64("doc_id")
+    known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL")
+    ids = known.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
+    if ids > 2 * sample_rows:
+        known = known.where(place < int(-(2.0**63) + 2.0**64 * min(1.0, 1.5 * sample_rows / ids)))
+    one = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    chosen = one.orderBy(place, "doc_id").limit(sample_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", place.alias("place"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model to documents (doc_id, text) and labels (doc_id, label)."""
-    found = labelled_sample(docs, labels, sample_rows).mapInArrow(_extract, "slots array<int>, label int").toArrow()
-    rows = [np.asarray(x.values, np.int64) for x in found["slots"]]
+    sample = table(labelled_sample(docs, labels, sample_rows).select("text", "label", "place").mapInArrow(_extract, "slots array<int>, label int, place long"), "slots")
+    sizes = sample.groupBy("place").agg(F.sum(F.size("slots")).alias("n")).toArrow().sort_by("place")  # a row per sampled id
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), SAMPLE_SLOTS, "right"))
+    if fits < sizes.num_rows:
+        sample = sample.where(F.col("place") < sizes["place"][fits].as_py())
+    found = sample.select("slots", "label").toArrow()
+    rows = [x.values.to_numpy() for x in found["slots"]]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].sum()))  # whatever the tasks' order
     return fit([rows[i] for i in order], np.array([found["label"][i].as_py() for i in order], np.int64))
 
@@ -216,7 +230,8 @@ def _scorer(model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row; null texts score as empty ones.
 
-    Repeated rows score alike; extra columns are ignored.
+    Repeated rows score alike, ties are equal scores; very long texts are read
+    whole; an empty table gives no row; extra columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_scorer(held), "doc_id long, score double")
