@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, words_of
+from .common import lower_ascii, most_frequent, table, words_of
 from .quality import labelled_sample, logistic
 
 #: At most so many labelled rows are used to fit the classifier.
@@ -162,31 +162,22 @@ def karlin_altschul(values: np.ndarray, weights: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def fit(rows: list[tuple[str, int, int]], documents: list[tuple[list[str], int]]) -> Model:
-    """Fits a model to token counts (token, toxic, clean) and tokenised rows.
+def unfitted(toxic: int, documents: int) -> Model:
+    """A model that scores every text as the share of toxic documents (0.5 without documents)."""
+    share = 0.5 if not documents else min(max(toxic / documents, 0.01), 0.99)
+    return Model(b=math.log(share / (1 - share)))
 
-    ``documents`` (words, label) calibrate what the counts, taken over other
-    rows, have scored. With one class only, every text scores as its share.
+
+def chance(clean: dict[float, int], best: list[tuple[int, float]]) -> tuple[float, float]:
+    """lambda and K of clean texts, from counts of token scores and each text's (tokens, best segment score).
+
+    K is such that clean texts have one chance segment of their best score in
+    the median.
     """
-    counts = {t: (a, b) for t, a, b in rows}
-    toxic = sum(y for _, y in documents)
-    if not documents or toxic in (0, len(documents)):
-        share = 0.5 if not documents else min(max(toxic / len(documents), 0.01), 0.99)
-        return Model(b=math.log(share / (1 - share)))
-    scores, default = token_log_odds(counts, toxic, len(documents) - toxic)
-    model = Model(scores, default)
-    look = _Scores(model)
-    scored = [look.of(w) for w, _ in documents]
-    clean = Counter(np.round(np.concatenate([s for s, (_, y) in zip(scored, documents, strict=True) if not y] or [np.array([-1.0])]), 2).tolist())
-    model.lam = karlin_altschul(np.array(list(clean)), np.array(list(clean.values())))
-    # K such that clean texts have one chance segment of their best score on average
-    best = [(len(s), max((x[0] for x in segments(s)), default=0.0)) for s, (_, y) in zip(scored, documents, strict=True) if not y and len(s)]
-    expected = [n * math.exp(-min(model.lam * s, 700.0)) for n, s in best if s > 0]
-    model.k = 1 / max(float(np.median(expected)), 1e-9) if expected else 0.1
-    model.k = min(max(model.k, 1e-4), 1.0)
-    x = np.array([math.log1p(model.significance(s)[0]) for s in scored])
-    model.a, model.b = logistic(x, np.array([y for _, y in documents]))
-    return model
+    lam = karlin_altschul(np.array(list(clean) or [-1.0]), np.array(list(clean.values()) or [1]))
+    expected = [n * math.exp(-min(lam * s, 700.0)) for n, s in best if s > 0]
+    k = 1 / max(float(np.median(expected)), 1e-9) if expected else 0.1
+    return lam, min(max(k, 1e-4), 1.0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,15 +190,67 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[t][0] for t in names], pa.int64()), pa.array([found[t][1] for t in names], pa.int64())], ["token", "toxic", "clean"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, calibration_rows: int = 4000) -> Model:
-    """Fits a model to documents (doc_id, text) and labels (doc_id, label)."""
+def _clean_scores(held):
+    """Of clean texts: counts of rounded token scores, and each one's tokens and best segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, counts, sizes, best = _Scores(held.value), Counter(), [], []
+        for batch in batches:
+            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
+                if not label:
+                    scores = look.of(words_of(text))
+                    counts.update(np.round(scores, 2).tolist())
+                    if len(scores):
+                        sizes.append(len(scores))
+                        best.append(max((x[0] for x in segments(scores)), default=0.0))
+        n = len(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([False] * n + [True] * len(best)), pa.array([*counts, *best], pa.float64()), pa.array([*counts.values(), *sizes], pa.int64())], ["whole", "score", "n"]
+        )
+
+    return run
+
+
+def _significances(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Scores(held.value)
+        for batch in batches:
+            found = [math.log1p(held.value.significance(look.of(words_of(t)))[0]) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch["label"]], ["x", "label"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fits a model to documents (doc_id, text) and labels (doc_id, label).
+
+    Token counts come from four fifths of the sampled texts, by a hash; the
+    others calibrate what those counts have scored. Texts stay in tasks: the
+    driver gets counts, and a few numbers per calibration row. With one class
+    only, every text scores as its share.
+    """
+    sc = docs.sparkSession.sparkContext
     sample = labelled_sample(docs, labels, sample_rows)
     part = F.pmod(F.xxhash64("text"), F.lit(5))
-    counts = sample.where(part != 0).mapInArrow(_count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    top = counts.where("toxic + clean > 1").orderBy(F.desc("toxic"), F.desc("clean"), "token").limit(MODEL_KEYS).toArrow()
-    apart = sample.where(part == 0).orderBy(F.xxhash64("text", F.lit(1))).limit(calibration_rows).collect()
-    rows = list(zip(*(top[c].to_pylist() for c in ("token", "toxic", "clean")), strict=True))
-    return fit(rows, [(words_of(r.text), int(r.label)) for r in apart])
+    counts = sample.where(part != 0).select("text", "label").mapInArrow(_count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # tokens of toxic texts come first, then the most frequent ones
+    weight = F.col("toxic") * (1 << 20) + F.least("clean", F.lit((1 << 20) - 1))
+    top = most_frequent(table(counts.where("toxic + clean > 1").select(F.col("token").alias("unit"), weight.alias("n"), "toxic", "clean"), "toxic-counts"), MODEL_KEYS)
+    apart = table(sample.where(part == 0).select("text", "label"), "calibration")
+    documents, toxic = apart.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not documents or toxic in (0, documents):
+        return unfitted(toxic or 0, documents)
+    scores, default = token_log_odds({t: (a, b) for t, a, b in zip(*(top[c].to_pylist() for c in ("unit", "toxic", "clean")), strict=True)}, toxic, documents - toxic)
+    model = Model(scores, default)
+    found = apart.mapInArrow(_clean_scores(sc.broadcast(model)), "whole boolean, score double, n long").toArrow().to_pylist()
+    clean: Counter[float] = Counter()
+    for r in found:
+        if not r["whole"]:
+            clean[r["score"]] += r["n"]
+    model.lam, model.k = chance(clean, [(r["n"], r["score"]) for r in found if r["whole"]])
+    judged = apart.mapInArrow(_significances(sc.broadcast(model)), "x double, label int").toArrow()
+    model.a, model.b = logistic(judged["x"].to_numpy(), judged["label"].to_numpy())
+    return model
 
 
 def _scorer(model):
@@ -230,7 +273,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and significant passages (word spans) of every row.
 
     Null and empty texts have no segment and score as such a text; repeated
-    rows score alike; extra columns are ignored.
+    rows score alike, ties are equal scores; very long texts are scanned whole,
+    in linear time; an empty table gives no row; extra columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_scorer(held), "doc_id long, score double, passages array<struct<start:int,end:int,expected:double>>")
