@@ -7,7 +7,8 @@ of the Hamming(15, 11) code; it covers all words with radius 1. Every
 fingerprint has one home anchor per segment, and is replicated to each anchor
 within radius plus threshold (1 + 1) of it, hence any linked pair meets at the
 home anchor of either. Pairs are compared at the anchors; each task reports a
-spanning forest of what it found instead of all pairs.
+spanning forest of what it found instead of all pairs. A crowded anchor's homes
+and members are dealt out in blocks, so that each pair of blocks is a group.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_group, later_of_group, lower_ascii, table, words_of
+from .common import first_of_group, later_of_group, lower_ascii, most_frequent, table, words_of
 from .graph import components
 
 SEED = 42
@@ -29,6 +30,13 @@ MOST_BITS = 4
 #: Bit ranges of the segments; the first CODED bits of each are covered by the code.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 CODED = 15
+#: Anchors of one segment that share members with an anchor, itself included: 35 codewords at distance 3, 7 flips of a bit.
+NEAR_ANCHORS = 43
+#: Anchors with more members are dealt out in blocks, at most CROWDED of them.
+MEMBERS = 20_000
+CROWDED = 1 << 16
+#: Bits of an anchor; the block's number lies above.
+ANCHOR_BITS = 36
 #: Pairs compared at once.
 BLOCK = 1 << 21
 
@@ -83,27 +91,87 @@ def _code_tables() -> tuple[np.ndarray, np.ndarray]:
     return home, near
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    home, near = _code_tables()
+def _keys(number: int, word: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return number << 32 | rest << CODED | word
+
+
+def _segment(fp: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coded and other bits of a segment."""
+    low, bits = SEGMENTS[number]
+    value = (fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
+    return value & ((1 << CODED) - 1), value >> CODED
+
+
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    home, _ = _code_tables()
     for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            fp = batch.column(0).slice(at, 20_000).to_numpy()
-            keys, fps, homes = [], [], []
-            for number, (low, bits) in enumerate(SEGMENTS):
-                value = (fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
-                coded, raw = value & ((1 << CODED) - 1), value >> CODED
-                key = lambda word, rest, n=number: n << 32 | rest << CODED | word
-                mine = key(home[coded], raw)
-                keys.append(mine), fps.append(fp), homes.append(np.ones(len(fp), bool))
-                reached = near[coded]
-                there = reached[:, 1:] >= 0
-                keys.append(key(reached[:, 1:], raw[:, None])[there])
-                fps.append(np.broadcast_to(fp[:, None], there.shape)[there])
-                for bit in range(bits - CODED):
-                    keys.append(key(home[coded], raw ^ (1 << bit)))
-                    fps.append(fp)
-                homes += [np.zeros(sum(map(len, keys)) - sum(map(len, homes)), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(homes))], ["anchor", "fp", "home"])
+        fp = batch.column(0).to_numpy()
+        for number in range(len(SEGMENTS)):
+            coded, rest = _segment(fp, number)
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(number, home[coded], rest))], ["anchor"])
+
+
+def _replicas(fp: np.ndarray, home: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, fingerprint, whether it is the home) of all anchors of these fingerprints."""
+    keys, fps, homes = [], [], []
+    for number, (_, bits) in enumerate(SEGMENTS):
+        coded, rest = _segment(fp, number)
+        reached = near[coded][:, 1:]
+        there = reached >= 0
+        keys += [_keys(number, home[coded], rest), _keys(number, reached, rest[:, None])[there]]
+        fps += [fp, np.broadcast_to(fp[:, None], there.shape)[there]]
+        for bit in range(bits - CODED):
+            keys.append(_keys(number, home[coded], rest ^ (1 << bit)))
+            fps.append(fp)
+        homes += [np.ones(len(fp), bool), np.zeros(sum(map(len, keys)) - sum(map(len, homes)) - len(fp), bool)]
+    return np.concatenate(keys), np.concatenate(fps), np.concatenate(homes)
+
+
+def _dealt(keys: np.ndarray, fps: np.ndarray, homes: np.ndarray, crowded: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of crowded anchors once for each pair of a block of homes and one of members that they belong to."""
+    at = np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)
+    hot = crowded[at] == keys
+    if not hot.any():
+        return keys, fps, homes
+    out = [(keys[~hot], fps[~hot], homes[~hot])]
+    key, fp, n = keys[hot], fps[hot], blocks[at[hot]]
+    mine = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)) % n
+    for is_home in (False, True):
+        rows = np.flatnonzero(homes[hot]) if is_home else np.arange(len(key))
+        times = n[rows]
+        row = np.repeat(rows, times)
+        other = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pair = mine[row] * n[row] + other if is_home else other * n[row] + mine[row]
+        out.append((key[row] | (pair + 1) << ANCHOR_BITS, fp[row], np.full(len(row), is_home)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _anchors(crowded: np.ndarray, blocks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, near = _code_tables()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                rows = _replicas(batch.column(0).slice(at, 20_000).to_numpy(), home, near)
+                if len(crowded):
+                    rows = _dealt(*rows, crowded, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["anchor", "fp", "home"])
+
+    return run
+
+
+def crowded_anchors(nodes: DataFrame, members: int = MEMBERS) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with more members than that (sorted), and in how many blocks they are dealt out.
+
+    Members are counted only if some anchor is home to so many that one could
+    have them.
+    """
+    none = np.zeros(0, np.int64)
+    most = nodes.select("fp").mapInArrow(_homes, "anchor long").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    if (most or 0) * NEAR_ANCHORS <= members:
+        return none, none
+    counts = nodes.select("fp").mapInArrow(_anchors(none, none), "anchor long, fp long, home boolean").groupBy(F.col("anchor").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    found = most_frequent(table(counts.where(F.col("n") > members), "crowded"), CROWDED).sort_by("unit")
+    return found["unit"].to_numpy(), -(-found["n"].to_numpy() // members)
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +205,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int) -> tu
     end = np.cumsum(width)
     at = 0
     while at < len(mine):
-        # homes whose pairs fit a block; one home's own pairs go in pieces
+        # homes whose pairs fit a block, one at least; a home meets at most its group's rows
         to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + BLOCK, "right")))
         w = width[at:to]
         left = np.repeat(mine[at:to], w)
@@ -178,14 +246,14 @@ def _linker(most: int):
     return run
 
 
-def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
+def links(nodes: DataFrame, most: int = MOST_BITS, members: int = MEMBERS) -> DataFrame:
     """u, v: edges that connect all fingerprints linked at ``most`` bits or fewer.
 
     ``nodes`` has distinct fingerprints (fp).
     """
     if most > MOST_BITS:
         raise ValueError(f"the segments cover at most {MOST_BITS} differing bits")
-    replicas = nodes.select("fp").mapInArrow(_anchors, "anchor long, fp long, home boolean")
+    replicas = nodes.select("fp").mapInArrow(_anchors(*crowded_anchors(nodes, members)), "anchor long, fp long, home boolean")
     met = replicas.repartition("anchor").sortWithinPartitions("anchor")
     return met.mapInArrow(_linker(most), "u long, v long").distinct()
 
