@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -19,7 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from colloquy.llm import byte_words, decontamination, exact_dedup, graph, language_model, packing, quality, simhash, substring_dedup, token_counts, toxicity, warc
-from colloquy.llm.common import table, words_of
+from colloquy.llm.common import most_frequent, table, words_of
 from colloquy.llm.fm_index import FMIndex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -198,6 +199,53 @@ def test_tiles_match_brute_force():
         assert sorted(decontamination.tiles(document, item, 3)) == brute_tiles(document, item, 3)
 
 
+def test_search_finds_what_tiling_of_whole_texts_finds():
+    r = random.Random(8)
+    stock = [f"s{k}" for k in range(9)]
+    items = []
+    for k in range(150):
+        own = [f"w{r.randrange(60)}" for _ in range(r.randrange(1, 30))]
+        at = r.randrange(len(own) + 1)
+        items.append((k, " ".join(own[:at] + (stock if k % 2 else []) + own[at:])))
+    index = decontamination.Benchmark.of(items)
+    hashes = decontamination._Hashes()
+    for _ in range(60):
+        parts = [r.choice(items)[1].split() for _ in range(3)]
+        words = [w for p in parts for w in (p[len(p) // 2 :] + p[: len(p) // 2] if r.random() < 0.5 else p[r.randrange(4) :])] + stock + ["...", "x"]
+        h = hashes.of(" ".join(words))[0]
+        want = {}
+        for k, t in enumerate(index.tokens):
+            covered = sum(n for *_, n in brute_tiles(h.tolist(), t, 5))
+            if len(t) >= 5 and covered >= 0.6 * len(t):
+                want[k] = covered
+        assert {k: sum(n for *_, n in found) for k, found in index.search(h)} == want and want
+    assert {k for k, _ in index.search(hashes.of(items[0][1])[0])} >= {0}
+
+
+def test_repetitive_texts_and_common_phrases_stay_cheap():
+    began = time.process_time()
+    assert decontamination.tiles([1] * 20_000, [1] * 20_000) == [(0, 0, 20_000)]
+    assert sum(n for *_, n in decontamination.tiles([1, 2] * 10_000, [2, 1, 1] * 300)) >= 0
+    phrase = " ".join(f"p{k}" for k in range(10))
+    index = decontamination.Benchmark.of([(k, f"{phrase} " + " ".join(f"i{k}w{j}" for j in range(10))) for k in range(20_000)])
+    h = decontamination._Hashes().of("a b " + phrase + " c d")[0]
+    for _ in range(50):
+        assert index.search(h) == []
+    assert time.process_time() - began < 30
+
+
+def test_short_items_are_found_where_they_are_the_whole_text(spark):
+    benchmark = spark.createDataFrame([(1, "Forty two."), (2, "forty"), (3, "...")], "item_id long, text string")
+    rows = [(1, "forty TWO"), (2, "it is forty two"), (3, "Forty!"), (4, "..."), (5, None)]
+    got = {(r.doc_id, r.item_id, r.coverage) for r in decontamination.contaminated(docs(spark, rows), benchmark).collect()}
+    assert got == {(1, 1, 1.0), (3, 2, 1.0)}
+    assert decontamination.contaminated(docs(spark, []), benchmark).count() == 0
+
+
+def test_tokens_of_equal_length_do_not_collide():
+    assert decontamination._hash("yxh54suv2vh9") != decontamination._hash("wfru5kkh6mze")
+
+
 def test_reordered_passages_are_found_and_clean_text_is_not(spark, monkeypatch):
     item = [f"q{i}" for i in range(24)]
     bench = [(1, " ".join(item)), (2, "too short"), (3, None), (4, "")]
@@ -317,6 +365,101 @@ def test_toxicity_learns_families_of_words_and_finds_the_passage(spark):
     assert toxicity.score(d.limit(1), none).first().score == 0.5
 
 
+def test_quality_fit_is_that_of_a_plain_dual_coordinate_descent():
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for k in range(40):
+        y = k % 2
+        rows.append(np.unique(np.r_[rng.choice(30, 6) + (0 if y else 12), 100 + rng.choice(40, 3)]))
+        labels.append(y)
+    got = quality.fit(rows, np.array(labels), epochs=400)
+    # dense features scaled by class log-count ratios, hinge loss solved by projected gradient on the dual
+    counts = np.ones((2, quality.DIMENSIONS))
+    for x, y in zip(rows, labels, strict=True):
+        counts[y, x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    dense = np.zeros((40, 140))
+    for k, x in enumerate(rows):
+        dense[k, x] = ratio[x]
+    signed = np.c_[dense, np.ones(40)] * np.where(np.array(labels) == 1, 1.0, -1.0)[:, None]
+    q = signed @ signed.T
+    dual, step = np.zeros(40), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(20_000):
+        dual = np.clip(dual - step * (q @ dual - 1), 0, 0.05)
+    w = dual @ signed
+    used = np.unique(np.concatenate(rows))
+    touched = np.count_nonzero((dense[dual > 1e-9] != 0).any(axis=0))  # features of support vectors
+    want = (0.75 * np.abs(w[:140]).sum() / touched + 0.25 * w[:140]) * ratio[:140]
+    assert np.abs(got.weights[used] - want[used]).max() < 2e-3 * np.abs(want).max() and abs(got.bias - w[140]) < 2e-3
+
+
+def brute_slots(text):
+    words = words_of(text)
+    n = len(words)
+    if not n:
+        return [quality._slot("empty")]
+    kinds = [zlib.crc32(quality.shape(w).encode()) >> 1 for w in words]
+    keys = [k * quality._MIX[0] for k in kinds] + [zlib.crc32(w.encode()) * quality._MIX[10] for w in words]
+    keys += [k * m for k in kinds for x, m in zip(quality._SHARES, quality._MIX[1:], strict=False) if kinds.count(k) >= x * n]
+    keys += [a * quality._MIX[5] + b * quality._MIX[6] for a, b in itertools.pairwise(kinds)]
+    keys += [a * quality._MIX[7] + b * quality._MIX[8] + c * quality._MIX[9] for a, b, c in zip(kinds, kinds[1:], kinds[2:])]
+    codes = [zlib.crc32(w.encode()) for w in words]
+    keys += [a * quality._MIX[11] + b * quality._MIX[12] for a, b in itertools.pairwise(codes)]
+    wrap = lambda x: (x + 2**63) % 2**64 - 2**63
+    slots = {(wrap(k) >> 20) & (quality.DIMENSIONS - 1) for k in keys}
+    same, new = sum(a == b for a, b in itertools.pairwise(words)), len(set(words))
+    return sorted(slots | {quality._slot(repr((s, x))) for s, v in (("same", same), ("new", new)) for x in quality._SHARES if v >= x * n})
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("aB1!é \t\x1c."), max_size=60))
+def test_quality_indicators_match_brute_force(text):
+    assert quality.Features()(text).tolist() == brute_slots(text)
+
+
+def test_quality_sample_is_bounded_in_indicators_and_ids(spark, monkeypatch):
+    d, l = labelled(spark)
+    label = l.select("doc_id", F.col("quality").alias("label"))
+    assert quality.labelled_sample(d, label, 30).count() == 30
+    places = [r.place for r in quality.labelled_sample(d, label, 30).collect()]
+    assert max(places) <= sorted(r[0] for r in l.select(F.xxhash64("doc_id")).collect())[29]
+    monkeypatch.setattr(quality, "SAMPLE_SLOTS", 2000)
+    few = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: few.extend(rows))
+    quality.train(d, label)
+    assert 0 < sum(map(len, few)) <= 2000
+
+
+def test_toxic_token_scores_follow_the_chain_of_priors():
+    counts = {"abcdefg": (4, 1), "abcxyz": (0, 3), "ab": (1, 1)}
+    scores, default = toxicity.token_log_odds(counts, 2, 8, strength=2.0, penalty=2.0)
+    base = 2.5 / 11
+    three = (4 + 10 * base) / (8 + 10)  # abc: both long tokens
+    four = (4 + 10 * three) / (5 + 10)
+    five = (4 + 10 * four) / (5 + 10)
+    odds = lambda s: np.log(s / (1 - s)) - np.log(base / (1 - base)) - 2
+    assert default == -2.0 and abs(scores["abc\x00"] - odds(three)) < 1e-12 and abs(scores["abcde\x00"] - odds(five)) < 1e-12
+    assert abs(scores["abcdefg"] - odds((4 + 2 * five) / 7)) < 1e-12 and abs(scores["ab"] - odds((1 + 2 * base) / 4)) < 1e-12
+    model = toxicity.Model(scores, default)
+    assert model.token_score("(ABCDEzz!") == scores["abcde\x00"] and model.token_score("abcq") == scores["abc\x00"] and model.token_score("zz") == -2.0
+
+
+def test_extreme_value_parameters_solve_their_equations():
+    clean = {-2.0: 90, 1.0: 8, 2.5: 2}
+    lam, k = toxicity.chance(clean, [(100, 2.0), (50, 1.0), (400, 3.0), (10, 0.0)])
+    assert abs(sum(n * np.exp(lam * s) for s, n in clean.items()) / 100 - 1) < 1e-6 and lam > 0
+    assert abs(k - min(1.0, 1 / np.median([100 * np.exp(-2 * lam), 50 * np.exp(-lam), 400 * np.exp(-3 * lam)]))) < 1e-12
+    # and with them about one random clean text in 1/x has a segment of expectation x
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(lam=lam, k=0.2)
+    hits = sum(any(s > 8 for s, *_ in toxicity.segments(rng.choice(list(clean), 200, p=[0.9, 0.08, 0.02]))) for _ in range(300))
+    assert hits <= 300 * 4 * model.k * 200 * np.exp(-lam * 8) + 20
+
+
+def test_toxicity_of_an_empty_table(spark):
+    assert toxicity.score(docs(spark, []), toxicity.Model()).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(-4, 4), max_size=14))
 def test_segments_are_the_maximal_ones(values):
@@ -410,11 +553,27 @@ def test_exact_groups(spark, monkeypatch):
     assert [r.kept for r in got if r.doc_id == 6] == [True, True]
     assert by[5].text_sha256 == hashlib.sha256(b"a b c").hexdigest()
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
-    weak = {xxhash.xxh3_128_digest(exact_dedup.normalise("a b c"))}
-    assert exact_dedup._recipes(frozenset(weak))  # identifiers that fail give way to bytes
     assert exact_dedup.chunk_collisions(docs(spark, rows)).count() == 0
 
 
+def test_chunk_identifiers_that_collide_give_way_to_bytes(monkeypatch):
+    class Weak:
+        xxh3_128_digest = staticmethod(lambda c: bytes([len(c) % 2]) * 16)
+
+    texts = ["aa bb", "cc  dd", "aa\tbb", "x", "y", None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(exact_dedup, "xxhash", Weak)
+    (found,) = exact_dedup._distinct_chunks(iter([batch.select(["text"])]))
+    of = {}
+    for r in found.to_pylist():
+        of.setdefault(r["digest"], set()).add(r["chunk"])
+    bad = frozenset(d for d, c in of.items() if len(c) > 1)
+    assert bad
+    recipes = [next(exact_dedup._recipes(b)(iter([batch])))["recipe"].to_pylist() for b in (frozenset(), bad)]
+    assert recipes[0][0] == recipes[0][1]  # without verification these would be equal
+    assert [[a == b for b in recipes[1]] for a in recipes[1]] == [[exact_dedup.normalise(a) == exact_dedup.normalise(b) for b in texts] for a in texts]
+
+
 # ---- SimHash
 
 
@@ -432,7 +591,8 @@ def test_fingerprints(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text)
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("members", [simhash.MEMBERS, 40, 7])
+def test_links_lose_nothing(spark, members):
     r = random.Random(4)
     near = [r.getrandbits(64) for _ in range(60)]
     for f in list(near):
@@ -456,7 +616,8 @@ def test_links_lose_nothing(spark):
             parent[max(find(i), find(j))] = min(find(i), find(j))
     signed = [int(np.array(f, np.uint64).astype(np.int64)) for f in fps]
     nodes = spark.createDataFrame([(s,) for s in signed], "fp long")
-    roots = {r.id: r.root for r in graph.components(simhash.links(nodes)).collect()}
+    roots = {r.id: r.root for r in graph.components(simhash.links(nodes, members=members)).collect()}
+    assert len(simhash.crowded_anchors(nodes, members)[0]) > 0 or members > 40
     groups = {}
     for k, s in enumerate(signed):
         groups.setdefault(find(k), set()).add(s)
@@ -466,6 +627,12 @@ def test_links_lose_nothing(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_anchor_bits_hold_every_anchor():
+    fps = np.array([0, -1, 1 << 62, -(1 << 63)], np.int64)
+    keys, fp, home = simhash._replicas(fps, *simhash._code_tables())
+    assert keys.min() >= 0 and keys.max() < 1 << simhash.ANCHOR_BITS and home.sum() == 3 * len(fps) and len(keys) == len(fp)
+
+
 def test_near_groups_of_odd_rows(spark):
     text = " ".join(f"t{i}" for i in range(400))
     rows = [(4, text), (2, text + " end"), (9, text), (7, None), (3, ""), (5, LONG), (None, LONG), (6, "x"), (6, "x")]
@@ -497,9 +664,128 @@ def test_dedup_stages_keep_one_row_a_group(spark, stage):
     assert "_row" not in got.columns and "doc_id" in got.columns
 
 
+STAGE_ROWS = [(9001, None), (9002, ""), (9002, ""), (None, "house tree river stone"), (9004, "BUY!! " * 60), (9005, LONG)]
+
+
+def stage_dir(spark, tmp_path):
+    """Labels, benchmark and documents (with clashing columns) as the pipeline reads them."""
+    d, l = labelled(spark, 40)
+    spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(24))), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    l.write.parquet(f"{tmp_path}/labels.parquet")
+    return d, l
+
+
+def test_stages_bear_odd_rows_and_empty_tables(spark, tmp_path):
+    d, _ = stage_dir(spark, tmp_path)
+    clash = {n: F.lit(1) for n in ("label", "fp", "root", "key", "slots", "place", "rank")}
+    odd_rows = docs(spark, STAGE_ROWS).drop("_row").withColumns(clash)
+    whole = d.withColumns({n: c for n, c in clash.items()})
+    for column in odd_rows.columns:
+        if column not in whole.columns:
+            whole = whole.withColumn(column, F.lit(None).cast(dict(odd_rows.dtypes)[column]))
+    whole = whole.select(odd_rows.columns).unionByName(odd_rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, whole, str(tmp_path))
+        assert got.columns == whole.columns and stage(spark, whole.limit(0), str(tmp_path)).count() == 0, name
+    kept = corpus_pipeline.quality_filter(spark, whole, str(tmp_path))
+    assert kept.where("doc_id = 9004").count() == 0 and kept.where("doc_id < 40").count() >= 40
+    pieces = corpus_pipeline.packed(spark, odd_rows, str(tmp_path))
+    assert pieces.where("doc_id = 9002").agg(F.sum("length")).first()[0] == 2 and corpus_pipeline.packed(spark, whole.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_matches_its_stages_by_brute_force(spark, tmp_path):
+    d, _ = stage_dir(spark, tmp_path)
+    item = " ".join(f"q{i}" for i in range(24))
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(r.doc_id, r.text) for r in d.collect()] + [(9001, base), (9002, base.replace(" ", "\n")), (9003, base + " more"), (9004, "the stone " + item), (9005, "BUY!! NOW!! FREE!! " * 20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    all_docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = {r.doc_id for r in quality.accepted(all_docs, quality.train(all_docs, labels)).collect()}
+    left = {k: " ".join(WORD.findall(t)) for k, t in sorted(rows) if k in good}
+    left = {k: t for k, t in left.items() if k == min(j for j, u in left.items() if u == t)}
+    prints = {k: brute_fingerprint(t) for k, t in left.items()}
+    root = {k: k for k in left}
+    for _ in left:
+        for a, b in itertools.combinations(left, 2):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                root[a] = root[b] = min(root[a], root[b])
+    left = {k: t for k, t in left.items() if root[k] == k and item not in t}
+    tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = dict(rows)
+    want = {k: len(tk.encode(texts[k], add_special_tokens=False).ids) + 1 for k in left}
+    assert {r.doc_id: r.doc_tokens for r in got} == want and sum(r.length for r in got) == sum(want.values())
+    assert 9001 in want and not {9002, 9003, 9004, 9005} & set(want)
+
+
 # ---- language model
 
 
+def brute_scores(model, counts, text):
+    """log10 probability of a text, token by token, from the model's parameters."""
+    v, flat = model.vocabulary, model.flat.astype(float)
+    lm, c, h = language_model, v.classes, max(v.heads, 1)
+    rows, flat = flat[: 3 * lm.ROWS * c].reshape(-1, c), flat[3 * lm.ROWS * c :]
+    bias, flat = flat[:c], flat[c:]
+    inner, inner_bias = flat[: c * h * lm.WIDTH].reshape(-1, lm.WIDTH), flat[c * h * lm.WIDTH :].reshape(-1, lm.WIDTH)
+    words = [*WORD.findall("".join(x.lower() if "A" <= x <= "Z" else x for x in text or "")), lm.END]
+    klass, own = [], []
+    for w in words:
+        i = v.hot.get(w)
+        klass.append(int(v.klass[i]) if i is not None else v.heads + v.topic_of(w))
+        own.append(i if klass[-1] < v.heads else lm.HEAD + klass[-1])
+    total = 0.0
+    for k, w in enumerate(words):
+        one, two = own[k - 1] if k else -1, own[k - 2] if k > 1 else -1
+        slot = lambda x: (x * 0x9E3779B1 >> 11) & (lm.ROWS - 1)
+        x = bias + rows[slot(one + 7)] + rows[lm.ROWS + slot(two + 77)] + rows[2 * lm.ROWS + slot((one + 7) * 40503 + two * 69069 + 5)]
+        p = np.exp(x - x.max())
+        target = c - 1 if k and words[k - 1] == w else klass[k]
+        total += np.log10(p[target] / p.sum())
+        if target < v.heads:
+            before = klass[k - 1] if k else c - 1
+            y = inner[before * h + target, : v.sizes[target]] + inner_bias[target, : v.sizes[target]]
+            q = np.exp(y - y.max())
+            total += np.log10(q[v.member[v.hot[w]]] / q.sum())
+        elif target < c - 1:
+            total += np.log10(counts.get(w, 0) + 1) - v.tail_total[target - v.heads]
+    return total
+
+
+def test_language_model_scores_match_brute_force(spark):
+    r = random.Random(11)
+    rare = [f"rare{i}" for i in range(30_000)]
+    common = [f"c{i}" for i in range(60)]
+    rows = [(k, " ".join(r.choice(common) if r.random() < 0.8 else r.choice(rare) for _ in range(200))) for k in range(150)]
+    rows += [(900, None), (901, ""), (902, "new New c1 c1 c1 rare1 never-seen c2"), (None, "C3 é é"), (903, "c1")]
+    d = docs(spark, rows)
+    training = d.where("doc_id < 140")
+    counts = table(language_model.word_counts(training), "counts")
+    model = language_model.train(training, counts)
+    known = {x["unit"]: x["n"] for x in counts.collect()}
+    assert len(known) > language_model.HEAD  # some words have their share of a topic only
+    got = Counter((x.doc_id, round(x.score, 3)) for x in language_model.score(d, model, counts).collect())
+    want = [(k, brute_scores(model, known, t)) for k, t in rows]
+    for k, score in want:
+        assert any(got[k, round(score + e, 3)] for e in (-0.001, 0, 0.001)), (k, score)
+    assert got.total() == len(rows)
+
+
+def test_words_of_one_count_only(spark):
+    """More distinct words than the hot ones, all as frequent: none is hot."""
+    d = docs(spark, [(1, "a b c d"), (2, None)])
+    counts = table(language_model.word_counts(d.where("doc_id = 1")), "counts")
+    assert most_frequent(counts, 4).num_rows == 0 and most_frequent(counts, 5).num_rows == 5
+    assert language_model.topics(np.zeros((0, 0)), np.zeros(0)).tolist() == []
+
+
+def test_most_frequent_takes_whole_grades(spark):
+    counts = spark.createDataFrame([(f"u{k:03}", n) for k, n in enumerate([5] * 10 + [3] * 20 + [1] * 40 + [5000, 5001, 90_000, 1 << 40])], "unit string, n long")
+    assert [(r["unit"], r["n"]) for r in most_frequent(counts, 20).to_pylist()] == [("u073", 1 << 40), ("u072", 90_000), ("u071", 5001), ("u070", 5000)] + [(f"u{k:03}", 5) for k in range(10)]
+    assert most_frequent(counts, 34).num_rows == 34 and most_frequent(counts, 33).num_rows == 14 and most_frequent(counts.limit(0), 9).num_rows == 0
+
+
 def test_language_model_counts_exactly_and_beats_unigrams(spark):
     r = random.Random(6)
     pools = [[f"{p}{i}" for i in range(40)] for p in ("xa", "yb")]
