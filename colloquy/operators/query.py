@@ -13,7 +13,8 @@ from ..schema import KINDS, VISIBLE, in_states
 from . import search
 
 FLAGS = ("open_loops", "chunks")
-_PREFIX = re.compile(r'([a-z_]+):(?:"([^"]*)"|(\S+))', re.I)
+#: name:value, name:"quoted value", or text up to the next of these.
+_TOKEN = re.compile(r'(?P<name>[a-z_]+):(?:"(?P<quoted>[^"]*)"|(?P<plain>\S+))|(?:(?![a-z_]+:\S).)+', re.I | re.S)
 
 
 @dataclass
@@ -45,30 +46,34 @@ def date_literal(value: str) -> float | None:
     return None
 
 
+def _one_of(allowed: tuple[str, ...]):
+    return lambda value: value.lower() if value.lower() in allowed else None
+
+
+#: What each prefix sets, and how its value is read; None is not a valid value.
+_FIELDS = {
+    "source": ("sources", str.lower),
+    "tag": ("tags", str),
+    "project": ("projects", str),
+    "register": ("registers", str.lower),
+    "kind": ("kinds", _one_of(KINDS)),
+    "has": ("has", _one_of(FLAGS)),
+    "after": ("after", date_literal),
+    "before": ("before", date_literal),
+}
+
+
 def parse(raw: str | None) -> Query:
-    """Splits prefixes from text; unknown prefixes are text, invalid values are dropped."""
-    query, rest, end = Query(), [], 0
-    raw = (raw or "").strip()
-    lists = {"source": (query.sources, str.lower), "tag": (query.tags, str), "project": (query.projects, str), "register": (query.registers, str.lower)}
-    for m in _PREFIX.finditer(raw):
-        rest.append(raw[end : m.start()].strip())
-        end = m.end()
-        name, value = m[1].lower(), m[2] if m[2] is not None else m[3]
-        if name in lists:
-            into, form = lists[name]
-            into.append(form(value))
-        elif name == "kind":
-            query.kinds += [value.lower()] if value.lower() in KINDS else []
-        elif name == "has":
-            query.has += [value.lower()] if value.lower() in FLAGS else []
-        elif name in ("after", "before"):
-            if (t := date_literal(value)) is not None:
-                setattr(query, name, t)
-        else:
-            rest.append(m[0])
-    rest.append(raw[end:].strip())
-    query.text = " ".join(x for x in rest if x).strip()
-    return query
+    """The query that a string says; unknown prefixes are text, invalid values are dropped, of dates the last holds."""
+    tokens = list(_TOKEN.finditer((raw or "").strip()))
+    fields = [(_FIELDS.get((t["name"] or "").lower()), t) for t in tokens]
+    values: dict[str, list] = {attribute: [] for attribute, _ in _FIELDS.values()}
+    for (attribute, read), t in (f for f in fields if f[0]):
+        values[attribute].append(read(t["plain"] if t["quoted"] is None else t["quoted"]))
+    valid = {attribute: [x for x in found if x is not None] for attribute, found in values.items()}
+    dates = {attribute: valid.pop(attribute)[-1:] for attribute in ("after", "before")}
+    text = " ".join(words for field_, t in fields if not field_ and (words := t[0].strip()))
+    return Query(**valid, **{attribute: found[0] for attribute, found in dates.items() if found}, text=text)
 
 
 def in_projects(names: tuple[str, ...], objects: DataFrame, provenance: DataFrame) -> DataFrame:

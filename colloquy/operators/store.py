@@ -1,8 +1,10 @@
-"""Snapshot tables: a directory per version and a pointer to the current one.
+"""Snapshot tables: a directory per version and numbered pointers to them.
 
-A change writes version N + 1 of the tables that it touches and then moves the
-pointer, so readers see all of a change or nothing. All paths go through
-Hadoop's file systems.
+A change writes new versions of the tables that it touches and then a pointer
+with the next number, by renaming a whole file; the largest number is current.
+No pointer is replaced, so readers see all of a change or nothing, a crash
+leaves the state before, and of two changes at once the later one fails. All
+paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -25,25 +27,34 @@ class Store:
     def init(self) -> Store:
         """Creates the root; an existing one stays as it is."""
         self._fs.mkdirs(self._path(""))
-        if not self._fs.exists(self._path("CURRENT")):
-            self._point({})
+        if not self._numbers():
+            self._point({}, 1)
         return self
 
-    def _point(self, versions: dict[str, str]) -> None:
-        temporary, current = self._path(f"CURRENT-{uuid.uuid4().hex}"), self._path("CURRENT")
-        out = self._fs.create(temporary, True)
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers, in order."""
+        found = self._fs.globStatus(self._path("CURRENT-*")) or []
+        return sorted(int(f.getPath().getName()[8:]) for f in found)
+
+    def _point(self, versions: dict[str, str], number: int) -> None:
+        temporary, pointer = self._path(f"_pointer-{uuid.uuid4().hex}"), self._path(f"CURRENT-{number:012}")
+        out = self._fs.create(temporary, False)
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(temporary, current)
+        if self._fs.exists(pointer) or not self._fs.rename(temporary, pointer):
+            self._fs.delete(temporary, False)
+            raise RuntimeError(f"{self.root} was changed meanwhile")
+
+    def _current(self) -> tuple[int, dict[str, str]]:
+        numbers = self._numbers()
+        if not numbers:
+            raise FileNotFoundError(f"{self.root} isn't a corpus")
+        rows = self.spark.read.text(f"{self.root}/CURRENT-{numbers[-1]:012}").collect()
+        return numbers[-1], json.loads("".join(r.value for r in rows))
 
     def versions(self) -> dict[str, str]:
         """Directory of each table in the current snapshot."""
-        if not self._fs.exists(self._path("CURRENT")):
-            raise FileNotFoundError(f"{self.root} isn't a corpus")
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect()
-        return json.loads("".join(r.value for r in rows))
+        return self._current()[1]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.versions()[name]}")
@@ -57,12 +68,14 @@ class Store:
         ``purge`` removes the versions that they replace, so that what was
         deleted is gone from disk.
         """
-        old = self.versions()
+        number, old = self._current()
         new = dict(old)
         for name, df in tables.items():
             new[name] = f"{name}/v-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{new[name]}")
-        self._point(new)
+        self._point(new, number + 1)
+        for before in self._numbers()[:-2]:  # the last but one stays for readers that just listed it
+            self._fs.delete(self._path(f"CURRENT-{before:012}"), False)
         if purge:
             for name in tables:
                 if name in old:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..functions import text as X
 
 DIMENSIONS = 256
 RRF_K = 60
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -75,3 +81,51 @@ def fuse(lists: list[DataFrame], key: str) -> DataFrame:
     for other in lists[1:]:
         rows = rows.unionByName(other.select(key, "rank"))
     return rows.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank") + 1)).alias("rrf"))
+
+
+_NEAREST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())])
+
+
+def _unit(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Rows of unit length; a row without length stays zero."""
+    column = batch["embedding"].combine_chunks() if isinstance(batch, pa.Table) else batch["embedding"]
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best(held, k: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                vec = part["vec_id"].to_numpy()
+                order = np.argsort(vec, kind="stable")  # ties go to the smaller id
+                cosine = np.round(queries @ _unit(part)[order].T, digits) + 0.0
+                top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(ids)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(vec[order][top.ravel()]), pa.array(cosine[rows, top.ravel()])], schema=_NEAREST)
+
+    return run
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK, digits: int = 5) -> DataFrame:
+    """query_id, vec_id, cosine: the ``k`` rows most similar to each query, itself included.
+
+    Both have vec_id and embedding (dense, of one length). Every query meets
+    every row: queries are broadcast in blocks of about ``block``, one pass
+    over the rows each, and tasks hand on only their own best ``k``. Cosines
+    are rounded to ``digits`` and ties go to the smaller id. Rows without an
+    embedding are left out.
+    """
+    sc = embeddings.sparkSession.sparkContext
+    rows, asked = (d.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding") for d in (embeddings, queries))
+    blocks = -(-asked.count() // block)
+    found = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double")
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        held = sc.broadcast((part["vec_id"].to_numpy(), _unit(part) if part.num_rows else np.zeros((0, 1))))
+        best = rows.mapInArrow(_best(held, k, digits), "query_id long, vec_id long, cosine double") if part.num_rows else None
+        found = found if best is None else found.unionByName(best)
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "cosine")

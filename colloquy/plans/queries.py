@@ -19,6 +19,8 @@ from .oracle import first_line, quoted, sql, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Conversations whose deletion is asked for.
+DOOMED = "SELECT conversation_id FROM conv0 WHERE conv_id % 5 = 1"
 
 
 def query(name: str, body: str | None = None, extra: dict[str, str] | None = None):
@@ -170,10 +172,11 @@ def _(c: Corpus) -> DataFrame:
     return c.base.where(in_states("state", VISIBLE)).join(group, "conversation_id", "left_anti").select("conversation_id")
 
 
-@query("j06_orphans", "SELECT object_id, kind FROM obj WHERE object_id NOT IN (SELECT object_id FROM prov JOIN conv0 USING (conversation_id) WHERE conv_id % 50 = 6)")
+@query("j06_orphans", "SELECT object_id, kind FROM obj WHERE object_id NOT IN (SELECT object_id FROM prov WHERE conversation_id IN (SELECT conversation_id FROM conv0 WHERE conv_id % 50 = 6))")
 def _(c: Corpus) -> DataFrame:
-    few = c.provenance.where(F.substring("conversation_id", 6, 6).cast("int") % 50 == 6)
-    return lifecycle.orphans(c.objects, few).select("object_id", "kind")
+    deleted = c.base.where(F.substring("conversation_id", 6, 6).cast("int") % 50 != 6).select("conversation_id")
+    left = c.provenance.join(deleted, "conversation_id", "left_anti")  # of all links
+    return lifecycle.orphans(c.objects, left).select("object_id", "kind")
 
 
 @query("j09_meta_left", "SELECT conversation_id, title, dominant_register FROM conv0 LEFT JOIN (SELECT * FROM reg WHERE dominant_register IS NOT NULL) USING (conversation_id)")
@@ -249,9 +252,6 @@ def _(c: Corpus) -> DataFrame:
     return c.hits.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-DOOMED = "SELECT conversation_id FROM conv0 WHERE conv_id % 5 = 1"
-
-
 def _doomed(c: Corpus) -> DataFrame:
     return c.base.where(F.substring("conversation_id", 6, 6).cast("int") % 5 == 1).select("conversation_id")
 
@@ -281,9 +281,33 @@ def _(c: Corpus) -> DataFrame:
     return c.messages.groupBy("conversation_id").agg(first("user").alias("u"), first("assistant").alias("a"))
 
 
-@query("w06_sampling", "SELECT conversation_id, ordinal, role FROM msg WHERE role IN ('user', 'assistant')")
+#: Ten conversations as one, since none alone is long enough to be sampled.
+LONG = "SELECT left(conversation_id, length(conversation_id) - 1) AS conversation_id, role, row_number() OVER (PARTITION BY left(conversation_id, length(conversation_id) - 1) ORDER BY conversation_id, ordinal) - 1 AS ordinal FROM msg"
+SAMPLED = f"""SELECT * FROM (
+    WITH counted AS (
+        SELECT *, sum((role = 'user')::INT) OVER c AS u, sum((role = 'user')::INT) OVER (PARTITION BY conversation_id) AS n, lead(role) OVER c AS next
+        FROM ({LONG}) WINDOW c AS (PARTITION BY conversation_id ORDER BY ordinal)
+    ), picked AS (
+        SELECT *, role = 'user' AND (u <= 2 OR u = n) AS edge,
+               role = 'user' AND u > 2 AND u < n AND (u - 3) % greatest(1, floor((n - 3) / 3)) = 0 AS middle, 1 + coalesce(next = 'assistant', false)::INT AS w
+        FROM counted
+    ), kept AS (
+        SELECT *, edge OR (middle AND sum(CASE WHEN edge THEN w ELSE 0 END) OVER (PARTITION BY conversation_id)
+            + coalesce(sum(CASE WHEN middle THEN w ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 12) AS keep
+        FROM picked
+    ), answered AS (
+        SELECT *, role = 'assistant' AND coalesce(lag(keep) OVER (PARTITION BY conversation_id ORDER BY ordinal), false) AS answer FROM kept
+    )
+    SELECT conversation_id, CAST(ordinal AS BIGINT) AS ordinal, role FROM answered
+    WHERE CASE WHEN n <= 6 THEN role IN ('user', 'assistant') ELSE keep OR answer END)"""
+
+
+@query("w06_sampling", SAMPLED)
 def _(c: Corpus) -> DataFrame:
-    return sampling.sampled(c.messages).select("conversation_id", "ordinal", "role")
+    group = F.expr("left(conversation_id, length(conversation_id) - 1)")
+    longer = c.messages.select(group.alias("conversation_id"), "role", F.row_number().over(Window.partitionBy(group).orderBy("conversation_id", "ordinal")).alias("at"))
+    longer = longer.select("conversation_id", "role", (F.col("at") - 1).cast("long").alias("ordinal"))
+    return sampling.sampled(longer).select("conversation_id", "ordinal", "role")
 
 
 # ---- scalars and tokens
@@ -414,12 +438,14 @@ def _(c: Corpus) -> DataFrame:
 
 def _f20(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    one = e.where("vec_id = 0").select("embedding").scalar()
-    return e.withColumn("q", one).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("cosine"))
+    return vectors.nearest(e, e.where("vec_id % 100 = 0"))
 
 
 QUERIES["f20_cosine"] = _f20
-ORACLE_SQL["f20_cosine"] = "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+ORACLE_SQL["f20_cosine"] = """
+    SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS cosine
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY cosine DESC, e.vec_id) <= 10"""
 
 
 @query("f10_semantic", f"SELECT conversation_id, round(score, 6) AS score FROM ({SEMANTIC})", VECTORS)
