@@ -10,16 +10,19 @@ Both ways are exact; the split only keeps frequent keys out of the shuffle.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, NUMBERS, OTHER, WORD, row_ids, table
+from .common import LETTERS, NUMBERS, OTHER, WORD, most_frequent, row_ids, table
 
 #: Pre-tokens in the broadcast table: at most 2^17 strings, whatever the input.
 HOT = 1 << 17
@@ -65,13 +68,21 @@ def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield out()
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer, loaded once per worker process; it starts no threads beside the task's own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 def _piece_counter(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
             units = batch.column(0).to_pylist()
             pieces = [len(e.ids) for k in range(0, len(units), 2000) for e in tokenizer.encode_batch(units[k : k + 2000], add_special_tokens=False)]
@@ -80,26 +91,45 @@ def _piece_counter(tokenizer_path: str):
     return run
 
 
+_FREQUENCIES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()), ("unit", pa.string()), ("freq", pa.int64())])
+#: Rows that a task holds before it hands them on.
+HELD = 50_000
+
+
 def _document_frequencies(hot):
+    """A row per document with the pieces of its hot units, and one per document and other unit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = hot.value
         for batch in batches:
-            row, doc, size, total, unit, freq = [], [], [], [], [], []
-            for r, d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = text or ""
+            whole: list[tuple[int, int | None, int, int]] = []
+            row: list[int] = []
+            unit: list[str] = []
+            freq: list[int] = []
+
+            def out(whole=whole, row=row, unit=unit, freq=freq) -> Iterator[pa.RecordBatch]:
+                rows, ids, size, known = zip(*whole, strict=True)
+                # a key of its own, which no unit equals, so that these rows spread in the join
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((rows, ids, size, known, [f" {r}" for r in rows], [0] * len(rows)), _FREQUENCIES, strict=True)], schema=_FREQUENCIES)
+                none = pa.nulls(len(row), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), none, none, pa.array(np.zeros(len(row), np.int64)), pa.array(unit, pa.string()), pa.array(freq, pa.int64())], schema=_FREQUENCIES)
+                for held in (whole, row, unit, freq):
+                    held.clear()
+
+            for r, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py() or ""
                 known = 0
                 for u, f in Counter(pre_tokens(text)).items():
                     n = pieces.get(u)
                     if n is None:
-                        row.append(r), doc.append(None), size.append(None), total.append(0), unit.append(u), freq.append(f)
+                        row.append(r), unit.append(u), freq.append(f)
                     else:
                         known += n * f
-                # a key of its own, which no unit equals, so that these rows spread in the join
-                row.append(r), doc.append(d), size.append(len(text.encode())), total.append(known), unit.append(f" {r}"), freq.append(0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(unit, pa.string()), pa.array(freq, pa.int64())],
-                ["row", "doc_id", "n_bytes", "known", "unit", "freq"],
-            )
+                whole.append((r, d, len(text.encode()), known))
+                if len(whole) + len(row) >= HELD:
+                    yield from out()
+            if whole:
+                yield from out()
 
     return run
 
@@ -114,8 +144,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, hot_size: int = HOT) -> D
     texts = docs.select("text")
     counts = texts.mapInArrow(_corpus_counts, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     vocabulary = table(counts.mapInArrow(_piece_counter(tokenizer_path), "unit string, n long, pieces long"), "pieces")
-    # at most hot_size rows, whatever the corpus
-    top = vocabulary.orderBy(F.desc("n"), "unit").limit(hot_size).select("unit", "pieces").toArrow()
+    top = most_frequent(vocabulary, hot_size)
     hot = spark.sparkContext.broadcast({sys.intern(u): n for u, n in zip(top["unit"].to_pylist(), top["pieces"].to_pylist(), strict=True)})
     pairs = row_ids(docs.select("doc_id", "text")).select("_row", "doc_id", "text").mapInArrow(_document_frequencies(hot), "row long, doc_id long, n_bytes long, known long, unit string, freq long")
     joined = pairs.join(vocabulary.select("unit", "pieces").hint("merge"), "unit", "left")
