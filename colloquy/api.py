@@ -21,7 +21,7 @@ from .operators import chunking, cluster, extraction, lifecycle, rules, search,
 from .operators import query as querylang
 from .operators.store import Store
 from .schema import CONVERSATION, MESSAGE, REGISTERS, VISIBLE, in_states, migrated
-from .sources import exports, ingest, normalized
+from .sources import exports, ingest, normalized, sinks
 
 
 class ToolError(ValueError):
@@ -112,6 +112,8 @@ class Api:
             self.store.commit({name: df})
             self.tables[name] = self.store.read(name)
         self.log.append(entry)
+        if self.store:
+            sinks.append_log(self.spark, f"{self.store.root}/log", [entry | {"at": self.now}])
         self.__post_init__()
 
     def _set_group_label(self, group_id: str, label: str) -> None:
