@@ -1,14 +1,12 @@
 """Harvests projects, decisions, open loops, preferences, artifacts and entities.
 
-One plan over all conversations: patterns become arrays of matches, exploded
-with their order; the first of equal keys in a conversation is kept.
+One pass over all messages: patterns become one array of matches a message,
+exploded with their order; the first of equal keys in a conversation is kept.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -53,86 +51,76 @@ ACRONYM_TIMES = 3
 ENTITY_TIMES = 2
 
 
-def _matches(messages: DataFrame, patterns: tuple[str, ...], group: int = 0) -> DataFrame:
-    """conversation_id, ordinal, place, match, content_text of every match, in pattern order."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.col("content_text"), F.lit(p), F.lit(group)) for p in patterns]))
-    return messages.select("conversation_id", "ordinal", "content_text", F.posexplode(found).alias("place", "match")).withColumn("match", F.trim("match"))
-
-
-def _first(rows: DataFrame, *keys: str) -> DataFrame:
-    """The first row of each key in a conversation."""
-    return rows.groupBy("conversation_id", *keys).agg(F.min(F.struct("ordinal", "place", "match", "content_text")).alias("f"), F.count(F.lit(1)).alias("n")).select("conversation_id", *keys, "n", "f.*")
+#: What is looked for: kind, patterns, group of the match, roles (None: all).
+SOUGHT = (
+    ("project", (PROJECT,), 1, None),
+    ("acronym", (ACRONYM,), 1, None),
+    ("decision", DECISION, 0, ("user", "assistant")),
+    ("open_loop", OPEN_LOOP, 0, ("user", "assistant")),
+    ("preference", PREFERENCE, 0, ("user",)),
+    ("artifact", ARTIFACT, 0, None),
+    ("entity", (ENTITY,), 1, None),
+)
 
 
-def phrases(messages: DataFrame, kind: str, patterns: tuple[str, ...], roles: tuple[str, ...] | None, dedupe: bool = True) -> DataFrame:
-    """Hits of one kind whose title is the matched phrase."""
+def _found(kind: str, patterns: tuple[str, ...], group: int, roles: tuple[str, ...] | None) -> Column:
+    """Array of (kind, place, match) of a message, in pattern order."""
+    matches = F.flatten(F.array(*[F.regexp_extract_all(F.col("content_text"), F.lit(p), F.lit(group)) for p in patterns]))
     if roles:
-        messages = messages.where(F.col("role").isin(*roles))
-    rows = _matches(messages, patterns)
-    if dedupe:
-        rows = _first(rows.withColumn("key", F.left(X.canonical_key(F.col("match")), F.lit(120))), "key")
-    else:
-        rows = rows.withColumn("key", X.canonical_key(F.left("match", F.lit(80))))
-    return rows.select(
-        "conversation_id", "ordinal", "place", F.lit(kind).alias("kind"), F.left("match", F.lit(80)).alias("title"), F.col("match").alias("description"),
-        X.excerpt(F.col("content_text"), F.col("match")).alias("excerpt"), F.col("key").alias("canonical_key"),
-    )
+        matches = F.when(F.col("role").isin(*roles), matches).otherwise(F.array().cast("array<string>"))
+    return F.transform(matches, lambda m, place: F.struct(F.lit(kind).alias("kind"), place.alias("place"), F.trim(m).alias("match")))
 
 
-def named_projects(messages: DataFrame) -> DataFrame:
-    """'project X' phrases, first of each name in a conversation."""
-    rows = _matches(messages, (PROJECT,), 1).withColumn("key", X.canonical_key(F.col("match")))
-    return _first(rows.where("key <> ''"), "key")
+def _key() -> Column:
+    """What makes two matches of a kind in a conversation one."""
+    canonical = X.canonical_key(F.col("match"))
+    return F.when(F.col("kind").isin("acronym", "entity"), F.col("match")).when(F.col("kind") == "project", canonical).when(F.col("kind") == "artifact", X.canonical_key(F.left("match", F.lit(80)))).otherwise(F.left(canonical, F.lit(120)))
 
 
-def acronyms(messages: DataFrame) -> DataFrame:
-    """Recurring acronyms (conversation_id, token, n and the first place)."""
-    rows = _matches(messages, (ACRONYM,), 1).withColumn("token", F.col("match"))
-    return _first(rows, "token").where((F.col("n") >= ACRONYM_TIMES) & ~F.col("token").isin(*GENERIC))
+def matches(messages: DataFrame, sought: tuple = SOUGHT) -> DataFrame:
+    """conversation_id, kind, key, n and the first (ordinal, place, match, excerpt), in one pass over the messages.
 
+    Excerpts are cut before rows are shuffled, so texts stay where they are
+    read. Artifacts aren't merged: each place stands for itself.
+    """
+    found = F.concat(*[_found(*s) for s in sought])
+    rows = messages.select("conversation_id", "ordinal", "content_text", F.inline(found)).withColumn("key", _key())
+    clean = F.forall(F.split("match", "\\s+"), lambda w: ~w.isin(*STARTERS))
+    kept = F.when(F.col("kind") == "project", F.col("key") != "").when(F.col("kind") == "acronym", ~F.col("match").isin(*GENERIC)).when(F.col("kind") == "entity", clean).otherwise(True)
+    own = F.when(F.col("kind") == "artifact", F.struct("ordinal", "place"))
+    first = F.min(F.struct("ordinal", "place", "match", X.excerpt(F.col("content_text"), F.col("match")).alias("excerpt")))
+    merged = rows.where(kept).groupBy("conversation_id", "kind", "key", own.alias("own")).agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+    often = F.when(F.col("kind") == "acronym", F.col("n") >= ACRONYM_TIMES).when(F.col("kind") == "entity", F.col("n") >= ENTITY_TIMES).otherwise(True)
+    return merged.where(often).select("conversation_id", "kind", "key", "n", "f.*")
 
-def entities(messages: DataFrame) -> DataFrame:
-    """Recurring capitalised names."""
-    rows = _matches(messages, (ENTITY,), 1).withColumn("token", F.col("match"))
-    clean = F.forall(F.split("token", "\\s+"), lambda w: ~w.isin(*STARTERS))
-    return _first(rows.where(clean), "token").where(F.col("n") >= ENTITY_TIMES)
 
-
-def projects(base: DataFrame, messages: DataFrame) -> DataFrame:
-    title = base.select("conversation_id", F.col("title").alias("conv_title"))
-    named = named_projects(messages)
-    short = acronyms(messages).withColumn("key", X.canonical_key(F.col("token"))).join(named.select("conversation_id", "key"), ["conversation_id", "key"], "left_anti")
-    columns = ["conversation_id", "ordinal", "place", F.lit("project").alias("kind")]
-    a = named.join(title, "conversation_id").select(
-        *columns, F.left("match", F.lit(80)).alias("title"), F.format_string("Mentioned as project '%s' in '%s'", "match", "conv_title").alias("description"),
-        X.excerpt(F.col("content_text"), F.col("match")).alias("excerpt"), F.col("key").alias("canonical_key"),
-    )
-    b = short.join(title, "conversation_id").select(
-        *columns, F.col("token").alias("title"), F.format_string("Recurring acronym '%s' (%dx) in '%s'", "token", "n", "conv_title").alias("description"),
-        X.excerpt(F.col("content_text"), F.col("token")).alias("excerpt"), F.col("key").alias("canonical_key"),
-    )
-    return a.unionByName(b)
+def acronyms(messages: DataFrame) -> DataFrame:
+    """Recurring acronyms (conversation_id, token, n and the first place)."""
+    return matches(messages, tuple(s for s in SOUGHT if s[0] == "acronym")).withColumnRenamed("key", "token")
 
 
 def harvest(base: DataFrame, messages: DataFrame) -> DataFrame:
-    """All hits of conversations that may be extracted from."""
-    base = base.where(in_states("state", SEARCHABLE))
-    messages = messages.join(base.select("conversation_id"), "conversation_id", "left_semi")
-    both = ("user", "assistant")
-    found = entities(messages)
-    named = found.select(
-        "conversation_id", "ordinal", "place", F.lit("entity").alias("kind"), F.col("token").alias("title"), F.format_string("Repeated proper noun '%s' (%dx).", "token", "n").alias("description"),
-        X.excerpt(F.col("content_text"), F.col("token")).alias("excerpt"), X.canonical_key(F.col("token")).alias("canonical_key"),
+    """All hits of conversations that may be extracted from.
+
+    An acronym is a project unless the conversation names a project so; both
+    are hits of kind ``project``.
+    """
+    titles = base.where(in_states("state", SEARCHABLE)).select("conversation_id", F.col("title").alias("conv_title"))
+    canonical = F.when(F.col("kind").isin("acronym", "entity"), X.canonical_key(F.col("key"))).otherwise(F.col("key"))
+    rows = matches(messages).join(titles, "conversation_id").withColumn("canonical_key", canonical)
+    same = Window.partitionBy("conversation_id", "canonical_key")
+    rows = rows.withColumn("named", F.max(F.col("kind") == "project").over(same)).where((F.col("kind") != "acronym") | ~F.col("named"))
+    kind, phrase = F.col("kind"), F.left("match", F.lit(80))
+    description = (
+        F.when(kind == "project", F.format_string("Mentioned as project '%s' in '%s'", "match", "conv_title"))
+        .when(kind == "acronym", F.format_string("Recurring acronym '%s' (%dx) in '%s'", "match", "n", "conv_title"))
+        .when(kind == "entity", F.format_string("Repeated proper noun '%s' (%dx).", "match", "n"))
+        .otherwise(F.col("match"))
+    )
+    return rows.select(
+        "conversation_id", "ordinal", "place", F.when(kind == "acronym", "project").otherwise(kind).alias("kind"),
+        F.when(kind.isin("acronym", "entity"), F.col("match")).otherwise(phrase).alias("title"), description.alias("description"), "excerpt", "canonical_key",
     )
-    parts = [
-        projects(base, messages),
-        phrases(messages, "decision", DECISION, both),
-        phrases(messages, "open_loop", OPEN_LOOP, both),
-        phrases(messages, "preference", PREFERENCE, ("user",)),
-        phrases(messages, "artifact", ARTIFACT, None, dedupe=False),
-        named,
-    ]
-    return reduce(DataFrame.unionByName, parts)
 
 
 def object_id(kind: Column, key: Column) -> Column:
