@@ -20,6 +20,7 @@ from .assist import tasks
 from .operators import chunking, cluster, extraction, lifecycle, rules, search, views
 from .operators import query as querylang
 from .operators.store import Store
+from .operators.stored import SearchState
 from .schema import CONVERSATION, MESSAGE, REGISTERS, VISIBLE, in_states, migrated
 from .sources import exports, ingest, normalized, sinks
 
@@ -41,11 +42,12 @@ class Api:
 
     def __post_init__(self) -> None:
         t = self.tables
-        self._query = {"conversations": t["conversations"], "messages": t["messages"], "chunks": t["chunks"], "objects": t["objects"], "provenance": t["provenance"], "register": t["register"], "now": self.now}
+        self._query = {"conversations": t["conversations"], "messages": t["messages"], "chunks": t["chunks"], "objects": t["objects"], "provenance": t["provenance"], "register": t["register"], "now": self.now, "state": SearchState.load(t)}
+        stored = {"state": self._query["state"]}
         read: dict[str, Callable[..., DataFrame]] = {
             "query": lambda query="", limit=25: querylang.run(query, limit=int(limit) or 25, **self._query),
             "search_conversations": self._search_conversations,
-            "search_chunks": lambda query="", limit=25: search.chunk_search(t["conversations"], t["messages"], t["chunks"], query).orderBy(F.desc("score"), "chunk_id").limit(int(limit) or 25),
+            "search_chunks": lambda query="", limit=25: search.chunk_search(t["conversations"], t["messages"], t["chunks"], query, **stored).orderBy(F.desc("score"), "chunk_id").limit(int(limit) or 25),
             "get_conversation_summary": lambda conversation_id: self._shown(conversation_id),
             "get_conversation_messages": lambda conversation_id, limit=200: self._of(conversation_id, "messages").orderBy("ordinal").limit(int(limit) or 200).select("ordinal", "role", "content_text"),
             "get_conversation_chunks": lambda conversation_id: self._of(conversation_id, "chunks").orderBy("chunk_index"),
@@ -57,7 +59,7 @@ class Api:
                 views.storage_counts(t["conversations"].where(F.col("conversation_id") == conversation_id), t["messages"], t["chunks"], t["provenance"]), "conversation_id"
             ),
             "generate_profile": lambda: tasks.profile(t["conversations"], t["objects"], t["provenance"], t["register"]),
-            "find_related": lambda context="", limit=10: search.find_related(t["conversations"], t["messages"], t["chunks"], context, int(limit) or 10),
+            "find_related": lambda context="", limit=10: search.find_related(t["conversations"], t["messages"], t["chunks"], context, int(limit) or 10, **stored),
         }
         for name, kind in (("list_projects", "project"), ("list_open_loops", "open_loop"), ("list_decisions", "decision"), ("list_entities", "entity")):
             read[name] = lambda limit=200, kind=kind, **filters: search.list_objects(kind, t["objects"], t["provenance"], t["conversations"], t["register"], **self._filters(filters)).orderBy("title").limit(int(limit) or 200)
@@ -81,7 +83,7 @@ class Api:
     def _search_conversations(self, query: str = "", limit: int = 25, **filters) -> DataFrame:
         t = self.tables
         shown = search.filtered(t["conversations"].where(in_states("state", VISIBLE)), register=t["register"], **self._filters(filters))
-        found = search.hybrid_search(t["conversations"], t["messages"], t["chunks"], query, self.now, int(limit) or 25)
+        found = search.hybrid_search(t["conversations"], t["messages"], t["chunks"], query, self.now, int(limit) or 25, state=self._query["state"])
         return found.join(shown.select("conversation_id", "title", "source"), "conversation_id").orderBy(F.desc("score"), "conversation_id").limit(int(limit) or 25)
 
     def _shown(self, conversation_id: str) -> DataFrame:

@@ -18,6 +18,7 @@ from .api import import_exports, process, rebuild
 from .operators import lifecycle, rules, search, views
 from .operators import query as querylang
 from .operators.store import Store
+from .operators.stored import SearchState
 from .schema import CHUNK, CONVERSATION, MESSAGE, OBJECT, PROVENANCE
 from .sources import normalized, sinks, workbooks
 
@@ -46,6 +47,16 @@ class Corpus:
         sinks.append_log(self.spark, f"{self.store.root}/log", [entry | {"at": self.now}])
         self.tables |= self.store.tables()
 
+    def index(self) -> None:
+        """Builds the search state anew, the embedder's vocabulary included."""
+        state = SearchState.build(*(self.tables[n] for n in ("conversations", "messages", "chunks")))
+        self._commit(state.tables(), command="index")
+
+    def _refreshed(self, changed: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+        """``changed`` and, where there is a search state, its tables after the change of some conversations."""
+        state, now = SearchState.load(self.tables), self.tables | changed
+        return changed | (state.refreshed(now["conversations"], now["messages"], now["chunks"], ids).tables() if state else {})
+
     def _ids(self, ids: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "conversation_id string")
 
@@ -55,22 +66,26 @@ class Corpus:
         counted = {r["outcome"]: r["n"] for r in counters.collect()}
         if counted.get("imported"):
             self._commit({n: self.tables[n].unionByName(new[n], allowMissingColumns=True) for n in new}, command="import", **counted)
+            if SearchState.load(self.tables):
+                new_ids = self.tables["conversations"].select("conversation_id").join(self.tables["search_titles_lengths"], "conversation_id", "left_anti")
+                self._commit(self._refreshed({}, new_ids), command="index", **counted)
         return self.spark.createDataFrame(sorted(counted.items()), "outcome string, n long")
 
     def process(self) -> None:
         made = process({"conversations": self.tables["conversations"], "messages": self.tables["messages"]})
         self._commit({n: made[n] for n in ("conversations", "chunks", "objects", "provenance")}, command="process")
+        self.index()
 
     def set_state(self, command: str, ids: list[str]) -> None:
         requests = self._ids(ids).withColumn("new_state", F.lit(STATE_OF[command]))
         moved = lifecycle.set_states(self.tables, requests)
-        self._commit({n: moved[n] for n in ("conversations", "chunks", "provenance", "objects")}, command=command, ids=ids)
+        self._commit(self._refreshed({n: moved[n] for n in ("conversations", "chunks", "provenance", "objects")}, self._ids(ids)), command=command, ids=ids)
 
     def delete(self, ids: list[str], sure: bool = False) -> DataFrame | None:
         """The plan; deletes only if ``sure``."""
         if not sure:
             return lifecycle.delete_plan(self.tables["objects"], self.tables["provenance"], self._ids(ids))
-        self._commit(lifecycle.delete(self.tables, self._ids(ids)), purge=True, command="delete", ids=ids)
+        self._commit(self._refreshed(lifecycle.delete(self.tables, self._ids(ids)), self._ids(ids)), purge=True, command="delete", ids=ids)
         return None
 
     def tag(self, conversation_id: str, tags: list[str], add: bool = True) -> None:
@@ -95,7 +110,7 @@ class Corpus:
 
     def query(self, text: str, limit: int = 25) -> DataFrame:
         given = {n: self.tables[n] for n in ("conversations", "messages", "chunks", "objects", "provenance", "register")}
-        return querylang.run(text, now=self.now, limit=limit, **given)
+        return querylang.run(text, now=self.now, limit=limit, state=SearchState.load(self.tables), **given)
 
     def check(self) -> DataFrame:
         return views.health(*(self.tables[n] for n in ("conversations", "messages", "chunks", "objects", "provenance")))
@@ -115,6 +130,7 @@ class Corpus:
     def rebuild(self, path: str) -> None:
         made = rebuild(self.spark, path)
         self._commit({n: made[n] for n in EMPTY if n in made}, command="rebuild")
+        self.index()
 
     def log(self) -> DataFrame:
         return self.spark.read.text(f"{self.store.root}/log")
@@ -134,7 +150,7 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument(f"--{o}", **({"action": "store_true"} if kind is bool else {"type": kind, "default": None}))
         return sub
 
-    for name in ("process", "review", "list", "check", "log"):
+    for name in ("process", "index", "review", "list", "check", "log"):
         command(name)
     command("import", "path", approve=bool, rules=str)
     for name in STATE_OF:
@@ -171,7 +187,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     }
     run |= {name: (lambda name=name: corpus.set_state(name, given.ids)) for name in STATE_OF}
     run |= {name: (lambda name=name: getattr(corpus, name)(given.path)) for name in ("report", "normalize", "rebuild")}
-    run |= {name: getattr(corpus, name) for name in ("process", "review", "list", "check", "log")}
+    run |= {name: getattr(corpus, name) for name in ("process", "index", "review", "list", "check", "log")}
     rows = run[given.command]()
     if rows is not None:
         for r in rows.toLocalIterator():

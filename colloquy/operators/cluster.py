@@ -23,7 +23,7 @@ def group_documents(conversations: DataFrame) -> DataFrame:
 def tfidf(documents: DataFrame, key: str = "conversation_id", text: str = "text", min_df: int = 2, most: int = MOST_TERMS) -> DataFrame:
     """key, term, w: raw tf times idf, normalised."""
     counts = vectors.term_counts(documents, key, X.tfidf_tokens(F.col(text)))
-    vocab = vectors.vocabulary(counts, documents.count(), most, min_df)
+    vocab = vectors.vocabulary(counts, documents.agg(F.count(F.lit(1))).scalar(), most, min_df)
     return vectors.normalised(counts.join(F.broadcast(vocab), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w")), key)
 
 

@@ -7,6 +7,7 @@ indexed, also what a query may not show. All terms of a query must occur.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,11 +30,6 @@ def postings(rows: DataFrame, key: str, *texts: str) -> DataFrame:
     return rows.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(rows: DataFrame, key: str, *texts: str) -> DataFrame:
-    """key, len (tokens of a row), of every row."""
-    return rows.select(key, sum((F.size(X.index_tokens(F.col(t))) for t in texts), F.lit(0)).alias("len"))
-
-
 def bm25(rows: DataFrame, key: str, texts: tuple[str, ...], query: str) -> DataFrame:
     """key, bm25 of the rows that hold every term of the query.
 
@@ -48,48 +44,72 @@ def bm25(rows: DataFrame, key: str, texts: tuple[str, ...], query: str) -> DataF
         return counted.where(F.lit(False)).select(key, F.lit(0.0).alias("bm25"))
     totals = counted.agg(F.struct(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms))]))
     joined = counted.where(" AND ".join(f"f{k} > 0" for k in range(len(terms)))).withColumn("all", totals.scalar())
+    return joined.select(key, _score(len(terms), lambda k: F.col(f"all.n{k}"), F.col("all.n_rows"), F.col("all.avg_len")).alias("bm25"))
+
+
+def _score(n_terms: int, df: Callable[[int], Column], n_rows: Column, avg_len: Column) -> Column:
+    """BM25 of a row with len and the times of each term (f0, f1, ...)."""
 
     def part(k: int) -> Column:
-        f, n = F.col(f"f{k}"), F.col(f"all.n{k}")
-        idf = F.log((F.col("all.n_rows") - n + 0.5) / (n + 0.5))
+        f, n = F.col(f"f{k}"), df(k)
+        idf = F.log((n_rows - n + 0.5) / (n + 0.5))
         weight = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
-        return weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("all.avg_len")))
+        return weight * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / avg_len))
 
-    return joined.select(key, sum((part(k) for k in range(1, len(terms))), part(0)).alias("bm25"))
+    return sum((part(k) for k in range(1, n_terms)), part(0))
 
 
 @dataclass
 class Index:
-    """A stored index: postings (key, term, tf) and lengths (key, len), written once, read by term.
+    """A stored index: postings (keys, len, term, tf), lengths (keys, len) and totals (n_rows, sum_len; one row).
 
-    Written partitioned or sorted by term, a query reads its terms' postings
-    only. A changed row is taken out by its key and put in anew.
+    Postings carry the length of their row, so a search reads its terms'
+    postings and one row of totals, and nothing else. A changed row is taken
+    out by some of its keys and put in anew.
     """
 
     postings: DataFrame
     lengths: DataFrame
-    key: str
-
-    def without(self, keys: DataFrame) -> Index:
-        """The index without some rows (all three parts of a conversation go alike)."""
-        return Index(self.postings.join(keys, self.key, "left_anti"), self.lengths.join(keys, self.key, "left_anti"), self.key)
+    totals: DataFrame
+    keys: tuple[str, ...]
+
+    @classmethod
+    def build(cls, rows: DataFrame, keys: tuple[str, ...], *texts: str) -> Index:
+        """Of rows; texts of several rows with the same keys count as one text."""
+        tokens = rows.select(*keys, F.concat(*[X.index_tokens(F.col(t)) for t in texts]).alias("t"))
+        lengths_ = tokens.groupBy(*keys).agg(F.sum(F.size("t")).alias("len"))
+        times = tokens.select(*keys, F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+        return cls._of(times.join(lengths_, list(keys)).select(*keys, "len", "term", "tf"), lengths_, keys)
+
+    @classmethod
+    def _of(cls, postings_: DataFrame, lengths_: DataFrame, keys: tuple[str, ...]) -> Index:
+        totals = lengths_.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_len"))
+        return cls(postings_, lengths_, totals, keys)
+
+    def without(self, gone: DataFrame) -> Index:
+        """The index without the rows whose keys are in ``gone``, a table of one or more of them."""
+        left = lambda df: df.join(gone, gone.columns, "left_anti").select(*df.columns)
+        return self._of(left(self.postings), left(self.lengths), self.keys)
+
+    def merged(self, other: Index) -> Index:
+        """Both indexes' rows, which must not share keys."""
+        return self._of(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths), self.keys)
 
     def refreshed(self, rows: DataFrame, *texts: str) -> Index:
         """The index with these rows as they are now."""
-        rest = self.without(rows.select(self.key))
-        return Index(rest.postings.unionByName(postings(rows, self.key, *texts)), rest.lengths.unionByName(lengths(rows, self.key, *texts)), self.key)
+        return self.without(rows.select(*self.keys).distinct()).merged(Index.build(rows, self.keys, *texts))
 
     def search(self, query: str) -> DataFrame:
-        """key, bm25 of the rows that hold every term."""
+        """keys, bm25 of the rows that hold every term."""
         terms = query_terms(query)
-        totals = self.lengths.agg(F.struct(F.count(F.lit(1)).alias("n_rows"), F.avg("len").alias("avg_len")))
-        found = self.postings.where(F.col("term").isin(*terms) if terms else F.lit(False))
-        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per query term
-        rows = found.join(F.broadcast(df), "term").join(self.lengths, self.key).withColumn("all", totals.scalar())
-        idf = F.log((F.col("all.n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("all.avg_len")))
-        scored = rows.groupBy(self.key).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("_n"))
-        return scored.where(F.col("_n") == len(terms)).drop("_n")
+        if not terms:
+            return self.lengths.where(F.lit(False)).select(*self.keys, F.lit(0.0).alias("bm25"))
+        found = self.postings.where(F.col("term").isin(*terms))
+        df = found.agg(F.struct(*[F.count_if(F.col("term") == x).alias(f"n{k}") for k, x in enumerate(terms)])).scalar()
+        times = found.groupBy(*self.keys, "len").agg(*[F.max(F.when(F.col("term") == x, F.col("tf"))).alias(f"f{k}") for k, x in enumerate(terms)])
+        all_ = self.totals.select(F.struct("n_rows", (F.col("sum_len") / F.col("n_rows")).alias("avg_len"))).scalar()
+        rows = times.where(" AND ".join(f"f{k} IS NOT NULL" for k in range(len(terms)))).withColumn("df", df).withColumn("all", all_)
+        return rows.select(*self.keys, _score(len(terms), lambda k: F.col(f"df.n{k}"), F.col("all.n_rows"), F.col("all.avg_len")).alias("bm25"))
 
 
 def snippet(text: Column, query: str, width: int = 16) -> Column:

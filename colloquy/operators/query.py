@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KINDS, VISIBLE, in_states
-from . import search
+from . import search, stored
 
 FLAGS = ("open_loops", "chunks")
 #: name:value, name:"quoted value", or text up to the next of these.
@@ -83,7 +83,7 @@ def in_projects(names: tuple[str, ...], objects: DataFrame, provenance: DataFram
     return provenance.join(mine.select("object_id"), "object_id", "left_semi").select("conversation_id").distinct()
 
 
-def run(query: Query | str, *, conversations: DataFrame, messages: DataFrame, chunks: DataFrame, objects: DataFrame, provenance: DataFrame, register: DataFrame, now: float, limit: int = 25, states: tuple[str, ...] = VISIBLE) -> DataFrame:
+def run(query: Query | str, *, conversations: DataFrame, messages: DataFrame, chunks: DataFrame, objects: DataFrame, provenance: DataFrame, register: DataFrame, now: float, limit: int = 25, states: tuple[str, ...] = VISIBLE, state: stored.SearchState | None = None) -> DataFrame:
     """hit_type, id, title, score: one plan over the surfaces that the query asks for.
 
     Filters come before limits. Kinds restrict a query to derived objects,
@@ -101,9 +101,9 @@ def run(query: Query | str, *, conversations: DataFrame, messages: DataFrame, ch
         shown = shown.join(in_projects(tuple(q.projects), objects, provenance), "conversation_id", "left_semi")
     hits: list[DataFrame] = []
     if not q.kinds and q.text:
-        found = search.hybrid_search(conversations, messages, chunks, q.text, now, limit, states)
+        found = search.hybrid_search(conversations, messages, chunks, q.text, now, limit, states, state)
         hits.append(found.join(shown.select("conversation_id", "title"), "conversation_id").select(F.lit("conversation").alias("hit_type"), F.col("conversation_id").alias("id"), "title", "score"))
-        parts = search.chunk_search(conversations, messages, chunks, q.text, states).join(shown.select("conversation_id"), "conversation_id", "left_semi")
+        parts = search.chunk_search(conversations, messages, chunks, q.text, states, state).join(shown.select("conversation_id"), "conversation_id", "left_semi")
         hits.append(parts.select(F.lit("chunk").alias("hit_type"), F.col("chunk_id").alias("id"), "title", "score"))
     elif not q.kinds:
         listed = search.list_conversations(conversations, now, states=states).join(shown.select("conversation_id"), "conversation_id", "left_semi")

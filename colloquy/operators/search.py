@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import HIDDEN_REGISTERS, KINDS_THAT_HIDE, SEARCHABLE, VISIBLE, in_states
-from . import chunking, fts, vectors
+from . import chunking, fts, stored, vectors
 
 TITLE_BOOST = 1.5
 LEAST_COSINE = 0.05
@@ -51,19 +51,26 @@ def has_tag(tags: tuple[str, ...]) -> Column:
     return F.arrays_overlap(mine, F.array(*[F.lit(t.lower()) for t in tags]))
 
 
-def keyword_search(conversations: DataFrame, messages: DataFrame, query: str, now: float, states: tuple[str, ...] = VISIBLE) -> DataFrame:
+def keyword_search(conversations: DataFrame, messages: DataFrame, query: str, now: float, states: tuple[str, ...] = VISIBLE, state: stored.SearchState | None = None) -> DataFrame:
     """conversation_id, score: the best of title hits (boosted) and message hits.
 
     Statistics cover all searchable rows; only visible conversations return.
+    With stored ``state`` postings are read by term, and texts only for the
+    phrase of a query of several words; without, texts are scanned.
     """
     indexed = conversations.where(in_states("state", SEARCHABLE))
     bonus = F.least(F.col("importance_score") * 0.05, F.lit(0.5)) + recency(now)
     visible = conversations.where(in_states("state", states)).select("conversation_id", "title", bonus.alias("bonus"))
-    titles = fts.bm25(indexed, "conversation_id", ("title", "summary_short"), query)
+    titles = state.titles.search(query) if state else fts.bm25(indexed, "conversation_id", ("title", "summary_short"), query)
     a = titles.join(visible, "conversation_id").select("conversation_id", (F.col("bm25") * TITLE_BOOST + F.col("bonus") + phrase_bonus(query, F.col("title"))).alias("score"))
-    searched = messages.join(indexed.select("conversation_id"), "conversation_id", "left_semi")
-    found = fts.bm25(searched, "message_id", ("content_text", "role"), query).join(messages.select("message_id", "conversation_id", "content_text"), "message_id")
-    text = F.concat_ws(" ", "title", "content_text")
+    if state:
+        found = state.messages.search(query)
+        if " " in query.strip():
+            found = found.join(messages.select("message_id", "content_text"), "message_id")
+    else:
+        searched = messages.join(indexed.select("conversation_id"), "conversation_id", "left_semi")
+        found = fts.bm25(searched, "message_id", ("content_text", "role"), query).join(messages.select("message_id", "conversation_id", "content_text"), "message_id")
+    text = F.concat_ws(" ", "title", *(["content_text"] if "content_text" in found.columns else []))
     b = found.join(visible, "conversation_id").select("conversation_id", (F.col("bm25") + F.col("bonus") + phrase_bonus(query, text)).alias("score"))
     return a.unionByName(b).groupBy("conversation_id").agg(F.max("score").alias("score"))
 
@@ -74,43 +81,45 @@ def chunk_bodies(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "conversation_id", F.array_join(F.transform("m", lambda x: x["content_text"]), "\n\n").alias("body"))
 
 
-def chunk_search(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, query: str, states: tuple[str, ...] = VISIBLE) -> DataFrame:
+def chunk_search(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, query: str, states: tuple[str, ...] = VISIBLE, state: stored.SearchState | None = None) -> DataFrame:
     """chunk_id, conversation_id, title, score of chunks that hold the query's terms."""
-    eligible = chunks.join(conversations.where(in_states("state", SEARCHABLE)).select("conversation_id"), "conversation_id", "left_semi")
-    rows = eligible.join(chunk_bodies(messages, eligible).select("chunk_id", "body"), "chunk_id")
-    found = fts.bm25(rows, "chunk_id", ("chunk_title", "summary_short", "body"), query)
+    if state:
+        found = state.chunks.search(query).select("chunk_id", "bm25")
+    else:
+        eligible = chunks.join(conversations.where(in_states("state", SEARCHABLE)).select("conversation_id"), "conversation_id", "left_semi")
+        rows = eligible.join(chunk_bodies(messages, eligible).select("chunk_id", "body"), "chunk_id")
+        found = fts.bm25(rows, "chunk_id", ("chunk_title", "summary_short", "body"), query)
     shown = conversations.where(in_states("state", states)).select("conversation_id", F.col("title").alias("conv_title"))
     return found.join(chunks.select("chunk_id", "conversation_id", "chunk_title"), "chunk_id").join(shown, "conversation_id").select(
         "chunk_id", "conversation_id", F.concat_ws(" :: ", "conv_title", "chunk_title").alias("title"), F.col("bm25").alias("score")
     )
 
 
-def semantic_search(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, query: str, limit: int = 25, states: tuple[str, ...] = VISIBLE) -> DataFrame:
-    """conversation_id, score: best cosine of a chunk with the query."""
-    vocab, vectors_ = chunk_embeddings(conversations, messages, chunks)
-    q = vectors.embed(conversations.sparkSession.createDataFrame([(0, query)], "q int, text string"), "q", "text", vocab)
-    shown = chunks.join(conversations.where(in_states("state", states)).select("conversation_id"), "conversation_id", "left_semi").select("chunk_id", "conversation_id")
-    scored = vectors.similar(vectors_, "chunk_id", q).join(shown, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(2 * limit)
-    return scored.where(F.col("score") >= LEAST_COSINE).groupBy("conversation_id").agg(F.max("score").alias("score"))
+def _chunk_cosines(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, text: str, states: tuple[str, ...], state: stored.SearchState | None) -> DataFrame:
+    """chunk_id, conversation_id, score: cosine of a text with the chunks of conversations that may be shown."""
+    vocab, embedded = (state.vocabulary, state.vectors) if state else stored.embeddings(conversations, messages, chunks)
+    q = vectors.embed(conversations.sparkSession.createDataFrame([(0, text)], "q int, text string"), "q", "text", vocab)
+    shown = conversations.where(in_states("state", states)).select("conversation_id")
+    if state:  # the terms of a text are few: as values they prune what is read of the vectors
+        terms = [(r.term, r.w) for r in q.collect()]
+        q = conversations.sparkSession.createDataFrame(terms, "term string, w double")
+        embedded = embedded.where(F.col("term").isin(*[t for t, _ in terms]) if terms else F.lit(False))
+    return vectors.similar(embedded, ("chunk_id", "conversation_id"), q).join(shown, "conversation_id", "left_semi")
 
 
-def chunk_embeddings(conversations: DataFrame, messages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The embedder's vocabulary, fit on searchable conversations, and the chunks' vectors."""
-    eligible = conversations.where(in_states("state", SEARCHABLE)).select("conversation_id")
-    searched = messages.join(eligible, "conversation_id", "left_semi")
-    texts = searched.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "content_text"))).alias("m")).select("conversation_id", F.array_join(F.transform("m", lambda x: x["content_text"]), " ").alias("text"))
-    vocab = vectors.fit_embedder(texts, "conversation_id", "text")
-    bodies = chunk_bodies(searched, chunks)
-    return vocab, vectors.embed(bodies, "chunk_id", "body", vocab)
+def semantic_search(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, query: str, limit: int = 25, states: tuple[str, ...] = VISIBLE, state: stored.SearchState | None = None) -> DataFrame:
+    """conversation_id, score: best cosine of a chunk with the query."""
+    scored = _chunk_cosines(conversations, messages, chunks, query, states, state).orderBy(F.desc("score"), "chunk_id").limit(2 * limit)
+    return scored.where(F.col("score") >= LEAST_COSINE).groupBy("conversation_id").agg(F.max("score").alias("score"))
 
 
-def hybrid_search(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, query: str, now: float, limit: int = 25, states: tuple[str, ...] = VISIBLE) -> DataFrame:
+def hybrid_search(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, query: str, now: float, limit: int = 25, states: tuple[str, ...] = VISIBLE, state: stored.SearchState | None = None) -> DataFrame:
     """conversation_id, score, match_type: keyword and semantic lists fused by reciprocal rank.
 
     Without any semantic hit the keyword scores stand.
     """
-    k = vectors.ranked(keyword_search(conversations, messages, query, now, states), "conversation_id", limit=limit)
-    s = vectors.ranked(semantic_search(conversations, messages, chunks, query, limit, states), "conversation_id", limit=limit)
+    k = vectors.ranked(keyword_search(conversations, messages, query, now, states, state), "conversation_id", limit=limit)
+    s = vectors.ranked(semantic_search(conversations, messages, chunks, query, limit, states, state), "conversation_id", limit=limit)
     both = k.select("conversation_id", F.col("score").alias("k"), F.col("rank").alias("kr")).join(s.select("conversation_id", F.col("rank").alias("sr")), "conversation_id", "full_outer")
     any_semantic = s.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     part = lambda r: F.coalesce(1.0 / (vectors.RRF_K + F.col(r) + 1), F.lit(0.0))
@@ -191,10 +200,7 @@ def project_timeline(project_id: str, provenance: DataFrame, conversations: Data
     return conversations.where(in_states("state", states)).join(mine, "conversation_id", "left_semi").select("conversation_id", "title", F.coalesce("created_at", "updated_at").alias("at"))
 
 
-def find_related(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, context: str, limit: int = 10, states: tuple[str, ...] = VISIBLE) -> DataFrame:
+def find_related(conversations: DataFrame, messages: DataFrame, chunks: DataFrame, context: str, limit: int = 10, states: tuple[str, ...] = VISIBLE, state: stored.SearchState | None = None) -> DataFrame:
     """Conversations by their best chunk's cosine with a text."""
-    vocab, embedded = chunk_embeddings(conversations, messages, chunks)
-    q = vectors.embed(conversations.sparkSession.createDataFrame([(0, context)], "q int, text string"), "q", "text", vocab)
-    shown = chunks.join(conversations.where(in_states("state", states)).select("conversation_id"), "conversation_id", "left_semi").select("chunk_id", "conversation_id")
-    best = vectors.similar(embedded, "chunk_id", q).join(shown, "chunk_id").groupBy("conversation_id").agg(F.max("score").alias("score"))
+    best = _chunk_cosines(conversations, messages, chunks, context, states, state).groupBy("conversation_id").agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "conversation_id").limit(limit).where("score >= 0.01").select("conversation_id", F.round("score", 4).alias("score"))

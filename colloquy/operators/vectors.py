@@ -30,25 +30,29 @@ def vocabulary(counts: DataFrame, n_docs: Column | int, size: int = DIMENSIONS,
     return top.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
 
 
-def normalised(weights: DataFrame, key: str) -> DataFrame:
+def normalised(weights: DataFrame, key: str | tuple[str, ...]) -> DataFrame:
     """key, term, w with unit length per key."""
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, key).where("norm > 0").select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    keys = [key] if isinstance(key, str) else list(key)
+    norms = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(norms, keys).where("norm > 0").select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def embed(docs: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Sparse embedding: key, term, w = tf / tokens * idf, normalised. ``vocab`` is bounded."""
-    tokens = X.embed_tokens(F.col(text))
-    rows = docs.select(key, tokens.alias("t"))
-    counts = rows.select(key, F.size("t").alias("total"), F.explode("t").alias("term")).groupBy(key, "total", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = counts.join(F.broadcast(vocab), "term").select(key, "term", (F.col("tf") / F.col("total") * F.col("idf")).alias("w"))
-    return normalised(weighted, key)
+def embed(docs: DataFrame, key: str | tuple[str, ...], text: str, vocab: DataFrame) -> DataFrame:
+    """Sparse embedding: key, term, w = tf / tokens * idf, normalised. ``vocab`` is bounded.
+
+    Texts of several rows with the same key count as one text. The number of
+    tokens is a factor of the whole vector, so normalising removes it and
+    only the vocabulary's terms are counted.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = docs.select(*keys, F.explode(X.embed_tokens(F.col(text))).alias("term")).join(F.broadcast(vocab), "term").groupBy(*keys, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    return normalised(counts.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w")), key)
 
 
 def fit_embedder(docs: DataFrame, key: str, text: str, size: int = DIMENSIONS) -> DataFrame:
-    """The embedder's state: term, df, idf."""
+    """The embedder's state: term, df, idf; rows with the same key are one document."""
     counts = term_counts(docs, key, X.embed_tokens(F.col(text)))
-    return vocabulary(counts, docs.count(), size)
+    return vocabulary(counts, docs.agg(F.countDistinct(key)).scalar(), size)
 
 
 def dense(sparse: DataFrame, key: str, terms: list[str]) -> DataFrame:
@@ -64,10 +68,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def similar(sparse: DataFrame, key: str, query: DataFrame) -> DataFrame:
+def similar(sparse: DataFrame, key: str | tuple[str, ...], query: DataFrame) -> DataFrame:
     """key, score: dot product with one query vector (term, w), by an equi-join on terms."""
     q = query.select("term", F.col("w").alias("q"))
-    return sparse.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("q")).alias("score"))
+    return sparse.join(F.broadcast(q), "term").groupBy(*([key] if isinstance(key, str) else key)).agg(F.sum(F.col("w") * F.col("q")).alias("score"))
 
 
 def ranked(scored: DataFrame, key: str, limit: int, score: str = "score") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..assist import registers, sampling, tasks
 from ..corpus import NOW, Corpus, derive
 from ..functions import text as X
-from ..operators import chunking, cluster, extraction, fts, lifecycle, rules, search, vectors, views
+from ..operators import chunking, cluster, extraction, fts, lifecycle, rules, search, stored, vectors, views
 from ..operators import query as querylang
 from ..schema import KINDS, SEARCHABLE, VISIBLE, in_states
 from ..sources import ingest
@@ -426,13 +426,13 @@ SEMANTIC = "SELECT conversation_id, max(score) AS score FROM (SELECT chunk_id, c
 
 @query("f18_vocab_idf", "SELECT term, df, round(idf, 6) AS idf FROM vocab", VECTORS)
 def _(c: Corpus) -> DataFrame:
-    vocab, _ = search.chunk_embeddings(c.base, c.messages, c.chunks)
+    vocab, _ = stored.embeddings(c.base, c.messages, c.chunks)
     return vocab.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("f19_embed", "SELECT chunk_id, term, round(w, 6) AS w FROM vec", VECTORS)
 def _(c: Corpus) -> DataFrame:
-    _, embedded = search.chunk_embeddings(c.base, c.messages, c.chunks)
+    _, embedded = stored.embeddings(c.base, c.messages, c.chunks)
     return embedded.select("chunk_id", "term", F.round("w", 6).alias("w"))
 
 
@@ -843,8 +843,36 @@ def _(c: Corpus) -> DataFrame:
 @query("f02_indexed_bm25", f"SELECT message_id, round(bm25, 6) AS bm25 FROM ({bm25_sql('SELECT * FROM emsg', 'message_id', ('content_text', 'role'), 'the vendor')})")
 def _(c: Corpus) -> DataFrame:
     seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")
-    index = fts.Index(fts.postings(seen, "message_id", "content_text", "role"), fts.lengths(seen, "message_id", "content_text", "role"), "message_id")
-    return index.search("the vendor").select("message_id", F.round("bm25", 6).alias("bm25"))
+    return fts.Index.build(seen, ("message_id",), "content_text", "role").search("the vendor").select("message_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("f01_refreshed", "SELECT message_id, len(t) AS len, term, count(*) AS tf FROM (SELECT message_id, t, unnest(t) AS term FROM (SELECT message_id, list_concat(" + FOLD.format("content_text") + ", " + FOLD.format("role") + ") AS t FROM emsg WHERE conv_id % 7 <> 3)) GROUP BY ALL")
+def _(c: Corpus) -> DataFrame:
+    """An index of stale texts, brought up to date, without some conversations."""
+    seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")
+    number = F.substring("conversation_id", 6, 6).cast("int")
+    stale = seen.withColumn("content_text", F.when(number % 3 == 0, F.lit("stale words")).otherwise(F.col("content_text")))
+    index = fts.Index.build(stale, ("message_id", "conversation_id"), "content_text", "role").refreshed(seen.where(number % 3 == 0), "content_text", "role")
+    return index.without(c.base.where(number % 7 == 3).select("conversation_id")).postings.select("message_id", "len", "term", "tf")
+
+
+def _state(c: Corpus) -> stored.SearchState:
+    return stored.SearchState.build(c.conversations, c.messages, c.chunks)
+
+
+@query("f21_stored_conversations", f"SELECT conversation_id, round(score, 6) AS score FROM ({KEYWORD})")
+def _(c: Corpus) -> DataFrame:
+    return search.keyword_search(c.conversations, c.messages, ASK, NOW, state=_state(c)).select("conversation_id", F.round("score", 6).alias("score"))
+
+
+@query("f21_stored_chunks", f"SELECT chunk_id, conversation_id, title, round(score, 6) AS score FROM ({CHUNK_HITS})")
+def _(c: Corpus) -> DataFrame:
+    return search.chunk_search(c.conversations, c.messages, c.chunks, ASK, state=_state(c)).withColumn("score", F.round("score", 6))
+
+
+@query("f22_stored_semantic", f"SELECT conversation_id, round(score, 6) AS score FROM ({SEMANTIC})", VECTORS)
+def _(c: Corpus) -> DataFrame:
+    return search.semantic_search(c.conversations, c.messages, c.chunks, ASK, state=_state(c)).select("conversation_id", F.round("score", 6).alias("score"))
 
 
 @query("f05_snippets")

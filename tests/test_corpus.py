@@ -7,6 +7,8 @@ from colloquy import corpus as C
 from colloquy import schema
 from colloquy.operators import chunking, cluster, extraction, fts, lifecycle, rules, search, vectors
 from colloquy.operators import query as querylang
+from colloquy.operators.store import Store
+from colloquy.operators.stored import SearchState
 
 SF = "/root/testdata/sf0.001"
 
@@ -158,3 +160,26 @@ def test_tables_of_no_row(spark):
     m = spark.createDataFrame([], "message_id string, conversation_id string, ordinal int, role string, content_text string")
     assert chunking.chunk_rows(m).count() == 0
     assert search.chunk_bodies(m, chunking.chunk_rows(m)).count() == 0
+
+
+def test_stored_search_state_equals_scans_and_follows_changes(spark, tmp_path):
+    convs = base(spark, [(c, f"Budget {c}", state, 2, "chatgpt") for c, state in (("a", "indexed"), ("b", "indexed"), ("p", "private"), ("q", "quarantined"))]).withColumns({
+        "created_at": F.lit(1.0), "updated_at": F.lit(1.0), "importance_score": F.lit(0.0), "summary_short": F.lit("two messages"),
+    }).coalesce(1)
+    said = messages(spark, [(c, k, role, f"The vendor of {c} sent budget number {k} {'again ' * n}") for n, c in enumerate("abpq") for k, role in enumerate(("user", "assistant"))]).coalesce(1)
+    chunks = spark.createDataFrame([(f"k{c}", c, 0, 0, 1, f"Chunk {c}", "budget") for c in "abpq"], schema.CHUNK).coalesce(1)
+    changed = spark.createDataFrame([("a",), ("q",)], "conversation_id string")
+    old = said.withColumn("content_text", F.when(F.col("conversation_id") == "a", F.lit("outdated vendor")).otherwise(F.col("content_text")))
+    was = convs.withColumn("state", F.when(F.col("conversation_id") == "q", F.lit("indexed")).otherwise(F.col("state")))
+    s = Store(spark, f"file://{tmp_path}/root").init()
+    s.commit(SearchState.build(was, old, chunks).tables())
+    state = SearchState.load(s.tables())
+    assert "PushedFilters: [In(term" in state.messages.postings.where(F.col("term").isin("a", "b"))._jdf.queryExecution().toString()
+    now = state.refreshed(convs, said, chunks, changed)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rows(now.messages.totals)[0][0] == 6 and rows(now.messages.search("outdated")) == []
+    assert rows(now.vectors) == rows(SearchState.build(convs, said, chunks, state.vocabulary).vectors)
+    assert rows(search.keyword_search(convs, said, "the vendor", 1e9, state=now)) == rows(search.keyword_search(convs, said, "the vendor", 1e9)) != []
+    assert rows(search.chunk_search(convs, said, chunks, "budget", state=now)) == rows(search.chunk_search(convs, said, chunks, "budget")) != []
+    assert SearchState.load({}) is None and now.titles.search("?!").count() == 0
+    assert now.without(convs).vectors.count() == 0
