@@ -176,7 +176,7 @@ def labelled_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> pa.Table
     same number of rows, chosen by a hash of the text, which also says where
     in the text the window is. The most frequent languages take part.
     """
-    known = docs.where("lang IS NOT NULL")
+    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL")
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return pa.table({"lang": pa.array([], pa.string()), "part": pa.array([], pa.string())})

@@ -118,8 +118,8 @@ class Block:
         self.first_sizes: list[int] = []
 
     def _leave(self, entry: _Entry, above: int, closed: bool) -> None:
-        """Nodes of the entry's depths over ``above``; the entry keeps the others."""
-        below = self.stack[-1].row if self.stack and self.stack[-1] is not entry else (self.stack[-2].row if len(self.stack) > 1 else None)
+        """Nodes of the top entry's depths over ``above``; the entry keeps the others."""
+        below = self.stack[-2].row if len(self.stack) > 1 else None
         for depth in range(entry.high, above, -1):
             parent = entry.row if depth - 1 > entry.low else below
             bottom = depth == entry.high
