@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .assist import tasks
-from .operators import chunking, cluster, extraction, lifecycle, rules, search, views
+from .operators import chunking, cluster, extraction, lifecycle, rules, scratch, search, views
 from .operators import query as querylang
 from .operators.store import Store
 from .operators.stored import SearchState
@@ -183,28 +183,47 @@ def process(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return tables | {"chunks": chunks, "objects": extraction.objects(hits), "provenance": extraction.provenance(hits, chunks), "conversations": scored}
 
 
-def import_exports(spark: SparkSession, path: str, known: DataFrame | None = None, given: list[rules.Rule] | None = None, approve: bool = False, parser: str = "auto", now: float | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """New conversations and messages of exports, and counters (outcome, n).
+@dataclass
+class Imported:
+    """What an import makes of the stored tables."""
+
+    #: conversations and messages after the merge, and what they change among derived tables.
+    tables: dict[str, DataFrame]
+    #: outcome, n copies.
+    counters: DataFrame
+    #: conversation_id, outcome of conversations that are new or have a newer text.
+    changed: DataFrame
+
+
+def import_exports(spark: SparkSession, path: str, stored: dict[str, DataFrame] | None = None, given: list[rules.Rule] | None = None, approve: bool = False, parser: str = "auto", now: float | None = None, names: str = exports.NAMES) -> Imported:
+    """Merges the conversations of exports into stored tables by conversation_id.
 
-    Conversations without messages are skipped, those whose fingerprint is
-    known (a table with fingerprint) or came before are duplicates. Rules set
-    the initial state, else approval, else review.
+    Each copy of a conversation in the exports gets an outcome (see
+    ``ingest.decided``); what is new or newer is written, so ids stay unique
+    and messages are those of one copy. Rules set the initial state, else
+    approval, else review; an updated conversation keeps its state and tags.
     """
-    conversations, messages = exports.parse_exports(exports.read_exports(spark, path), parser)
-    filled = conversations.join(messages.select("conversation_id"), "conversation_id", "left_semi")
-    prints = ingest.fingerprints(filled, messages)
-    told = ingest.outcomes(prints, known if known is not None else prints.limit(0).select("fingerprint"))
-    empty = conversations.join(messages.select("conversation_id"), "conversation_id", "left_anti").select(F.lit("empty").alias("outcome"))
-    counters = told.select("outcome").unionByName(empty).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-    new = told.where("outcome = 'imported'").select("conversation_id", "fingerprint")
-    rows = filled.join(new, "conversation_id")
-    said = messages.join(new.select("conversation_id"), "conversation_id", "left_semi")
-    found = rules.evaluate(rows.withColumn("summary_short", F.lit("")), said, given or [])
-    states = rules.initial_state(found, rows.select("conversation_id"), approve)
-    sizes = said.groupBy("conversation_id").agg(F.count(F.lit(1)).cast("int").alias("message_count"))
-    rows = rows.join(states, "conversation_id").join(sizes, "conversation_id").join(found.select("conversation_id", F.col("notes").alias("notes_local")), "conversation_id", "left")
+    stored = stored or {}
+    old = migrated(stored["conversations"], CONVERSATION) if "conversations" in stored else spark.createDataFrame([], CONVERSATION)
+    before = migrated(stored["messages"], MESSAGE) if "messages" in stored else spark.createDataFrame([], MESSAGE)
+    parsed = exports.parse_exports(exports.read_exports(spark, path, names), parser)
+    conversations, messages = (scratch.table(df, "import-parsed") for df in parsed)  # files are read and parsed once for each
+    sizes = messages.groupBy(*ingest.COPY).agg(F.count(F.lit(1)).cast("int").alias("message_count"))
+    prints = ingest.fingerprints(conversations, messages, key=ingest.COPY)
+    copies = conversations.join(sizes, list(ingest.COPY), "left").join(prints, list(ingest.COPY)).withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+    told = scratch.table(ingest.decided(copies, old), "import-copies")
+    chosen = told.where("outcome IN ('imported', 'updated')")
+    said = scratch.table(migrated(messages.join(chosen.select(*ingest.COPY), list(ingest.COPY), "left_semi"), MESSAGE), "import-messages")
+    found = rules.evaluate(chosen.withColumn("summary_short", F.lit("")), said, given or [])
+    states = rules.initial_state(found, chosen.select("conversation_id"), approve)
+    asked = found.select("conversation_id", F.col("notes").alias("notes_local"), F.col("rule_state").alias("asked_state"))
+    rows = chosen.join(states, "conversation_id").join(asked, "conversation_id", "left")
     rows = rows.withColumns({"imported_at": F.lit(now).cast("double"), "manual_tags": F.array().cast("array<string>"), "auto_tags": F.array().cast("array<string>")})
-    return {"conversations": migrated(rows, CONVERSATION), "messages": migrated(said, MESSAGE)}, counters
+    fresh = migrated(rows, CONVERSATION + ", asked_state string")
+    changed = chosen.select("conversation_id", "outcome")
+    merged = {"conversations": ingest.merged_conversations(old, fresh), "messages": ingest.replaced(before, said, changed)}
+    merged |= ingest.without_derived(stored, changed.where("outcome = 'updated'").select("conversation_id"))
+    return Imported(merged, ingest.counters(told), changed)
 
 
 def rebuild(spark: SparkSession, path: str) -> dict[str, DataFrame]:

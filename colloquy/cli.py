@@ -62,13 +62,10 @@ class Corpus:
 
     def import_(self, path: str, approve: bool = False, rules_file: str | None = None) -> DataFrame:
         given = rules.load(open(rules_file).read()) if rules_file else None
-        new, counters = import_exports(self.spark, path, self.tables["conversations"].select("fingerprint"), given, approve, now=self.now)
-        counted = {r["outcome"]: r["n"] for r in counters.collect()}
-        if counted.get("imported"):
-            self._commit({n: self.tables[n].unionByName(new[n], allowMissingColumns=True) for n in new}, command="import", **counted)
-            if SearchState.load(self.tables):
-                new_ids = self.tables["conversations"].select("conversation_id").join(self.tables["search_titles_lengths"], "conversation_id", "left_anti")
-                self._commit(self._refreshed({}, new_ids), command="index", **counted)
+        new = import_exports(self.spark, path, self.tables, given, approve, now=self.now)
+        counted = {r["outcome"]: r["n"] for r in new.counters.collect()}
+        if counted.get("imported") or counted.get("updated"):
+            self._commit(self._refreshed(new.tables, new.changed.select("conversation_id")), command="import", **counted)
         return self.spark.createDataFrame(sorted(counted.items()), "outcome string, n long")
 
     def process(self) -> None:

@@ -41,7 +41,8 @@ def load(text: str) -> list[Rule]:
     return [Rule(**{**r, "patterns": tuple(r["patterns"]), **({"fields": tuple(r["fields"])} if "fields" in r else {})}) for r in json.loads(text)]
 
 
-def _severity(state: Column) -> Column:
+def severity(state: Column) -> Column:
+    """How much a state restricts; an unknown or null one not at all."""
     return reduce(lambda c, x: c.when(state == x[0], x[1]), SEVERITY.items(), F.when(F.lit(False), 0)).otherwise(0)
 
 
@@ -80,4 +81,4 @@ def rescan(conversations: DataFrame, messages: DataFrame, rules: list[Rule]) ->
     """Conversations that rules make more restricted: old and new state, notes. Never less restricted."""
     found = evaluate(conversations, messages, rules)
     rows = conversations.select("conversation_id", "state").join(found, "conversation_id")
-    return rows.where(_severity(F.col("rule_state")) > _severity(F.col("state"))).select("conversation_id", F.col("state").alias("old_state"), F.col("rule_state").alias("new_state"), "notes")
+    return rows.where(severity(F.col("rule_state")) > severity(F.col("state"))).select("conversation_id", F.col("state").alias("old_state"), F.col("rule_state").alias("new_state"), "notes")

@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASENAME = "conversations.json"
+#: Paths of export files in a folder.
+NAMES = r"(/conversations\.json|\.zip)$"
+#: Where a conversation's copy stands; an export may hold several of one id.
+COPY = ("path", "position")
 #: Length of a parent chain that is followed.
 MOST_STEPS = 10_000
 
@@ -40,14 +44,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "text"])
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
+def read_exports(spark: SparkSession, path: str, names: str = NAMES) -> DataFrame:
     """path, position, conversation (VARIANT): the elements of each export's top-level list.
 
-    ``path`` is a .json or .zip file, or a folder that is searched for both.
-    Files that aren't JSON or whose top level isn't a list give no row.
+    ``path`` is a .json or .zip file, or a folder that is searched for files
+    whose lower-case path matches ``names``. Files that aren't JSON or whose
+    top level isn't a list give no row.
     """
     reader = spark.read.format("binaryFile")
-    files = reader.load(path) if path.lower().endswith((".json", ".zip")) else reader.option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"(/conversations\.json|\.zip)$"))
+    files = reader.load(path) if path.lower().endswith((".json", ".zip")) else reader.option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(names))
     texts = files.select("path", "content").mapInArrow(_unpacked, "path string, text string")
     parsed = texts.select("path", F.try_parse_json("text").alias("v")).where("v IS NOT NULL AND schema_of_variant(v) LIKE 'ARRAY<%'")
     parsed.createOrReplaceTempView("_exports")
@@ -126,10 +131,10 @@ def tree_messages(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = exports.where(looks_like_tree())
     key = F.coalesce(text_at("conversation", "$.id"), text_at("conversation", "$.conversation_id"), F.concat("path", F.lit("#"), F.col("position").cast("string")))
     conversations = rows.select(
-        key.alias("source_conversation_id"), F.lit("chatgpt").alias("source"), F.coalesce(text_at("conversation", "$.title"), F.lit("Untitled")).alias("title"),
+        *COPY, key.alias("source_conversation_id"), F.lit("chatgpt").alias("source"), F.coalesce(text_at("conversation", "$.title"), F.lit("Untitled")).alias("title"),
         parse_timestamp(text_at("conversation", "$.create_time")).alias("created_at"), parse_timestamp(text_at("conversation", "$.update_time")).alias("updated_at"),
     )
-    nodes = rows.select(key.alias("key"), text_at("conversation", "$.current_node").alias("current"), F.try_variant_get("conversation", "$.mapping", f"map<string,{_NODE}>").alias("mapping"))
+    nodes = rows.select(F.struct(*COPY).alias("key"), text_at("conversation", "$.current_node").alias("current"), F.try_variant_get("conversation", "$.mapping", f"map<string,{_NODE}>").alias("mapping"))
     path = linearised(nodes).select("key", "step", F.try_element_at("mapping", "id")["message"].alias("message")).where("message IS NOT NULL AND schema_of_variant(message) <> 'VOID'")
     role = F.lower(F.coalesce(text_at("message", "$.author.role"), F.lit("other")))
     said = path.select(
@@ -137,7 +142,7 @@ def tree_messages(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
         parse_timestamp(text_at("message", "$.create_time")).alias("timestamp"), text_at("message", "$.id").alias("source_message_id"),
     ).where("NOT (role IN ('system', 'tool') AND trim(coalesce(content_text, '')) = '')")
     ordinal = F.row_number().over(Window.partitionBy("key").orderBy("step")) - 1
-    return conversations, said.withColumn("ordinal", ordinal).select(F.col("key").alias("source_conversation_id"), "ordinal", "role", "content_text", "timestamp", "source_message_id")
+    return conversations, said.withColumn("ordinal", ordinal).select("key.*", "ordinal", "role", "content_text", "timestamp", "source_message_id")
 
 
 def flatten_blocks(message: Column) -> Column:
@@ -168,15 +173,15 @@ def list_messages(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = exports.where(looks_like_list())
     key = text_at("conversation", "$.uuid")
     conversations = rows.select(
-        key.alias("source_conversation_id"), F.lit("claude").alias("source"), F.coalesce(F.nullif(text_at("conversation", "$.name"), F.lit("")), F.lit("Untitled")).alias("title"),
+        *COPY, key.alias("source_conversation_id"), F.lit("claude").alias("source"), F.coalesce(F.nullif(text_at("conversation", "$.name"), F.lit("")), F.lit("Untitled")).alias("title"),
         parse_timestamp(text_at("conversation", "$.created_at")).alias("created_at"), parse_timestamp(text_at("conversation", "$.updated_at")).alias("updated_at"),
     )
-    each = rows.select(key.alias("key"), F.posexplode(_variants(F.col("conversation"), "$.chat_messages")).alias("position", "m"))
+    each = rows.select(F.struct(*COPY).alias("key"), F.posexplode(_variants(F.col("conversation"), "$.chat_messages")).alias("step", "m"))
     at = parse_timestamp(text_at("m", "$.created_at"))
-    said = each.select("key", "position", at.alias("timestamp"), sender_role(text_at("m", "$.sender")).alias("role"), flatten_blocks(F.col("m")).alias("content_text"), text_at("m", "$.uuid").alias("source_message_id"))
-    ordinal = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("timestamp", F.lit(0.0)), "position")) - 1
+    said = each.select("key", "step", at.alias("timestamp"), sender_role(text_at("m", "$.sender")).alias("role"), flatten_blocks(F.col("m")).alias("content_text"), text_at("m", "$.uuid").alias("source_message_id"))
+    ordinal = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("timestamp", F.lit(0.0)), "step")) - 1
     numbered = said.withColumn("ordinal", ordinal).where("trim(content_text) <> ''")
-    return conversations, numbered.select(F.col("key").alias("source_conversation_id"), "ordinal", "role", "content_text", "timestamp", "source_message_id")
+    return conversations, numbered.select("key.*", "ordinal", "role", "content_text", "timestamp", "source_message_id")
 
 
 #: Parsers by name; each takes the rows of ``read_exports`` that it recognises.
@@ -184,16 +189,24 @@ PARSERS = {"chatgpt": tree_messages, "claude": list_messages}
 
 
 def parse_exports(exports: DataFrame, parser: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """Conversations and messages by the named parser, or by all that recognise a row."""
+    """Every copy of a conversation, and its messages, by the named parser or by all that recognise a row.
+
+    Both have path and position, which tell copies of one conversation_id
+    apart; messages are numbered within their copy.
+    """
     if parser != "auto" and parser not in PARSERS:
         raise KeyError(f"no parser {parser!r}; there are {', '.join(PARSERS)}")
-    found = [PARSERS[p](exports) for p in (PARSERS if parser == "auto" else [parser])]
-    conversations, messages = found[0]
-    for c, m in found[1:]:
-        conversations, messages = conversations.unionByName(c), messages.unionByName(m)
-    conversation_id = F.concat(F.lit("conv_"), F.left(F.sha2(F.concat_ws("|", "source", "source_conversation_id"), 256), F.lit(16)))
-    conversations = conversations.withColumn("conversation_id", conversation_id)
-    messages = messages.join(conversations.select("source_conversation_id", "conversation_id"), "source_conversation_id").withColumn(
-        "message_id", F.concat(F.lit("msg_"), F.left(F.sha2(F.concat_ws("|", "conversation_id", F.col("ordinal").cast("string")), 256), F.lit(16)))
-    )
-    return conversations, messages
+    if parser == "auto":  # a row that both recognise is the first's
+        conversations, messages = tree_messages(exports)
+        others = list_messages(exports.where(~F.coalesce(looks_like_tree(), F.lit(False))))
+        conversations, messages = conversations.unionByName(others[0]), messages.unionByName(others[1])
+    else:
+        conversations, messages = PARSERS[parser](exports)
+    conversations = conversations.withColumn("conversation_id", derived_id("conv_", "source", "source_conversation_id"))
+    messages = messages.join(conversations.select(*COPY, "source", "source_conversation_id", "conversation_id"), list(COPY))
+    return conversations, messages.drop("source").withColumn("message_id", derived_id("msg_", "conversation_id", F.col("ordinal").cast("string")))
+
+
+def derived_id(prefix: str, *parts: Column | str) -> Column:
+    """An id that is the same in every run: a prefix and 16 hex digits of the parts' hash."""
+    return F.concat(F.lit(prefix), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))

@@ -80,11 +80,12 @@ def test_import_skips_what_is_known_and_rebuild_gives_the_same(spark, tmp_path):
     (tmp_path / "conversations.json").write_text(json.dumps(LIST + [LIST[0] | {"uuid": "u2", "chat_messages": []}, LIST[0] | {"uuid": "u3", "name": "SSN 123-45-6789"}]))
     path = str(tmp_path / "conversations.json")
     ssn = rules.Rule("ssn", "quarantined", (r"\d{3}-\d{2}-\d{4}",), "regex")
-    tables, counters = import_exports(spark, path, given=[ssn], approve=True, now=5.0)
-    assert {r.outcome: r.n for r in counters.collect()} == {"imported": 2, "empty": 1}
+    new = import_exports(spark, path, given=[ssn], approve=True, now=5.0)
+    tables = new.tables
+    assert {r.outcome: r.n for r in new.counters.collect()} == {"imported": 2, "empty": 1}
     assert {r.source_conversation_id: r.state for r in tables["conversations"].collect()} == {"u1": "indexed", "u3": "quarantined"}
-    _, again = import_exports(spark, path, known=tables["conversations"].select("fingerprint"))
-    assert {r.outcome: r.n for r in again.collect()} == {"duplicate": 2, "empty": 1}
+    again = import_exports(spark, path, tables)
+    assert {r.outcome: r.n for r in again.counters.collect()} == {"duplicate": 2, "empty": 1}
     normalized.write(tables["conversations"], tables["messages"].withColumn("timestamp", F.col("timestamp")), str(tmp_path / "n"))
     back = rebuild(spark, str(tmp_path / "n"))
     assert sorted(back["conversations"].select("conversation_id", "state", "title").collect()) == sorted(tables["conversations"].select("conversation_id", "state", "title").collect())
