@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import import_exports, process, rebuild
-from .operators import lifecycle, rules, search, views
+from .operators import lifecycle, rules, scratch, search, stored, views
 from .operators import query as querylang
 from .operators.store import Store
 from .operators.stored import SearchState
@@ -42,20 +42,28 @@ class Corpus:
         self.store = Store(spark, root).init()
         self.tables = {name: spark.createDataFrame([], ddl) for name, ddl in EMPTY.items()} | self.store.tables()
 
-    def _commit(self, changed: dict[str, DataFrame], purge: bool = False, **entry) -> None:
-        self.store.commit(changed, purge)
-        sinks.append_log(self.spark, f"{self.store.root}/log", [entry | {"at": self.now}])
-        self.tables |= self.store.tables()
+    def _commit(self, changed: dict[str, DataFrame], drop: list[str] | tuple[str, ...] = (), **entry) -> None:
+        self.store.commit(changed, drop=drop)
+        if entry:
+            sinks.append_log(self.spark, f"{self.store.root}/log", [entry | {"at": self.now}])
+        self.tables = {n: t for n, t in self.tables.items() if n not in drop} | self.store.tables()
+        self.store.collect()
 
     def index(self) -> None:
         """Builds the search state anew, the embedder's vocabulary included."""
-        state = SearchState.build(*(self.tables[n] for n in ("conversations", "messages", "chunks")))
-        self._commit(state.tables(), command="index")
+        state = SearchState.build(*(self.tables[n] for n in ("conversations", "messages", "chunks"))).tables()
+        self._commit(state, [n for n in stored.segment_tables(self.tables) if n not in state], command="index")
 
-    def _refreshed(self, changed: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-        """``changed`` and, where there is a search state, its tables after the change of some conversations."""
+    def _changed(self, changed: dict[str, DataFrame], touched: DataFrame, **entry) -> None:
+        """Commits ``changed`` and, where there is a search state, a segment with some conversations as they are now."""
         state, now = SearchState.load(self.tables), self.tables | changed
-        return changed | (state.refreshed(now["conversations"], now["messages"], now["chunks"], ids).tables() if state else {})
+        if state is None:
+            return self._commit(changed, **entry)
+        number = stored.segments(self.tables)[-1] + 1
+        self._commit(changed | state.change(now["conversations"], now["messages"], now["chunks"], touched, number), **entry)
+        if stored.due(self.tables):
+            self._commit(SearchState.load(self.tables).tables(number + 1), stored.segment_tables(self.tables))
+        return None
 
     def _ids(self, ids: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "conversation_id string")
@@ -65,7 +73,7 @@ class Corpus:
         new = import_exports(self.spark, path, self.tables, given, approve, now=self.now)
         counted = {r["outcome"]: r["n"] for r in new.counters.collect()}
         if counted.get("imported") or counted.get("updated"):
-            self._commit(self._refreshed(new.tables, new.changed.select("conversation_id")), command="import", **counted)
+            self._changed(new.tables, new.changed.select("conversation_id"), command="import", **counted)
         return self.spark.createDataFrame(sorted(counted.items()), "outcome string, n long")
 
     def process(self) -> None:
@@ -76,13 +84,20 @@ class Corpus:
     def set_state(self, command: str, ids: list[str]) -> None:
         requests = self._ids(ids).withColumn("new_state", F.lit(STATE_OF[command]))
         moved = lifecycle.set_states(self.tables, requests)
-        self._commit(self._refreshed({n: moved[n] for n in ("conversations", "chunks", "provenance", "objects")}, self._ids(ids)), command=command, ids=ids)
+        self._changed({n: moved[n] for n in ("conversations", "chunks", "provenance", "objects")}, self._ids(ids), command=command, ids=ids)
 
     def delete(self, ids: list[str], sure: bool = False) -> DataFrame | None:
-        """The plan; deletes only if ``sure``."""
+        """The plan; deletes only if ``sure``, and then from every stored version and the normalised JSON too."""
+        gone = self._ids(ids)
         if not sure:
-            return lifecycle.delete_plan(self.tables["objects"], self.tables["provenance"], self._ids(ids))
-        self._commit(self._refreshed(lifecycle.delete(self.tables, self._ids(ids)), self._ids(ids)), purge=True, command="delete", ids=ids)
+            return lifecycle.delete_plan(self.tables["objects"], self.tables["provenance"], gone)
+        before = self.tables["objects"]
+        left = lifecycle.delete({n: t for n, t in self.tables.items() if not n.startswith("search_")}, gone)
+        objects = scratch.table(before.select("object_id").join(left["objects"].select("object_id"), "object_id", "left_anti"), "gone-objects")
+        self._commit(left | stored.purged(self.tables, gone), command="delete", ids=ids)
+        self.store.purge({"conversation_id": gone, "object_id": objects})
+        for path in self.store.noted("normalized"):
+            normalized.remove(self.spark, path, gone)
         return None
 
     def tag(self, conversation_id: str, tags: list[str], add: bool = True) -> None:
@@ -123,6 +138,7 @@ class Corpus:
 
     def normalize(self, path: str) -> None:
         normalized.write(self.tables["conversations"], self.tables["messages"], path)
+        self.store.note("normalized", path)
 
     def rebuild(self, path: str) -> None:
         made = rebuild(self.spark, path)

@@ -50,6 +50,8 @@ def embed_tokens(text: Column) -> Column:
 # Latin letters with a mark, and the letters without it.
 _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+#: The same for Python's str.translate.
+UNMARKED = str.maketrans(_MARKED, _PLAIN)
 
 
 def index_tokens(text: Column) -> Column:

@@ -1,7 +1,8 @@
-"""Full-text search: postings as tables, BM25 as an aggregate.
+"""Full-text search: postings as tables, BM25 as an aggregate, phrases and windows by positions.
 
-The index is a derived table (id, term, tf); its statistics cover everything
-indexed, also what a query may not show. All terms of a query must occur.
+The index is a derived table (id, term, tf, positions); its statistics cover
+everything indexed, also what a query may not show. All terms of a query must
+occur.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -19,9 +21,22 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 
 
+def query_tokens(query: str) -> list[str]:
+    """Tokens of a free-text query, in order: lower case without Latin marks, cut at all but letters and digits."""
+    return re.findall(r"[^\W_]+", query.lower().translate(X.UNMARKED))
+
+
 def query_terms(query: str) -> list[str]:
-    """Terms of a free-text query: lower case, cut at all but letters and digits."""
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+    """The different tokens of a query."""
+    return list(dict.fromkeys(query_tokens(query)))
+
+
+def holds_phrase(text: Column, query: str) -> Column:
+    """Whether a query's tokens stand in the text in order, next to each other; false for fewer than two."""
+    tokens = query_tokens(query)
+    if len(tokens) < 2:
+        return F.lit(False)
+    return F.concat(F.lit(" "), F.array_join(X.index_tokens(text), " "), F.lit(" ")).contains(f" {' '.join(tokens)} ")
 
 
 def postings(rows: DataFrame, key: str, *texts: str) -> DataFrame:
@@ -59,13 +74,25 @@ def _score(n_terms: int, df: Callable[[int], Column], n_rows: Column, avg_len: C
     return sum((part(k) for k in range(1, n_terms)), part(0))
 
 
+def _deltas(positions: Column) -> Column:
+    """Rising numbers as the first one and the steps to the next ones, which are small."""
+    return F.zip_with(positions, F.concat(F.array(F.lit(0)), F.slice(positions, F.lit(1), F.size(positions) - 1)), lambda a, b: a - b)
+
+
+def _rising(deltas: Column) -> Column:
+    """The numbers again."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(deltas, start, lambda s, d: F.struct((s["at"] + d).alias("at"), F.concat(s["all"], F.array(s["at"] + d)).alias("all")), lambda s: s["all"])
+
+
 @dataclass
 class Index:
-    """A stored index: postings (keys, len, term, tf), lengths (keys, len) and totals (n_rows, sum_len; one row).
+    """A stored index: postings (keys, len, term, tf, positions), lengths (keys, len) and totals (n_rows, sum_len; one row).
 
     Postings carry the length of their row, so a search reads its terms'
-    postings and one row of totals, and nothing else. A changed row is taken
-    out by some of its keys and put in anew.
+    postings and one row of totals, and nothing else. Positions are those of a
+    term's tokens in its row, from 0, as first position and steps. A changed
+    row is taken out by some of its keys and put in anew.
     """
 
     postings: DataFrame
@@ -74,17 +101,29 @@ class Index:
     keys: tuple[str, ...]
 
     @classmethod
-    def build(cls, rows: DataFrame, keys: tuple[str, ...], *texts: str) -> Index:
-        """Of rows; texts of several rows with the same keys count as one text."""
-        tokens = rows.select(*keys, F.concat(*[X.index_tokens(F.col(t)) for t in texts]).alias("t"))
-        lengths_ = tokens.groupBy(*keys).agg(F.sum(F.size("t")).alias("len"))
-        times = tokens.select(*keys, F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-        return cls._of(times.join(lengths_, list(keys)).select(*keys, "len", "term", "tf"), lengths_, keys)
+    def build(cls, rows: DataFrame, keys: tuple[str, ...], *texts: str, order: str | None = None) -> Index:
+        """Of rows; texts of several rows with the same keys count as one text, in the order of a column.
+
+        A place is left free between the texts of a row and between rows, so
+        that no phrase reaches over.
+        """
+        own = [X.index_tokens(F.col(t)) for t in texts]
+        gap = F.array(F.lit(None).cast("string"))
+        joined = F.concat(*[x for t in own for x in (t, gap)])
+        tokens = rows.select(*keys, joined.alias("t"), *([F.col(order).alias("_order")] if order else []))
+        first = F.lit(0)
+        if order:
+            before = Window.partitionBy(*keys).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+            tokens = tokens.withColumn("_first", F.coalesce(F.sum(F.size("t")).over(before), F.lit(0)))
+            first = F.col("_first")
+        lengths_ = tokens.groupBy(*keys).agg(F.sum(F.size("t") - len(texts)).alias("len"))
+        each = tokens.select(*keys, first.alias("_from"), F.posexplode("t").alias("_at", "term")).where("term IS NOT NULL")
+        times = each.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), _deltas(F.sort_array(F.collect_list((F.col("_from") + F.col("_at")).cast("int")))).alias("positions"))
+        return cls._of(times.join(lengths_, list(keys)).select(*keys, "len", "term", "tf", "positions"), lengths_, keys)
 
     @classmethod
     def _of(cls, postings_: DataFrame, lengths_: DataFrame, keys: tuple[str, ...]) -> Index:
-        totals = lengths_.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_len"))
-        return cls(postings_, lengths_, totals, keys)
+        return cls(postings_, lengths_, totals_of(lengths_), keys)
 
     def without(self, gone: DataFrame) -> Index:
         """The index without the rows whose keys are in ``gone``, a table of one or more of them."""
@@ -112,13 +151,79 @@ class Index:
         return rows.select(*self.keys, _score(len(terms), lambda k: F.col(f"df.n{k}"), F.col("all.n_rows"), F.col("all.avg_len")).alias("bm25"))
 
 
+    def _places(self, terms: list[str]) -> DataFrame:
+        """keys, p0, p1, ...: positions of each term in the rows that hold all of them; no text is read."""
+        found = self.postings.where(F.col("term").isin(*terms)).groupBy(*self.keys).agg(*[F.max(F.when(F.col("term") == x, F.col("positions"))).alias(f"p{k}") for k, x in enumerate(terms)])
+        return found.where(" AND ".join(f"p{k} IS NOT NULL" for k in range(len(terms)))).select(*self.keys, *[_rising(F.col(f"p{k}")).alias(f"p{k}") for k in range(len(terms))])
+
+    def phrase(self, query: str) -> DataFrame:
+        """keys, times: rows in which the query's tokens stand in order, next to each other, and how often."""
+        tokens, terms = query_tokens(query), query_terms(query)
+        if not tokens:
+            return self.lengths.where(F.lit(False)).select(*self.keys, F.lit(0).alias("times"))
+        begun = lambda k: lambda at: at - k
+        starts = [F.transform(f"p{terms.index(x)}", begun(k)) for k, x in enumerate(tokens)]
+        return self._places(terms).select(*self.keys, F.size(reduce(F.array_intersect, starts)).alias("times")).where("times > 0")
+
+    def windows(self, query: str) -> DataFrame:
+        """keys, start, span: the smallest stretch of each row that holds all terms, the first of equal ones.
+
+        The terms' position lists are merged into one; at each place the
+        stretch that ends there begins at the least of the terms' last places.
+        """
+        terms = query_terms(query)
+        if not terms:
+            return self.lengths.where(F.lit(False)).select(*self.keys, F.lit(0).alias("start"), F.lit(0).alias("span"))
+        mark = lambda k: lambda at: F.struct(at.alias("at"), F.lit(k).alias("term"))
+        marks = F.flatten(F.array(*[F.transform(f"p{k}", mark(k)) for k in range(len(terms))]))
+        best = smallest_window(F.array_sort(marks), len(terms))
+        return self._places(terms).select(*self.keys, best["start"].alias("start"), best["span"].alias("span"))
+
+    def near(self, query: str, within: int) -> DataFrame:
+        """keys of the rows in which all terms stand within so many tokens."""
+        return self.windows(query).where(F.col("span") <= within).select(*self.keys)
+
+
+def totals_of(lengths: DataFrame) -> DataFrame:
+    """n_rows, sum_len: one row."""
+    return lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_len"))
+
+
+def smallest_window(marks: Column, n_terms: int, held: Column | None = None) -> Column:
+    """start, span of the smallest stretch with every term; ``marks`` (at, term number from 0) in order.
+
+    With ``held``, an array of term numbers, only those terms are asked for.
+    Null where there is no such stretch.
+    """
+    none = F.lit(None).cast("int")
+    numbers = F.array(*[F.lit(k) for k in range(n_terms)])
+    last_ = F.transform(numbers, lambda k: none if held is None else F.when(F.array_contains(held, k), none).otherwise(F.lit(2**31 - 1)))
+    state = F.struct(last_.alias("last"), none.alias("start"), none.alias("span"))
+
+    def step(s: Column, m: Column) -> Column:
+        last = F.transform(s["last"], lambda x, k: F.when(k == m["term"], m["at"]).otherwise(x))
+        start = F.array_min(last)
+        better = ~F.exists(last, lambda x: x.isNull()) & (s["span"].isNull() | (m["at"] - start + 1 < s["span"]))
+        return F.struct(last.alias("last"), F.when(better, start).otherwise(s["start"]).alias("start"), F.when(better, m["at"] - start + 1).otherwise(s["span"]).alias("span"))
+
+    return F.aggregate(marks, state, step)
+
+
 def snippet(text: Column, query: str, width: int = 16) -> Column:
-    """Words around the first match, which stands in brackets."""
+    """``width`` words around the smallest stretch that holds every term of the query found in the text, each match in brackets.
+
+    Words are what white space parts; one matches where a token of it is a
+    term. The stretch stands in the middle; one longer than ``width`` is
+    shown from its start. A text without a match is shown from its start.
+    """
     terms = query_terms(query)
     words = F.split(F.coalesce(text, F.lit("")), "\\s+")
-    plain = F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", "")))
-    hit = F.array_position(F.transform(plain, lambda w: w.isin(*terms) if terms else F.lit(False)), F.lit(True))
-    start = F.greatest(hit - width // 2, F.lit(1)).cast("int")
-    marked = F.transform(words, lambda w: F.when(F.lower(F.regexp_replace(w, "[^A-Za-z0-9]", "")).isin(*terms), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)) if terms else words
-    body = F.array_join(F.slice(marked, start, width), " ")
-    return F.concat(F.when(start > 1, "...").otherwise(""), body, F.when(start + width <= F.size(words), "...").otherwise(""))
+    if not terms:
+        return F.concat(F.array_join(F.slice(words, 1, width), " "), F.when(F.size(words) > width, "...").otherwise(""))
+    numbers = F.array(*map(F.lit, terms))
+    found = F.transform(words, lambda w: F.array_distinct(F.filter(F.transform(X.index_tokens(w), lambda t: F.array_position(numbers, t).cast("int") - 1), lambda k: k >= 0)))
+    marks = F.flatten(F.transform(found, lambda ks, at: F.transform(F.array_sort(ks), lambda k: F.struct(at.cast("int").alias("at"), k.alias("term")))))
+    best = smallest_window(marks, len(terms), F.array_distinct(F.flatten(found)))
+    first = F.coalesce(F.greatest(best["start"] - F.greatest(F.floor((F.lit(width) - best["span"]) / 2), F.lit(0)), F.lit(0)), F.lit(0)).cast("int")
+    marked = F.transform(words, lambda w, k: F.when(F.size(F.get(found, k.cast("int"))) > 0, F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    return F.concat(F.when(first > 0, "...").otherwise(""), F.array_join(F.slice(marked, first + 1, F.lit(width)), " "), F.when(first + width < F.size(words), "...").otherwise(""))

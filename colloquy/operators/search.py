@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,13 @@ def recency(now: float) -> Column:
     return F.when(t == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 0.5 * (1.0 - age / 730.0)))
 
 
-def phrase_bonus(query: str, text: Column) -> Column:
-    """0.75 where a query of several words stands in the text as it is."""
-    q = query.strip().lower()
-    return F.when(F.lower(F.coalesce(text, F.lit(""))).contains(q), F.lit(0.75)).otherwise(0.0) if " " in q else F.lit(0.0)
+PHRASE_BONUS = 0.75
+
+
+def phrase_bonus(query: str, *texts: Column) -> Column:
+    """0.75 where a query of several words stands in one of the texts, word by word."""
+    held = reduce(Column.__or__, [fts.holds_phrase(t, query) for t in texts])
+    return F.when(held, F.lit(PHRASE_BONUS)).otherwise(0.0)
 
 
 def filtered(conversations: DataFrame, *, after: float | None = None, before: float | None = None, sources: tuple[str, ...] = (), registers: tuple[str, ...] = (), register: DataFrame | None = None) -> DataFrame:
@@ -55,8 +60,8 @@ def keyword_search(conversations: DataFrame, messages: DataFrame, query: str, no
     """conversation_id, score: the best of title hits (boosted) and message hits.
 
     Statistics cover all searchable rows; only visible conversations return.
-    With stored ``state`` postings are read by term, and texts only for the
-    phrase of a query of several words; without, texts are scanned.
+    With stored ``state`` postings are read by term, and a phrase is found by
+    the terms' positions, so no message is read; without, texts are scanned.
     """
     indexed = conversations.where(in_states("state", SEARCHABLE))
     bonus = F.least(F.col("importance_score") * 0.05, F.lit(0.5)) + recency(now)
@@ -64,14 +69,16 @@ def keyword_search(conversations: DataFrame, messages: DataFrame, query: str, no
     titles = state.titles.search(query) if state else fts.bm25(indexed, "conversation_id", ("title", "summary_short"), query)
     a = titles.join(visible, "conversation_id").select("conversation_id", (F.col("bm25") * TITLE_BOOST + F.col("bonus") + phrase_bonus(query, F.col("title"))).alias("score"))
     if state:
-        found = state.messages.search(query)
-        if " " in query.strip():
-            found = found.join(messages.select("message_id", "content_text"), "message_id")
+        found, phrase = state.messages.search(query), F.lit(False)
+        if len(fts.query_tokens(query)) > 1:
+            said = state.messages.phrase(query).select(F.col("message_id").alias("_said"))
+            found, phrase = found.join(said, found["message_id"] == said["_said"], "left"), F.col("_said").isNotNull()
+        text_bonus = F.when(phrase | fts.holds_phrase(F.col("title"), query), F.lit(PHRASE_BONUS)).otherwise(0.0)
     else:
+        text_bonus = phrase_bonus(query, F.col("title"), F.col("content_text"))
         searched = messages.join(indexed.select("conversation_id"), "conversation_id", "left_semi")
         found = fts.bm25(searched, "message_id", ("content_text", "role"), query).join(messages.select("message_id", "conversation_id", "content_text"), "message_id")
-    text = F.concat_ws(" ", "title", *(["content_text"] if "content_text" in found.columns else []))
-    b = found.join(visible, "conversation_id").select("conversation_id", (F.col("bm25") + F.col("bonus") + phrase_bonus(query, text)).alias("score"))
+    b = found.join(visible, "conversation_id").select("conversation_id", (F.col("bm25") + F.col("bonus") + text_bonus).alias("score"))
     return a.unionByName(b).groupBy("conversation_id").agg(F.max("score").alias("score"))
 
 

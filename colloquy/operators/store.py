@@ -2,18 +2,29 @@
 
 A change writes new versions of the tables that it touches and then a pointer
 with the next number, by renaming a whole file; the largest number is current.
-No pointer is replaced, so readers see all of a change or nothing, a crash
-leaves the state before, and of two changes at once the later one fails. All
-paths go through Hadoop's file systems.
+No pointer is replaced, so readers see all of a change or nothing, and a crash
+leaves the state before. Of two changes at once the later one fails where a
+rename doesn't replace, as on HDFS and local disks; an object store needs one
+writer at a time. All paths go through Hadoop's file systems.
+
+Versions that no pointer names are collected: after a time of grace for those
+who still read them, or at once if they hold rows that must be gone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds for which a version that isn't current any more may still be read.
+GRACE = 3600.0
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -62,14 +73,13 @@ class Store:
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self.versions().items()}
 
-    def commit(self, tables: dict[str, DataFrame], purge: bool = False) -> None:
-        """Writes new versions of the tables, then points to them.
+    def commit(self, tables: dict[str, DataFrame], purge: bool = False, drop: list[str] | tuple[str, ...] = ()) -> None:
+        """Writes new versions of the tables, then points to them, and no longer to those of ``drop``.
 
-        ``purge`` removes the versions that they replace, so that what was
-        deleted is gone from disk.
+        ``purge`` then removes every version that isn't current, without a time of grace.
         """
         number, old = self._current()
-        new = dict(old)
+        new = {name: path for name, path in old.items() if name not in drop}
         for name, df in tables.items():
             new[name] = f"{name}/v-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{new[name]}")
@@ -77,6 +87,59 @@ class Store:
         for before in self._numbers()[:-2]:  # the last but one stays for readers that just listed it
             self._fs.delete(self._path(f"CURRENT-{before:012}"), False)
         if purge:
-            for name in tables:
-                if name in old:
-                    self._fs.delete(self._path(old[name]), True)
+            self.collect(grace=float("-inf"))
+
+    def unnamed(self) -> dict[str, float]:
+        """Versions that the current pointer doesn't name, with the time (POSIX seconds) at which they were written."""
+        live = set(self.versions().values())
+        found = {f"{s.getPath().getParent().getName()}/{s.getPath().getName()}": s.getModificationTime() / 1000 for s in self._fs.globStatus(self._path("*/v-*")) or []}
+        return {path: at for path, at in found.items() if path not in live}
+
+    def _drop(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def collect(self, grace: float = GRACE, now: float | None = None) -> list[str]:
+        """Removes versions that aren't current and older than ``grace`` seconds; their paths.
+
+        What a crash left half written is such a version.
+        """
+        at = time.time() if now is None else now
+        old = [path for path, written in self.unnamed().items() if at - written >= grace]
+        for path in old:
+            self._drop(path)
+        return old
+
+    def purge(self, doomed: dict[str, DataFrame]) -> list[str]:
+        """Removes at once every version that isn't current and may hold a doomed row; their paths.
+
+        ``doomed`` has, by the name of a key column, a table of its values. A
+        version without any of these columns may hold anything, as may one
+        that can't be read. Earlier pointers go first, so no new reader starts
+        on what is removed.
+        """
+        for before in self._numbers()[:-1]:
+            self._fs.delete(self._path(f"CURRENT-{before:012}"), False)
+        gone = [path for path in self.unnamed() if self._may_hold(path, doomed)]
+        for path in gone:
+            self._drop(path)
+        return gone
+
+    def _may_hold(self, path: str, doomed: dict[str, DataFrame]) -> bool:
+        try:
+            version = self.spark.read.parquet(f"{self.root}/{path}")
+        except (PySparkException, Py4JJavaError):  # without files, or with half a file: a write that was broken off
+            return True
+        keys = [k for k in doomed if k in version.columns]
+        return not keys or any(not version.join(doomed[k].select(k), k, "left_semi").isEmpty() for k in keys)
+
+    def note(self, kind: str, text: str) -> None:
+        """Keeps a text (a path, say) under a kind; the same text once."""
+        path = self._path(f"notes/{kind}-{hashlib.sha256(text.encode()).hexdigest()[:16]}")
+        if not self._fs.exists(path):
+            out = self._fs.create(path, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+
+    def noted(self, kind: str) -> list[str]:
+        found = self._fs.globStatus(self._path(f"notes/{kind}-*")) or []
+        return sorted("\n".join(r.value for r in self.spark.read.text(f.getPath().toString()).collect()) for f in found)

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..assist import registers, sampling, tasks
 from ..corpus import NOW, Corpus, derive
 from ..functions import text as X
-from ..operators import chunking, cluster, extraction, fts, lifecycle, rules, search, stored, vectors, views
+from ..operators import chunking, cluster, extraction, fts, lifecycle, rules, scratch, search, stored, vectors, views
 from ..operators import query as querylang
+from ..operators.store import Store
 from ..schema import KINDS, SEARCHABLE, VISIBLE, in_states
 from ..sources import ingest
 from .oracle import first_line, quoted, sql, words
@@ -856,8 +857,21 @@ def _(c: Corpus) -> DataFrame:
     return index.without(c.base.where(number % 7 == 3).select("conversation_id")).postings.select("message_id", "len", "term", "tf")
 
 
+#: Conversations whose index is out of date at first.
+LATE = F.substring("conversation_id", 6, 6).cast("int") % 10 == 4
+
+
 def _state(c: Corpus) -> stored.SearchState:
-    return stored.SearchState.build(c.conversations, c.messages, c.chunks)
+    """A stored state that was built over some outdated texts and then brought up to date by a segment."""
+    outdated = lambda df, name: df.withColumn(name, F.when(LATE, F.lit("revisit the outdated budget")).otherwise(F.col(name)))
+    kept = stored.SearchState.build(c.conversations, c.messages, c.chunks)
+    vocabulary = scratch.table(kept.vocabulary, "vocabulary")
+    first = stored.SearchState.build(outdated(c.conversations, "title"), outdated(c.messages, "content_text"), c.chunks, vocabulary)
+    store = Store(c.messages.sparkSession, scratch.new_path(c.messages.sparkSession, "state")).init()
+    store.commit(first.tables())
+    ids = c.base.where(LATE).select("conversation_id")
+    store.commit(stored.SearchState.load(store.tables()).change(c.conversations, c.messages, c.chunks, ids, 2))
+    return stored.SearchState.load(store.tables())
 
 
 @query("f21_stored_conversations", f"SELECT conversation_id, round(score, 6) AS score FROM ({KEYWORD})")
@@ -875,11 +889,43 @@ def _(c: Corpus) -> DataFrame:
     return search.semantic_search(c.conversations, c.messages, c.chunks, ASK, state=_state(c)).select("conversation_id", F.round("score", 6).alias("score"))
 
 
-@query("f05_snippets")
+def stretch_sql(key: str, text: str, source: str, terms: list[str]) -> str:
+    """Matches of terms in white-space words (place i from 0, term number k) and the smallest stretch with all terms that occur."""
+    return f"""WITH w AS (SELECT {key}, i - 1 AS i, ws[i] AS w, len(ws) AS n FROM (SELECT {key}, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT {key}, regexp_split_to_array({text}, '\\s+') AS ws FROM {source}))),
+    matched AS (SELECT DISTINCT {key}, i, k FROM (SELECT {key}, i, unnest({FOLD.format('w')}) AS t FROM w) JOIN (SELECT unnest({quoted(terms)}) AS t, unnest(range({len(terms)})) AS k) USING (t)),
+    kinds AS (SELECT {key}, count(DISTINCT k) AS kinds FROM matched GROUP BY 1),
+    ends AS (SELECT {key}, j, min(i) AS s, count(*) AS got FROM (SELECT a.{key}, a.i AS j, b.k, max(b.i) AS i FROM (SELECT DISTINCT {key}, i FROM matched) a JOIN matched b ON a.{key} = b.{key} AND b.i <= a.i GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    best AS (SELECT {key}, s, j - s + 1 AS span FROM ends JOIN kinds USING ({key}) WHERE got = kinds QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY j - s, j) = 1)"""
+
+
+@query("f05_snippets", stretch_sql("message_id", "content_text", "(SELECT * FROM msg WHERE contains(lower(content_text), 'vendor'))", ["the", "vendor"]) + """,
+    begins AS (SELECT message_id, greatest(s - greatest((16 - span) // 2, 0), 0) AS f FROM best)
+    SELECT message_id, CASE WHEN any_value(f) > 0 THEN '...' ELSE '' END || string_agg(CASE WHEN EXISTS (SELECT 1 FROM matched h WHERE h.message_id = w.message_id AND h.i = w.i) THEN '[' || w || ']' ELSE w END, ' ' ORDER BY i) || CASE WHEN any_value(f) + 16 < any_value(n) THEN '...' ELSE '' END AS snippet
+    FROM w JOIN begins USING (message_id) WHERE i >= f AND i < f + 16 GROUP BY message_id""")
 def _(c: Corpus) -> DataFrame:
     return c.messages.where(F.lower("content_text").contains("vendor")).select("message_id", fts.snippet(F.col("content_text"), "the vendor").alias("snippet"))
 
 
+def _message_index(c: Corpus) -> fts.Index:
+    seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")
+    return fts.Index.build(seen, ("message_id", "conversation_id"), "content_text", "role")
+
+
+PLACES = f"WITH t AS (SELECT message_id, i, ts[i] AS t FROM (SELECT message_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT message_id, {FOLD.format('content_text')} AS ts FROM emsg)))"
+
+
+@query("f09_phrases", PLACES + " SELECT a.message_id, count(*) AS times FROM t a JOIN t b ON a.message_id = b.message_id AND b.i = a.i + 1 JOIN t c ON a.message_id = c.message_id AND c.i = a.i + 2 WHERE a.t = 'need' AND b.t = 'to' AND c.t = 'restart' GROUP BY 1")
+def _(c: Corpus) -> DataFrame:
+    return _message_index(c).phrase("need to Restart!").select("message_id", F.col("times").cast("long").alias("times"))
+
+
+@query("f09_windows", PLACES + """, matched AS (SELECT message_id, i, t FROM t WHERE t IN ('the', 'vendor', 'to')),
+    ends AS (SELECT message_id, j, min(i) AS s, count(*) AS got FROM (SELECT a.message_id, a.i AS j, b.t, max(b.i) AS i FROM matched a JOIN matched b ON a.message_id = b.message_id AND b.i <= a.i GROUP BY 1, 2, 3) GROUP BY 1, 2)
+    SELECT message_id, s - 1 AS start, j - s + 1 AS span FROM ends WHERE got = 3 QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY j - s, j) = 1""")
+def _(c: Corpus) -> DataFrame:
+    return _message_index(c).windows("the vendor to").select("message_id", F.col("start").cast("long").alias("start"), F.col("span").cast("long").alias("span"))
+
+
 @query("p09_query_terms", f"SELECT message_id FROM emsg WHERE list_contains({FOLD.format('content_text')}, 'open') AND list_contains({FOLD.format('content_text')}, 'question')")
 def _(c: Corpus) -> DataFrame:
     seen = c.messages.join(c.base.where(in_states("state", SEARCHABLE)), "conversation_id", "left_semi")

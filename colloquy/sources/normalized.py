@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MESSAGE = "message_id string, ordinal int, role string, timestamp double, content_text string"
 
 
+def _shard() -> Column:
+    return F.left(F.sha2("conversation_id", 256), F.lit(2))
+
+
+def shard_path(root: str, conversation_id: str) -> str:
+    """Folder of a conversation's line."""
+    return f"{root.rstrip('/')}/shard={hashlib.sha256(conversation_id.encode()).hexdigest()[:2]}"
+
+
 def write(conversations: DataFrame, messages: DataFrame, path: str) -> None:
-    """A JSON line per conversation, in folders by the first two digits of its id's hash."""
+    """A JSON line per conversation, in folders by the first two digits of its id's hash.
+
+    All is written beside ``path`` first and then takes its place, so a crash
+    leaves what was there.
+    """
     lists = messages.groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "message_id", "role", "timestamp", "content_text"))).alias("messages"))
-    rows = conversations.join(lists, "conversation_id", "left").select(
-        F.struct(*[F.col(c) for c in conversations.columns]).alias("conversation"), "messages", F.left(F.sha2("conversation_id", 256), F.lit(2)).alias("shard")
-    )
-    rows.repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
+    rows = conversations.join(lists, "conversation_id", "left").select(F.struct(*[F.col(c) for c in conversations.columns]).alias("conversation"), "messages", _shard().alias("shard"))
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rows.repartition("shard").write.partitionBy("shard").json(beside)
+    _replace(conversations.sparkSession, beside, path)
+
+
+def _replace(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a folder in another's place; without a new one the old one goes."""
+    jvm = spark.sparkContext._jvm
+    target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if fs.exists(made):
+        fs.rename(made, target)
+
+
+def remove(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    """Takes some conversations (conversation_id) out of the written lines; only their shards are written anew."""
+    gone = ids.select("conversation_id").distinct()
+    touched = [r[0] for r in gone.select(_shard().alias("shard")).distinct().collect()]  # 256 at most
+    lines = spark.read.schema("value string, shard string").text(path).where(F.col("shard").isin(*touched) if touched else F.lit(False))
+    own = F.get_json_object("value", "$.conversation.conversation_id")
+    rest = lines.withColumn("conversation_id", own).join(gone, "conversation_id", "left_anti").select("value", "shard")
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    rest.repartition("shard").write.partitionBy("shard").text(beside)
+    for shard in touched:
+        _replace(spark, f"{beside}/shard={shard}", f"{path.rstrip('/')}/shard={shard}")
+    jvm = spark.sparkContext._jvm
+    left = jvm.org.apache.hadoop.fs.Path(beside)
+    left.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(left, True)
 
 
 def read(spark: SparkSession, path: str, conversation_schema: str) -> tuple[DataFrame, DataFrame]:
