@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import SEARCHABLE, VISIBLE, in_states
-from . import vectors
+from . import scratch, vectors
 
 MOST_TERMS = 4000
 BROAD, FINE = 10, 100
 LEAST_CORPUS = 4
 LEAST_MEMBERS = 3
+#: Rounds in which first centroids are drawn.
+START_ROUNDS = 5
 
 
 def group_documents(conversations: DataFrame) -> DataFrame:
@@ -44,38 +47,84 @@ def centroids(weights: DataFrame, labels: DataFrame, key: str = "conversation_id
     return vectors.normalised(sums, "cluster")
 
 
+def _uniform(seed: int, salt: int, key: str) -> Column:
+    """A number above 0 and up to 1 that only the key, the seed and the salt decide."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(1 << 52)) + 1) / float(1 << 52)
+
+
+def candidates(weights: DataFrame, k: int, key: str = "conversation_id", seed: int = 42, rounds: int = START_ROUNDS) -> DataFrame:
+    """candidate (number), key: 1 + 2k * ``rounds`` members at most, drawn far from each other (k-means||).
+
+    The first is that of the lowest hash. Each round draws 2k more at once,
+    with weight (1 - similarity)^2 to what is nearest among those drawn: every
+    key has an exponential variable of that rate, and the smallest are taken,
+    of which each task hands on its own only. How many rounds there are
+    doesn't depend on k or on the rows; similarities to earlier candidates are
+    kept, so a round meets its new ones only.
+    """
+    spark = weights.sparkSession
+    chosen = [r[0] for r in weights.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(1).collect()]
+    near = weights.select(key).distinct().withColumn("s", F.lit(0.0))
+    fresh, drawn = chosen, list(chosen)
+    for turn in range(rounds):
+        if not fresh:
+            break
+        names = spark.createDataFrame([(x,) for x in fresh], "candidate string")
+        mine = weights.join(F.broadcast(names), F.col(key) == F.col("candidate"), "left_semi").select(F.col(key).alias("candidate"), "term", F.col("w").alias("cw"))
+        sims = weights.join(F.broadcast(mine), "term").groupBy(key, "candidate").agg(F.sum(F.col("w") * F.col("cw")).alias("s")).groupBy(key).agg(F.max("s").alias("new"))
+        near = scratch.table(near.join(sims, key, "left").select(key, F.greatest("s", F.coalesce("new", F.lit(0.0))).alias("s")), "near")
+        far = F.pow(F.greatest(1 - F.round("s", 12), F.lit(0.0)), 2)
+        times = near.where(F.round("s", 12) < 1).select(key, (-F.log(_uniform(seed, turn, key)) / far).alias("time"))
+        fresh = sorted(r[0] for r in times.orderBy("time", key).limit(2 * k).collect())
+        drawn += fresh
+    return spark.createDataFrame(list(enumerate(drawn)), f"candidate int, {key} string")
+
+
 def first_centroids(weights: DataFrame, k: int, key: str = "conversation_id", seed: int = 42) -> DataFrame:
-    """k members as a start: the lowest hashed key, then the least similar to those chosen (k is small)."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    chosen = [r[0] for r in weights.select(key, order.alias("h")).distinct().orderBy("h", key).limit(1).collect()]
-    while len(chosen) < k:
-        near = weights.where(F.col(key).isin(*chosen)).groupBy(F.col(key).alias("c"), "term").agg(F.first("w").alias("cw"))
-        sims = weights.join(F.broadcast(near), "term").groupBy(key, "c").agg(F.sum(F.col("w") * F.col("cw")).alias("s")).groupBy(key).agg(F.max("s").alias("s"))
-        rest = weights.select(key).distinct().join(sims, key, "left").where(~F.col(key).isin(*chosen)).select(key, F.round(F.coalesce("s", F.lit(0.0)), 12).alias("s"), order.alias("h"))
-        found = rest.orderBy("s", "h", key).limit(1).collect()
-        if not found:
+    """cluster, term, w: ``k`` members as a start.
+
+    Candidates are weighed by how many keys each is nearest to and chosen by
+    weighted k-means++ with squared distance (1 - similarity)^2: they are
+    bounded by k, so this is done on the driver. Fewer than k come where
+    fewer keys differ.
+    """
+    few = candidates(weights, k, key, seed)
+    vectors_ = scratch.table(weights.join(F.broadcast(few), key).select(F.col("candidate").alias("cluster"), "term", "w"), "candidates")
+    sizes = {r.cluster: r.n for r in assign(weights, vectors_, key).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = vectors_.toArrow()
+    numbers, terms = np.unique(rows["cluster"].to_numpy(), return_inverse=True), np.unique(rows["term"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    x = np.zeros((len(numbers[0]), len(terms[0])))
+    x[numbers[1], terms[1]] = rows["w"].to_numpy()
+    size = np.array([sizes.get(int(c), 0) for c in numbers[0]], float)
+    rng, near, picked = np.random.default_rng(seed), np.zeros(len(x)), []
+    for _ in range(min(k, len(x))):
+        mass = size * np.maximum(1 - np.round(near, 12), 0) ** 2
+        if picked and mass.sum() <= 0:
             break
-        chosen.append(found[0][0])
-    numbers = weights.sparkSession.createDataFrame(list(enumerate(chosen)), f"cluster int, {key} string")
-    return weights.join(F.broadcast(numbers), key).select("cluster", "term", "w")
+        mass = np.maximum(mass, 0) if mass.sum() > 0 else np.ones(len(x))
+        at = min(int(np.searchsorted(np.cumsum(mass), rng.random() * mass.sum(), "right")), len(x) - 1)
+        picked.append(at)
+        near = np.maximum(near, x @ x[at])
+    chosen = weights.sparkSession.createDataFrame([(k_, int(numbers[0][at])) for k_, at in enumerate(picked)], "number int, old int")
+    return vectors_.join(F.broadcast(chosen), F.col("cluster") == F.col("old")).select(F.col("number").alias("cluster"), "term", "w")
 
 
-def kmeans(weights: DataFrame, k: int, key: str = "conversation_id", rounds: int = 50, checkpoint=None) -> DataFrame:
+def kmeans(weights: DataFrame, k: int, key: str = "conversation_id", rounds: int = 50, checkpoint=None, start: DataFrame | None = None) -> DataFrame:
     """key, cluster by spherical Lloyd steps; an empty cluster keeps its centroid.
 
-    One driver round trip a step tells whether a label changed. ``checkpoint``
-    (a function of a DataFrame) cuts lineage, by default ``DataFrame.checkpoint``
-    where the session has a directory for it.
+    ``start`` has first centroids (cluster, term, w), else they are drawn. One
+    driver round trip a step tells whether a label changed. ``checkpoint`` (a
+    function of a DataFrame) cuts lineage; by default each step is a table in
+    the shared folder.
     """
     ids = weights.select(key).distinct()
     if k <= 1:
         return ids.select(key, F.lit(0).alias("cluster"))
-    n = ids.count()
-    if k >= n:
-        return ids.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("cluster"))
-    has_directory = weights.sparkSession.conf.get("spark.checkpoint.dir", None) or weights.sparkSession.sparkContext.getCheckpointDir()
-    save = checkpoint or ((lambda d: d.checkpoint()) if has_directory else (lambda d: d.cache()))
-    centres = save(first_centroids(weights, k, key))
+    if start is None and (few := ids.limit(k + 1).count()) <= k:
+        return ids.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("cluster")) if few else ids.select(key, F.lit(0).alias("cluster"))
+    save = checkpoint or (lambda d: scratch.table(d, "kmeans"))
+    weights = save(weights)
+    centres = save(first_centroids(weights, k, key) if start is None else start.select("cluster", "term", "w"))
     labels = None
     for _ in range(rounds):
         new = save(assign(weights, centres, key))
@@ -105,15 +154,15 @@ def label(terms: DataFrame) -> DataFrame:
     return joined.select("cluster", F.coalesce(F.nullif("l", F.lit("")), F.lit("(unlabeled)")).alias("keyword_label"))
 
 
-def regroup(conversations: DataFrame, k: int, level: str, checkpoint=None) -> DataFrame:
+def regroup(conversations: DataFrame, k: int, level: str, checkpoint=None, start: DataFrame | None = None, rounds: int = 50) -> DataFrame:
     """group_id, level, conversation_id, keyword_label; no group under four conversations."""
     eligible = conversations.where(in_states("state", SEARCHABLE))
     documents = group_documents(eligible)
-    weights = tfidf(documents)
-    weights = checkpoint(weights) if checkpoint else weights.cache()
-    if documents.count() < LEAST_CORPUS:
+    if documents.limit(LEAST_CORPUS).count() < LEAST_CORPUS:
         return documents.where(F.lit(False)).select(F.lit("").alias("group_id"), F.lit(level).alias("level"), "conversation_id", F.lit("").alias("keyword_label"))
-    labels = kmeans(weights, k, checkpoint=checkpoint)
+    weights = tfidf(documents)
+    weights = checkpoint(weights) if checkpoint else scratch.table(weights, "group-weights")
+    labels = kmeans(weights, k, checkpoint=checkpoint, start=start, rounds=rounds)
     named = label(distinctive_terms(weights, labels))
     group = F.concat(F.lit("grp_"), F.left(F.sha2(F.concat_ws("|", F.lit(level), F.col("cluster").cast("string")), 256), F.lit(16)))
     return labels.join(F.broadcast(named), "cluster", "left").select(group.alias("group_id"), F.lit(level).alias("level"), "conversation_id", F.coalesce("keyword_label", F.lit("(unlabeled)")).alias("keyword_label"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import scratch
 
 DIMENSIONS = 256
 RRF_K = 60
@@ -87,6 +88,7 @@ def fuse(lists: list[DataFrame], key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank") + 1)).alias("rrf"))
 
 
+NEAREST = "query_id long, vec_id long, cosine double"
 _NEAREST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cosine", pa.float64())])
 
 
@@ -98,8 +100,11 @@ def _unit(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 def _best(held, k: int, digits: int):
+    """Each task's own best ``k`` rows of every query, kept as it reads and handed on at its end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = held.value
+        best, near = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -107,8 +112,10 @@ def _best(held, k: int, digits: int):
                 order = np.argsort(vec, kind="stable")  # ties go to the smaller id
                 cosine = np.round(queries @ _unit(part)[order].T, digits) + 0.0
                 top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(ids)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(vec[order][top.ravel()]), pa.array(cosine[rows, top.ravel()])], schema=_NEAREST)
+                both, names = np.concatenate([best, np.take_along_axis(cosine, top, axis=1)], axis=1), np.concatenate([near, vec[order][top]], axis=1)
+                order = np.lexsort((names, -both), axis=1)[:, :k]
+                best, near = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(near.ravel()), pa.array(best.ravel())], schema=_NEAREST)
 
     return run
 
@@ -117,19 +124,22 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, block: int =
     """query_id, vec_id, cosine: the ``k`` rows most similar to each query, itself included.
 
     Both have vec_id and embedding (dense, of one length). Every query meets
-    every row: queries are broadcast in blocks of about ``block``, one pass
-    over the rows each, and tasks hand on only their own best ``k``. Cosines
-    are rounded to ``digits`` and ties go to the smaller id. Rows without an
-    embedding are left out.
+    every row: queries are written in blocks of about ``block``, and one block
+    at a time is broadcast for one pass over the rows; each task hands on its
+    best ``k`` of a query only. Cosines are rounded to ``digits`` and ties go
+    to the smaller id. Rows without an embedding are left out.
     """
-    sc = embeddings.sparkSession.sparkContext
+    spark = embeddings.sparkSession
     rows, asked = (d.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding") for d in (embeddings, queries))
-    blocks = -(-asked.count() // block)
-    found = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double")
+    asked = scratch.table(asked, "queries")
+    blocks = max(1, -(-asked.count() // block))
+    path = scratch.new_path(spark, "nearest")
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        held = sc.broadcast((part["vec_id"].to_numpy(), _unit(part) if part.num_rows else np.zeros((0, 1))))
-        best = rows.mapInArrow(_best(held, k, digits), "query_id long, vec_id long, cosine double") if part.num_rows else None
-        found = found if best is None else found.unionByName(best)
+        if part.num_rows:
+            held = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _unit(part)))
+            rows.mapInArrow(_best(held, k, digits), NEAREST).write.mode("append").parquet(path)
+            held.destroy()
+    found = spark.read.schema(NEAREST).parquet(path) if asked.limit(1).count() else spark.createDataFrame([], NEAREST)
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "vec_id", "cosine")

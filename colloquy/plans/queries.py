@@ -779,6 +779,39 @@ def _(c: Corpus) -> DataFrame:
     return cluster.regroup(c.conversations, 6, "broad")
 
 
+LLOYD_ROUNDS = 3
+
+
+def lloyd_parts(rounds: int) -> dict[str, str]:
+    """Labels l1, l2, ... and centroids c1, c2, ... of Lloyd steps from ``cen``; an empty cluster keeps its centroid."""
+    parts, before = {}, "cen"
+    for r in range(1, rounds + 1):
+        parts[f"l{r}"] = f"SELECT conversation_id, coalesce(cluster, 0) AS cluster FROM (SELECT DISTINCT conversation_id FROM tw) LEFT JOIN (SELECT conversation_id, c.cluster FROM tw JOIN {before} c USING (term) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY round(sum(tw.w * c.w), 12) DESC, c.cluster) = 1) USING (conversation_id)"
+        parts[f"c{r}"] = f"SELECT cluster, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster)) AS w FROM (SELECT cluster, term, sum(w) AS w FROM tw JOIN l{r} USING (conversation_id) GROUP BY 1, 2) UNION ALL SELECT cluster, term, w FROM {before} WHERE cluster NOT IN (SELECT cluster FROM l{r})"
+        before = f"c{r}"
+    return parts
+
+
+FULL_RUN = PRIVATE_TOO | lloyd_parts(LLOYD_ROUNDS)
+
+
+@query("k04_full_run", f"SELECT conversation_id, cluster FROM l{LLOYD_ROUNDS}", FULL_RUN)
+def _(c: Corpus) -> DataFrame:
+    w, labels = _weights(c)
+    return cluster.kmeans(w, 4, rounds=LLOYD_ROUNDS, start=cluster.centroids(w, labels))
+
+
+LAST = f"l{LLOYD_ROUNDS}"
+NAMED = f"SELECT cluster, string_agg(term, ', ' ORDER BY rank) AS keyword_label FROM (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(w - CASE WHEN n > 1 THEN (s - w) / (n - 1) ELSE 0 END, 9) DESC, term) AS rank FROM (SELECT cluster, term, w, sum(w) OVER (PARTITION BY term) AS s, (SELECT count(DISTINCT cluster) FROM {LAST}) AS n FROM ends_at)) WHERE rank <= 5 GROUP BY cluster"
+
+
+@query("k06_regroup_from", f"SELECT 'grp_' || left(sha256('broad|' || cluster), 16) AS group_id, 'broad' AS level, conversation_id, keyword_label FROM {LAST} JOIN ({NAMED}) USING (cluster)", FULL_RUN | {
+    "ends_at": f"SELECT cluster, term, w / sqrt(sum(w * w) OVER (PARTITION BY cluster)) AS w FROM (SELECT cluster, term, sum(w) AS w FROM tw JOIN {LAST} USING (conversation_id) GROUP BY 1, 2)",
+})
+def _(c: Corpus) -> DataFrame:
+    return cluster.regroup(c.conversations, 4, "broad", start=cluster.centroids(*_weights(c)), rounds=LLOYD_ROUNDS)
+
+
 @query("k07_safe_labels")
 def _(c: Corpus) -> DataFrame:
     return cluster.safe_labels(c.conversations, _members(c))

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import scratch
+
 BASENAME = "conversations.json"
 #: Paths of export files in a folder.
 NAMES = r"(/conversations\.json|\.zip)$"
 #: Where a conversation's copy stands; an export may hold several of one id.
 COPY = ("path", "position")
-#: Length of a parent chain that is followed.
-MOST_STEPS = 10_000
+#: Nodes of a tree whose path is found within its row.
+IN_PLACE = 256
 
 _NODE = "struct<id:string,parent:string,children:array<string>,message:variant>"
 
@@ -102,17 +104,26 @@ def flatten_parts(content: Column) -> Column:
     return F.when(kind == "code", code).when(_variants(content, "$.parts").isNotNull(), parts).otherwise(text)
 
 
-def linearised(nodes: DataFrame) -> DataFrame:
-    """key, step, id: the path from root to the current node, or down last children.
+def linearised(nodes: DataFrame, in_place: int = IN_PLACE) -> DataFrame:
+    """key, step, message: the path from root to the current node, or down last children.
 
     ``nodes`` has key (of a conversation), current, mapping (id -> node). The
-    path is an aggregate within each row: no join, whatever the tree's depth.
+    path of a tree of up to ``in_place`` nodes is an aggregate within its row.
+    That takes time by the square of its depth, so larger trees are exploded
+    and their pointers squared, in as many rounds as the depth has bits.
     """
+    small = _folded(nodes.where(F.size("mapping") <= in_place))
+    each = nodes.where(F.size("mapping") > in_place).select("key", "current", F.posexplode("mapping").alias("at", "id", "node"))
+    large = scratch.table(each.select("key", "current", "at", "id", "node.parent", "node.children", "node.message"), "nodes")
+    return small if large.isEmpty() else small.unionByName(_doubled(large))
+
+
+def _folded(nodes: DataFrame) -> DataFrame:
+    """Paths of small trees."""
     m = F.col("mapping")
     ids = F.map_keys(m)
     node = lambda i: F.try_element_at(m, i)
-    bound = F.least(F.size(ids), F.lit(MOST_STEPS))
-    steps = F.sequence(F.lit(1), F.greatest(bound, F.lit(1)))
+    steps = F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1)))
     # upwards: parents of the current node, each once
     up = F.aggregate(steps, F.array(F.col("current")), lambda path, _: F.when(node(F.element_at(path, -1))["parent"].isNotNull() & ~F.array_contains(path, F.coalesce(node(F.element_at(path, -1))["parent"], F.lit(""))) & F.array_contains(ids, F.coalesce(node(F.element_at(path, -1))["parent"], F.lit(""))), F.concat(path, F.array(node(F.element_at(path, -1))["parent"]))).otherwise(path))
     root = F.get(F.filter(ids, lambda i: node(i)["parent"].isNull() | ~F.array_contains(ids, F.coalesce(node(i)["parent"], F.lit("")))), F.lit(0))
@@ -120,7 +131,39 @@ def linearised(nodes: DataFrame) -> DataFrame:
     down = F.aggregate(steps, F.array(root), lambda path, _: F.when(last_child(F.element_at(path, -1)).isNotNull() & ~F.array_contains(path, F.coalesce(last_child(F.element_at(path, -1)), F.lit(""))), F.concat(path, F.array(last_child(F.element_at(path, -1))))).otherwise(path))
     has_current = F.col("current").isNotNull() & F.array_contains(ids, F.coalesce("current", F.lit("")))
     path = F.when(has_current, F.reverse(up)).otherwise(down)
-    return nodes.select("key", "mapping", F.posexplode(path).alias("step", "id"))
+    return nodes.select("key", "mapping", F.posexplode(path).alias("step", "id")).select("key", "step", F.try_element_at("mapping", "id")["message"].alias("message"))
+
+
+def _doubled(nodes: DataFrame) -> DataFrame:
+    """Paths of large trees; ``nodes`` has key, current, at (place in the mapping), id, parent, children, message.
+
+    Each node points on, to its parent or to its last child. Marks begin at
+    the path's first node; in a round what is marked marks what its pointer
+    of 1, 2, 4, ... steps reaches, and pointers are squared. A node that is
+    met again ends the path, so a loop does too.
+    """
+    ids = nodes.select("key", "id")
+    real = lambda df, c: df.join(ids.withColumnRenamed("id", c), ["key", c], "left_semi")
+    upward = nodes.where("current IS NOT NULL").select("key", F.col("current").alias("id")).distinct().join(ids, ["key", "id"], "left_semi")
+    known = scratch.table(upward.select("key", F.lit(True).alias("up")), "upward")
+    parents = real(nodes.select("key", "id", "at", "parent"), "parent").select("key", "id", F.col("parent").alias("to"))
+    children = real(nodes.select("key", "id", F.posexplode("children").alias("place", "child")), "child").groupBy("key", "id").agg(F.max_by("child", "place").alias("to"))
+    roots = nodes.join(parents.select("key", "id"), ["key", "id"], "left_anti").groupBy("key").agg(F.min_by("id", "at").alias("id"))
+    jumps = scratch.table(parents.join(known, "key", "left_semi").unionByName(children.join(known, "key", "left_anti")), "jumps")
+    marks = scratch.table(upward.unionByName(roots.join(known, "key", "left_anti").select("key", "id")).withColumn("step", F.lit(0)), "marks")
+    length = 1
+    while True:
+        reached = marks.join(jumps, ["key", "id"]).groupBy("key", F.col("to").alias("id")).agg((F.min("step") + length).alias("step"))
+        fresh = scratch.table(reached.join(marks.select("key", "id"), ["key", "id"], "left_anti"), "marks")
+        if fresh.isEmpty():
+            break
+        marks = scratch.table(marks.unionByName(fresh), "marks")
+        onward = jumps.select("key", F.col("id").alias("to"), F.col("to").alias("further"))
+        jumps = scratch.table(jumps.join(onward, ["key", "to"]).select("key", "id", F.col("further").alias("to")), "jumps")
+        length *= 2
+    ends = marks.join(known, "key").groupBy("key").agg(F.max("step").alias("last"))
+    ordered = marks.join(ends, "key", "left").select("key", "id", F.coalesce(F.col("last") - F.col("step"), F.col("step")).alias("step"))
+    return ordered.join(nodes.select("key", "id", "message"), ["key", "id"]).select("key", "step", "message")
 
 
 ROLES = ("user", "assistant", "system", "tool")
@@ -135,7 +178,7 @@ def tree_messages(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
         parse_timestamp(text_at("conversation", "$.create_time")).alias("created_at"), parse_timestamp(text_at("conversation", "$.update_time")).alias("updated_at"),
     )
     nodes = rows.select(F.struct(*COPY).alias("key"), text_at("conversation", "$.current_node").alias("current"), F.try_variant_get("conversation", "$.mapping", f"map<string,{_NODE}>").alias("mapping"))
-    path = linearised(nodes).select("key", "step", F.try_element_at("mapping", "id")["message"].alias("message")).where("message IS NOT NULL AND schema_of_variant(message) <> 'VOID'")
+    path = linearised(nodes).where("message IS NOT NULL AND schema_of_variant(message) <> 'VOID'")
     role = F.lower(F.coalesce(text_at("message", "$.author.role"), F.lit("other")))
     said = path.select(
         "key", "step", F.when(role.isin(*ROLES), role).otherwise("other").alias("role"), flatten_parts(F.try_variant_get("message", "$.content", "variant")).alias("content_text"),

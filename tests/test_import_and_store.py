@@ -13,7 +13,7 @@ from colloquy.api import import_exports
 from colloquy.operators import fts, rules, stored
 from colloquy.operators.store import Store
 from colloquy.operators.stored import SearchState
-from colloquy.sources import normalized
+from colloquy.sources import exports, normalized
 
 from test_sources import LIST, TREE
 
@@ -261,3 +261,53 @@ def test_texts_of_several_rows_follow_their_order(spark):
 def test_snippets_show_the_smallest_stretch(spark, text, query, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(fts.snippet(F.col("t"), query, width=3)).first()[0] == want
+
+
+# ---- tree paths
+
+
+def tree(parents, current=None, children=None):
+    """A tree export; ``parents`` maps id to parent, in the mapping's order."""
+    below = {}
+    for i, p in parents.items():
+        below.setdefault(p, []).append(i)
+    mapping = {i: {"id": i, "parent": p, "children": (children or below).get(i, []), "message": {"id": i, "author": {"role": "user"}, "content": {"content_type": "text", "parts": [f"said {i}"]}}} for i, p in parents.items()}
+    return {"id": f"t{len(parents)}-{current}", "title": "T", "create_time": 1.0, "current_node": current, "mapping": mapping}
+
+
+def walk(parents, current, below):
+    path, at = [], current if current in parents else next((i for i, p in parents.items() if p not in parents), None)
+    while at in parents and at not in path:
+        path.append(at)
+        at = parents[at] if current in parents else next((c for c in reversed(below.get(at, [])) if c in parents), None)
+    return path[::-1] if current in parents else path
+
+
+def test_paths_by_doubling_are_those_of_a_plain_walk(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    trees = []
+    for n in (1, 2, 3, 9, 40):
+        parents = {f"n{k}": f"n{r.randrange(k)}" if k and r.random() < 0.95 else None for k in range(n)}
+        trees += [(parents, f"n{n - 1}"), (parents, None), (parents, "absent")]
+    trees += [({"a": "c", "b": "a", "c": "b"}, "b"), ({"r": None, "x": "gone", "y": "x"}, "y"), ({f"n{k}": f"n{k - 1}" if k else None for k in range(70)}, "n66")]
+    made = [tree(p, c) | {"id": f"t{k}"} for k, (p, c) in enumerate(trees)]
+    want = {}
+    for k, (parents, current) in enumerate(trees):
+        below = {}
+        for i, p in parents.items():
+            below.setdefault(p, []).append(i)
+        want[f"t{k}"] = [f"said {i}" for i in walk(parents, current, below)]
+    path = export(tmp_path / "a", *made)
+    for in_place in (0, 256):
+        monkeypatch.setattr(exports.linearised, "__defaults__", (in_place,))
+        got = {}
+        for m in exports.parse_exports(exports.read_exports(spark, path))[1].orderBy("ordinal").collect():
+            got.setdefault(m.source_conversation_id, []).append(m.content_text)
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_a_chain_of_ten_thousand_nodes(spark, tmp_path):
+    parents = {f"n{k}": f"n{k - 1}" if k else None for k in range(10_000)}
+    path = export(tmp_path / "a", tree(parents, "n9999"))
+    said = exports.parse_exports(exports.read_exports(spark, path))[1]
+    assert said.count() == 10_000 and said.where("content_text <> concat('said n', ordinal)").count() == 0
