@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunking, search, views
+from ..operators import chunking, scratch, search, views
 from ..schema import VISIBLE, in_states
 from . import registers, runner, sampling
 
 SHORT = 30
+#: Passes over chunk boundaries, and messages that are shown of each side.
+GATE_PASSES = 10
+GATE_MESSAGES = 3
 GENERIC_NAMES = ("general", "misc", "miscellaneous", "other", "various", "conversation", "conversations", "chat", "group")
 _CLASSIFY = "Give the register of each user message as JSON [{\"ordinal\": n, \"register\": name}].\n<<MESSAGES>>"
 _EXTRACT = "Give the decisions, open loops and entities as JSON {\"items\": [{\"kind\": name, \"title\": text}]}.\n<<MESSAGES>>"
@@ -60,18 +63,49 @@ def summarise(conversations: DataFrame, messages: DataFrame, scorer: runner.Scor
     return answered.where("response IS NOT NULL").select("conversation_id", F.left(F.trim("response"), F.lit(1200)).alias("summary"))
 
 
-def gate_chunks(messages: DataFrame, chunks: DataFrame, scorer: runner.Scorer, config: runner.Config, cache: DataFrame | None = None) -> DataFrame:
-    """Chunk ranges with neighbours merged where the model says yes; failures keep the boundary."""
-    rows = chunking.in_chunk(messages, chunks).groupBy("conversation_id", "chunk_index", "start_message_ordinal", "end_message_ordinal").agg(F.sort_array(F.collect_list(F.struct("ordinal", "role", "content_text"))).alias("m"))
-    w = Window.partitionBy("conversation_id").orderBy("chunk_index")
-    pairs = rows.withColumn("next", F.lead("m").over(w))
-    tail = F.slice("m", F.greatest(F.size("m") - 2, F.lit(1)), 3)
-    prompts = pairs.select("conversation_id", "chunk_index", "start_message_ordinal", "end_message_ordinal", F.when(F.col("next").isNotNull(), runner.render(_SAME, before=sampling.transcript(tail), after=sampling.transcript(F.slice("next", 1, 3)))).alias("prompt"))
-    answered, _ = runner.run(prompts.where("prompt IS NOT NULL"), "chunk_gating", scorer, config, cache)
-    joins = answered.select("conversation_id", "chunk_index", F.lower(F.trim(F.coalesce("response", F.lit("")))).startswith("yes").alias("same"))
-    marked = prompts.drop("prompt").join(joins, ["conversation_id", "chunk_index"], "left")
-    begins = F.sum(F.when(F.coalesce(F.lag("same").over(w), F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("part", begins - 1).groupBy("conversation_id", F.col("part").cast("int").alias("chunk_index")).agg(F.min("start_message_ordinal").alias("start_message_ordinal"), F.max("end_message_ordinal").alias("end_message_ordinal"))
+def _sides(messages: DataFrame, ranges: DataFrame, most: int = GATE_MESSAGES) -> DataFrame:
+    """ranges' rows with head and tail: transcripts of their first and last messages; no chunk is gathered as a whole."""
+    part = ["conversation_id", "chunk_index"]
+    rows = chunking.in_chunk(messages.select("conversation_id", "ordinal", "role", "content_text"), ranges.select(*part, "start_message_ordinal", "end_message_ordinal"))
+    first, last = Window.partitionBy(*part).orderBy("ordinal"), Window.partitionBy(*part).orderBy(F.desc("ordinal"))
+    ends = rows.withColumns({"_a": F.row_number().over(first), "_z": F.row_number().over(last)}).where((F.col("_a") <= most) | (F.col("_z") <= most))
+    said = F.struct("ordinal", "role", "content_text")
+    lists = ends.groupBy(*part).agg(*[F.sort_array(F.collect_list(F.when(F.col(c) <= most, said))).alias(n) for c, n in (("_a", "head"), ("_z", "tail"))])
+    return ranges.join(lists.select(*part, sampling.transcript(F.col("head")).alias("head"), sampling.transcript(F.col("tail")).alias("tail")), part, "left")
+
+
+def gate_chunks(messages: DataFrame, chunks: DataFrame, scorer: runner.Scorer, config: runner.Config, cache: DataFrame | None = None, passes: int = GATE_PASSES) -> DataFrame:
+    """Chunk ranges with neighbours merged where the model says yes, under fresh ids; failures keep the boundary.
+
+    A pass asks about all boundaries that may have changed, of all
+    conversations at once, and merges what belongs together; only boundaries
+    next to a merge are asked about again. It ends when nothing merges, after
+    ``passes`` at the latest. Answers are written, so that the model is asked
+    once for each.
+    """
+    order = Window.partitionBy("conversation_id").orderBy("chunk_index")
+    ranges = scratch.table(chunks.select("conversation_id", "chunk_index", "start_message_ordinal", "end_message_ordinal", F.lit(True).alias("ask")), "gate")
+    for _ in range(passes):
+        sides = _sides(messages, ranges).withColumns({"_next": F.lead("head").over(order)})
+        prompt = runner.render(_SAME, before=F.col("tail"), after=F.col("_next"))
+        prompts = sides.where("ask AND coalesce(tail, '') <> '' AND coalesce(_next, '') <> ''").select("conversation_id", "chunk_index", prompt.alias("prompt"))
+        answered, fresh = runner.run(prompts, "chunk_gating", scorer, config, cache)
+        told = scratch.table(answered.select("conversation_id", "chunk_index", "prompt_key", "response"), "gate-answers")
+        if told.where(_yes()).isEmpty():
+            break
+        known = told.where("response IS NOT NULL").select("prompt_key", "response").dropDuplicates(["prompt_key"])
+        cache = known if cache is None else scratch.table(cache.select("prompt_key", "response").unionByName(known.join(cache.select("prompt_key"), "prompt_key", "left_anti")), "gate-cache")
+        marked = ranges.join(told.select("conversation_id", "chunk_index", _yes().alias("same")), ["conversation_id", "chunk_index"], "left")
+        begins = F.sum(F.when(F.coalesce(F.lag("same").over(order), F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        merged = marked.withColumn("part", (begins - 1).cast("int")).groupBy("conversation_id", F.col("part").alias("chunk_index")).agg(
+            F.min("start_message_ordinal").alias("start_message_ordinal"), F.max("end_message_ordinal").alias("end_message_ordinal"), (F.count(F.lit(1)) > 1).alias("grown")
+        )
+        ranges = scratch.table(merged.withColumn("ask", F.col("grown") | F.coalesce(F.lead("grown").over(order), F.lit(False))).drop("grown"), "gate")
+    return ranges.select("conversation_id", chunking.chunk_id(F.col("conversation_id"), F.col("chunk_index")).alias("chunk_id"), "chunk_index", "start_message_ordinal", "end_message_ordinal")
+
+
+def _yes() -> Column:
+    return F.lower(F.trim(F.coalesce("response", F.lit("")))).startswith("yes")
 
 
 def best_text(title: Column, summary: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..schema import SEVERITY, STATES
 
 FIELDS = ("title", "summary", "messages")
 MOST_NOTES = 5
+#: Conversations that counters name of each change.
+MOST_EXAMPLES = 20
 
 
 @dataclass(frozen=True)
@@ -77,6 +82,37 @@ def initial_state(found: DataFrame, ids: DataFrame, approve: bool = False) -> Da
     )
 
 
+def _smallest(most: int):
+    """A task's share of the smallest ids of each group, at most ``most`` of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        held: dict[str, list[str]] = {}
+        for batch in batches:
+            for group, name in zip(batch["label"].to_pylist(), batch["conversation_id"].to_pylist(), strict=True):
+                counts[group] = counts.get(group, 0) + 1
+                ids = held.setdefault(group, [])
+                if len(ids) < most or name < ids[-1]:
+                    bisect.insort(ids, name)
+                    del ids[most:]
+        labels = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array([counts[x] for x in labels], pa.int64()), pa.array([held[x] for x in labels], pa.list_(pa.string()))], ["label", "n", "ids"])
+
+    return run
+
+
+def counted(moved: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
+    """label (``from->to``), n, examples (the smallest ids, at most ``most``) of rows with conversation_id, old_state, new_state.
+
+    A group is counted in each task first, which hands on its smallest ids
+    only, so no group's ids are gathered.
+    """
+    rows = moved.select(F.concat_ws("->", "old_state", "new_state").alias("label"), "conversation_id")
+    parts = rows.mapInArrow(_smallest(most), "label string, n long, ids array<string>")
+    ids = F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, most)
+    return parts.groupBy("label").agg(F.sum("n").alias("n"), ids.alias("examples"))
+
+
 def rescan(conversations: DataFrame, messages: DataFrame, rules: list[Rule]) -> DataFrame:
     """Conversations that rules make more restricted: old and new state, notes. Never less restricted."""
     found = evaluate(conversations, messages, rules)

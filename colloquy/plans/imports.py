@@ -17,6 +17,7 @@ from ..api import import_exports
 from ..corpus import NOW
 from ..operators import scratch
 from ..operators.store import Store
+from ..sources import exports
 
 #: Conversations of one export file.
 FILE_CONVERSATIONS = 500
@@ -103,6 +104,45 @@ def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["s13_import"] = _conversations
 QUERIES["s13_counters"] = lambda spark, sf_dir: imported(spark, sf_dir)[1]
 
+#: Conversations whose turns make one tree.
+TREE_CONVERSATIONS = 60
+
+
+def _deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of trees of hundreds of nodes: turns of many conversations in a chain; every third node also has a leaf that isn't on the path.
+
+    A tree whose number is even names its current node, the others are followed down their last children.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id IS NOT NULL")
+    turn = F.struct("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    trees = rows.groupBy(F.floor(F.col("conv_id") / TREE_CONVERSATIONS).alias("tree")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    leaf = lambda k: F.concat(F.lit("x"), k.cast("string"))
+    last = F.size("turns") - 1
+
+    def entry(key: Column, parent: Column, children: Column, role: Column, text: Column) -> Column:
+        message = F.struct(key.alias("id"), F.struct(role.alias("role")).alias("author"), F.struct(F.lit("text").alias("content_type"), F.array(text).alias("parts")).alias("content"))
+        return F.struct(key.alias("key"), F.struct(key.alias("id"), parent.alias("parent"), children.alias("children"), message.alias("message")).alias("value"))
+
+    def node(t: Column, k: Column) -> Column:
+        on = F.when(k < last, F.array(name(k + 1))).otherwise(F.array().cast("array<string>"))
+        return entry(name(k), F.when(k > 0, name(k - 1)), F.when((k % 3 == 0) & (k < last), F.concat(F.array(leaf(k)), on)).otherwise(on), t["role"], t["text"])
+
+    leaves = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda k: (k % 3 == 0) & (k < last)), lambda k: entry(leaf(k), name(k), F.array().cast("array<string>"), F.lit("user"), F.lit("aside")))
+    mapping = F.map_from_entries(F.concat(F.transform("turns", node), leaves))
+    current = F.when(F.col("tree") % 2 == 0, name(last))
+    json = F.to_json(F.struct(F.concat(F.lit("t"), F.col("tree")).alias("id"), F.lit("Deep").alias("title"), F.lit(1e9).alias("create_time"), current.alias("current_node"), mapping.alias("mapping")))
+    path = scratch.new_path(spark, "deep")
+    trees.select(F.concat(F.lit("["), json, F.lit("]")).alias("value")).repartition(8).write.text(path)
+    messages = exports.parse_exports(exports.read_exports(spark, path, NAMES))[1]
+    return messages.select("source_conversation_id", F.col("ordinal").cast("long").alias("ordinal"), "role", "content_text")
+
+
+QUERIES["s05_tree_paths"] = _deep_trees
+ORACLE_SQL["s05_tree_paths"] = f"""
+    SELECT 't' || tree AS source_conversation_id, row_number() OVER (PARTITION BY tree ORDER BY conv_id, turn) - 1 AS ordinal, role, text AS content_text
+    FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id // {TREE_CONVERSATIONS} AS tree FROM conversations WHERE conv_id IS NOT NULL)"""
+
 _KINDS = """
     kind AS (
         SELECT 'chatgpt' AS source, conv_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0)

@@ -15,7 +15,7 @@ from ..operators import chunking, cluster, extraction, fts, lifecycle, rules, sc
 from ..operators import query as querylang
 from ..operators.store import Store
 from ..schema import KINDS, SEARCHABLE, VISIBLE, in_states
-from ..sources import ingest
+from ..sources import ingest, normalized
 from .oracle import first_line, quoted, sql, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,10 +173,20 @@ def _(c: Corpus) -> DataFrame:
     return c.base.where(in_states("state", VISIBLE)).join(group, "conversation_id", "left_anti").select("conversation_id")
 
 
-@query("j06_orphans", "SELECT object_id, kind FROM obj WHERE object_id NOT IN (SELECT object_id FROM prov WHERE conversation_id IN (SELECT conversation_id FROM conv0 WHERE conv_id % 50 = 6))")
+@query("l09_reconciled", "SELECT conversation_id, CASE WHEN conv_id % 10 = 4 THEN 'stray' ELSE 'missing' END AS problem FROM conv0 WHERE conv_id % 10 IN (3, 4)")
 def _(c: Corpus) -> DataFrame:
-    deleted = c.base.where(F.substring("conversation_id", 6, 6).cast("int") % 50 != 6).select("conversation_id")
-    left = c.provenance.join(deleted, "conversation_id", "left_anti")  # of all links
+    """Lines are written of all conversations but some; of others the row is gone."""
+    spark, digit = c.base.sparkSession, F.substring("conversation_id", 6, 6).cast("int") % 10
+    path = scratch.new_path(spark, "normalized")
+    normalized.write(c.base.where(digit != 3), c.messages, path)
+    return normalized.reconciled(spark, path, c.base.where(digit != 4)).select("conversation_id", "problem")
+
+
+@query("j06_orphans", "SELECT object_id, kind FROM obj WHERE object_id NOT IN (SELECT object_id FROM prov WHERE conversation_id NOT IN (SELECT conversation_id FROM prov JOIN obj USING (object_id) WHERE kind = 'decision'))")
+def _(c: Corpus) -> DataFrame:
+    """Objects that lose their last link when every conversation with a decision is deleted."""
+    doomed = c.provenance.join(c.objects.where("kind = 'decision'"), "object_id", "left_semi").select("conversation_id").distinct()
+    left = lifecycle.delete({"objects": c.objects, "provenance": c.provenance}, doomed)["provenance"]
     return lifecycle.orphans(c.objects, left).select("object_id", "kind")
 
 
@@ -608,11 +618,19 @@ def _(c: Corpus) -> DataFrame:
     return rules.evaluate(c.conversations, c.messages, RULES)
 
 
-@query("m16_rescan", f"SELECT conversation_id, state AS old_state, rule_state AS new_state, notes FROM ({MATCHED}) JOIN conv0 USING (conversation_id) WHERE CASE rule_state WHEN 'quarantined' THEN 2 ELSE 1 END > CASE state WHEN 'quarantined' THEN 2 WHEN 'private' THEN 1 ELSE 0 END")
+RESCANNED = f"SELECT conversation_id, state AS old_state, rule_state AS new_state, notes FROM ({MATCHED}) JOIN conv0 USING (conversation_id) WHERE CASE rule_state WHEN 'quarantined' THEN 2 ELSE 1 END > CASE state WHEN 'quarantined' THEN 2 WHEN 'private' THEN 1 ELSE 0 END"
+
+
+@query("m16_rescan", RESCANNED)
 def _(c: Corpus) -> DataFrame:
     return rules.rescan(c.conversations, c.messages, RULES)
 
 
+@query("a14_rescan_counters", f"SELECT old_state || '->' || new_state AS label, count(*) AS n, array_to_string(list(conversation_id ORDER BY conversation_id)[1:20], ',') AS examples FROM ({RESCANNED}) GROUP BY 1")
+def _(c: Corpus) -> DataFrame:
+    return rules.counted(rules.rescan(c.conversations, c.messages, RULES)).withColumn("examples", F.array_join("examples", ","))
+
+
 @query("s14_initial_state", f"SELECT conversation_id, coalesce(rule_state, 'pending_review') AS state FROM conv0 LEFT JOIN ({MATCHED}) USING (conversation_id)")
 def _(c: Corpus) -> DataFrame:
     return rules.initial_state(rules.evaluate(c.conversations, c.messages, RULES), c.base.select("conversation_id"))
@@ -812,7 +830,17 @@ def _(c: Corpus) -> DataFrame:
     return cluster.regroup(c.conversations, 4, "broad", start=cluster.centroids(*_weights(c)), rounds=LLOYD_ROUNDS)
 
 
-@query("k07_safe_labels")
+#: Groups against all visible conversations outside them.
+SAFE = tfidf_parts("state = 'indexed'", 1) | {
+    "mem": f"SELECT m.* FROM ({MEMBERS}) m JOIN conv0 c USING (conversation_id) WHERE c.state = 'indexed'",
+    "inside": "SELECT group_id, term, raw, raw / sqrt(sum(raw * raw) OVER (PARTITION BY group_id)) AS w FROM (SELECT group_id, term, sum(w) AS raw FROM tw JOIN mem USING (conversation_id) GROUP BY 1, 2)",
+    "whole": "SELECT term, sum(w) AS everything FROM tw GROUP BY 1",
+    "outside": "SELECT group_id, sqrt(sum((everything - coalesce(raw, 0)) * (everything - coalesce(raw, 0)))) AS rest FROM (SELECT DISTINCT group_id FROM inside) JOIN whole ON true LEFT JOIN inside USING (group_id, term) GROUP BY 1",
+    "margins": "SELECT group_id, term, row_number() OVER (PARTITION BY group_id ORDER BY round(w - CASE WHEN rest > 1e-9 THEN (everything - raw) / rest ELSE 0 END, 9) DESC, term) AS rank FROM inside JOIN whole USING (term) JOIN outside USING (group_id)",
+}
+
+
+@query("k07_safe_labels", f"SELECT group_id, coalesce(n, 0) AS visible_count, CASE WHEN n >= 3 THEN safe_label END AS safe_label FROM (SELECT DISTINCT group_id FROM ({MEMBERS})) LEFT JOIN (SELECT group_id, count(*) AS n FROM mem GROUP BY 1) USING (group_id) LEFT JOIN (SELECT group_id, string_agg(term, ', ' ORDER BY rank) AS safe_label FROM margins WHERE rank <= 5 GROUP BY 1) USING (group_id)", SAFE)
 def _(c: Corpus) -> DataFrame:
     return cluster.safe_labels(c.conversations, _members(c))
 

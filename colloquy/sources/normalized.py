@@ -72,3 +72,19 @@ def read(spark: SparkSession, path: str, conversation_schema: str) -> tuple[Data
 def _fields(ddl: str) -> str:
     """Columns of a flat schema as the fields of a struct."""
     return ", ".join(": ".join(f.strip().split(" ", 1)) for f in ddl.split(","))
+
+
+def written(spark: SparkSession, path: str) -> DataFrame:
+    """conversation_id, shard, file of every written line; only ids are taken from the text."""
+    lines = spark.read.schema("value string, shard string").text(path).select("value", "shard", F.col("_metadata.file_path").alias("file"))
+    return lines.select(F.get_json_object("value", "$.conversation.conversation_id").alias("conversation_id"), "shard", "file").where("conversation_id IS NOT NULL")
+
+
+def reconciled(spark: SparkSession, path: str, conversations: DataFrame) -> DataFrame:
+    """conversation_id, problem, file: lines without a conversation (stray), conversations without a line (missing), lines in another shard (misplaced) and written twice (repeated)."""
+    lines, ids = written(spark, path), conversations.select("conversation_id").distinct()
+    stray = lines.join(ids, "conversation_id", "left_anti").select("conversation_id", F.lit("stray").alias("problem"), "file")
+    missing = ids.join(lines.select("conversation_id"), "conversation_id", "left_anti").select("conversation_id", F.lit("missing").alias("problem"), F.lit(None).cast("string").alias("file"))
+    misplaced = lines.where(F.col("shard") != _shard()).select("conversation_id", F.lit("misplaced").alias("problem"), "file")
+    repeated = lines.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"), F.max("file").alias("file")).where("n > 1").select("conversation_id", F.lit("repeated").alias("problem"), "file")
+    return stray.unionByName(missing).unionByName(misplaced).unionByName(repeated)

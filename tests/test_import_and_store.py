@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy import cli
 from colloquy.api import import_exports
+from colloquy.assist import runner, tasks
 from colloquy.operators import fts, rules, stored
 from colloquy.operators.store import Store
 from colloquy.operators.stored import SearchState
@@ -311,3 +312,71 @@ def test_a_chain_of_ten_thousand_nodes(spark, tmp_path):
     path = export(tmp_path / "a", tree(parents, "n9999"))
     said = exports.parse_exports(exports.read_exports(spark, path))[1]
     assert said.count() == 10_000 and said.where("content_text <> concat('said n', ordinal)").count() == 0
+
+
+# ---- gating, counters, reconciliation
+
+
+def test_gating_asks_again_only_next_to_merges_and_ends_at_a_fixed_point(spark):
+    """Against a plain loop over lists: parts are texts, and the scorer says yes where both sides share a letter."""
+    r = random.Random(3)
+    talks_ = {f"c{k}": [r.choice("abcdef") for _ in range(r.randrange(1, 9))] for k in range(12)}
+    said = [(c, 2 * k + j, "user", letter * 3) for c, letters in talks_.items() for k, letter in enumerate(letters) for j in range(2)]
+    asked = spark.sparkContext.accumulator(0)
+
+    def scorer(prompts):
+        asked.add(len(prompts))
+        out = []
+        for p in prompts:
+            before, after = p.split("\n---\n")
+            tail, head = ({x for x in re.findall(r"(?:user): (\w)", side)} for side in (before, after))
+            out.append(None if "f" in tail & head else "Yes." if min(tail) <= min(head) <= max(tail) else "no")
+        return out
+
+    def plain(letters):
+        parts = [[x, x] for x in letters]
+        while True:
+            same = []
+            for a, b in zip(parts, parts[1:]):
+                tail, head = set(a[-3:]), set(b[:3])
+                same.append("f" not in tail & head and min(tail) <= min(head) <= max(tail))
+            if not any(same):
+                return [len(p) for p in parts]
+            merged = [list(parts[0])]
+            for part, s in zip(parts[1:], same, strict=True):
+                if s:
+                    merged[-1] += part
+                else:
+                    merged.append(list(part))
+            parts = merged
+
+    m = spark.createDataFrame(said, "conversation_id string, ordinal int, role string, content_text string")
+    chunks = spark.createDataFrame([(c, k, 2 * k, 2 * k + 1) for c, letters in talks_.items() for k in range(len(letters))], "conversation_id string, chunk_index int, start_message_ordinal int, end_message_ordinal int")
+    got = tasks.gate_chunks(m, chunks, scorer, runner.Config(True, ("chunk_gating",))).orderBy("conversation_id", "chunk_index").collect()
+    sizes = {}
+    for row in got:
+        sizes.setdefault(row.conversation_id, []).append(row.end_message_ordinal - row.start_message_ordinal + 1)
+    assert sizes == {c: plain(letters) for c, letters in talks_.items()}
+    assert len({row.chunk_id for row in got}) == len(got) and asked.value < 2 * chunks.count()
+    off = tasks.gate_chunks(m, chunks, scorer, runner.Config(False, ()))
+    assert off.count() == chunks.count()
+
+
+def test_counters_name_the_smallest_ids(spark):
+    moved = spark.createDataFrame([(f"c{k:03}", "indexed" if k % 3 else "private", "quarantined") for k in range(90)], "conversation_id string, old_state string, new_state string").repartition(5)
+    got = {r.label: (r.n, list(r.examples)) for r in rules.counted(moved).collect()}
+    assert got["private->quarantined"] == (30, [f"c{k:03}" for k in range(0, 60, 3)])
+    assert got["indexed->quarantined"][0] == 60 and len(got["indexed->quarantined"][1]) == 20 and rules.counted(moved.limit(0)).count() == 0
+
+
+def test_files_and_rows_are_reconciled(spark, tmp_path):
+    path = str(tmp_path / "n")
+    c = spark.createDataFrame([(f"c{k}",) for k in range(6)], "conversation_id string")
+    m = spark.createDataFrame([], "message_id string, conversation_id string, ordinal int, role string, timestamp double, content_text string")
+    normalized.write(c, m, path)
+    line = json.dumps({"conversation": {"conversation_id": "c1"}})
+    (tmp_path / "n" / "shard=zz").mkdir()
+    (tmp_path / "n" / "shard=zz" / "x.json").write_text(line + "\n{broken\n")
+    now = c.where("conversation_id <> 'c0'").unionByName(spark.createDataFrame([("new",)], "conversation_id string"))
+    got = {(r.conversation_id, r.problem) for r in normalized.reconciled(spark, path, now).collect()}
+    assert got == {("c0", "stray"), ("new", "missing"), ("c1", "misplaced"), ("c1", "repeated")}
