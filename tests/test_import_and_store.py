@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colloquy import cli
 from colloquy.api import import_exports
-from colloquy.assist import runner, tasks
+from colloquy.assist import ledger, runner, tasks
 from colloquy.operators import fts, rules, stored
 from colloquy.operators.store import Store
 from colloquy.operators.stored import SearchState
@@ -380,3 +380,44 @@ def test_files_and_rows_are_reconciled(spark, tmp_path):
     now = c.where("conversation_id <> 'c0'").unionByName(spark.createDataFrame([("new",)], "conversation_id string"))
     got = {(r.conversation_id, r.problem) for r in normalized.reconciled(spark, path, now).collect()}
     assert got == {("c0", "stray"), ("new", "missing"), ("c1", "misplaced"), ("c1", "repeated")}
+
+
+# ---- ledger
+
+
+def test_a_second_run_asks_nothing_and_a_change_asks_again(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def scorer(prompts):
+        asked.add(len(prompts))
+        return ['[{"ordinal": 0, "register": "work"}]' if "[" not in p.split("\n", 1)[0] or "register" in p.split("\n", 1)[0] else '{"items": [{"kind": "decision", "title": "Use  Redis"}]}' for p in prompts]
+
+    books = ledger.Ledger(Store(spark, f"file://{tmp_path}/root").init())
+    convs = spark.createDataFrame([(c, f"Neutral {c}", "indexed") for c in "abc"], "conversation_id string, title string, state string").withColumn("summary_short", F.lit(""))
+    said = spark.createDataFrame([(f"{c}{k}", c, k, "user" if k % 2 == 0 else "assistant", f"plain words {c} {k}") for c in "abc" for k in range(4)], "message_id string, conversation_id string, ordinal int, role string, content_text string")
+    on = runner.Config(True, ("classify", "extract"))
+    assert books.classify(convs, said, scorer, on, 1.0) == 3
+    first = asked.value
+    assert books.store.read("register").count() <= 3 and books.done.count() == 3
+    assert books.classify(convs, said, scorer, on, 2.0) == 0 and asked.value == first
+    changed = said.withColumn("content_text", F.when(F.col("conversation_id") == "b", F.concat("content_text", F.lit("!"))).otherwise(F.col("content_text")))
+    assert books.classify(convs, changed, scorer, on, 3.0) == 1
+    assert books.done.count() == 3 and books.done.where("at = 3.0").count() == 1
+    prompts = spark.createDataFrame([("one",), ("two",), ("one",), ("fail",)], "prompt string")
+    echo = lambda ps: (asked.add(len(ps)), [None if p == "fail" else p.upper() for p in ps])[1]
+    assert sorted(str(r.response) for r in books.ask(prompts, "extract", echo, on, 4.0).collect()) == ["None", "ONE", "ONE", "TWO"]
+    before = asked.value
+    books.ask(prompts, "extract", echo, on, 5.0)
+    assert asked.value == before + 1  # only the failure
+    assert books.cache.where("last_used = 5.0").count() == 2
+
+
+def test_the_cap_of_answers_holds_and_keeps_those_used_last(spark):
+    cache = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("prompt_key"), F.lit("r").alias("response"), (F.col("id") % 10).cast("double").alias("last_used"))
+    for most in (0, 1, 50, 250, 999, 1000):
+        kept = ledger.evicted(cache, most)
+        n = kept.count()
+        assert n <= most and n >= 0.8 * most - 2
+        if most >= 250:
+            assert kept.where("last_used = 9").count() == 100
+    assert ledger.evicted(cache.withColumn("last_used", F.lit(1.0)), 300).count() <= 300
