@@ -90,14 +90,22 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+#: Bytes of a unit that is broadcast, at most; longer ones are joined.
+LONGEST_UNIT = 64
+
+
+def most_frequent(counts: DataFrame, most: int, longest: int | None = None) -> pa.Table:
     """Rows of ``counts`` (unit, n, ...) with the largest n, at most ``most``, by falling n, then unit.
 
+    With ``longest``, only units of so many bytes at most, so the result is
+    bounded in bytes as well.
+
     Only whole grades of n are taken: of those that would pass ``most``, none.
     Grades are single counts below 1024 and sixty-fourths of a doubling above,
     so their sizes are a few thousand rows; no task sorts or reads more than
     its own part.
     """
+    counts = counts if longest is None else counts.where(F.octet_length("unit") <= longest)
     grade = F.when(F.col("n") < 1024, F.col("n")).otherwise((F.log2("n") * 64).cast("long") + 384)
     total, least = 0, None
     for r in sorted(counts.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("units")).collect(), key=lambda r: -r["grade"]):

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, most_frequent, row_ids, table, words_of
+from .common import LONGEST_UNIT, lower_ascii, most_frequent, row_ids, table, words_of
 
 END = " "  # no word equals it
 HEAD = 4096
 WIDTH = 64
 TOPICS = 8
-#: Words whose counts are broadcast, and those that topics are learned from.
+#: Words (of at most 64 bytes) whose counts are broadcast, and those that topics are learned from.
 HOT = 1 << 17
 KNOWN_TOPICS = 1 << 14
 CONTEXTS = 64
@@ -478,7 +478,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Fits the model to training documents (doc_id, text) and their word counts (a table)."""
     sc = docs.sparkSession.sparkContext
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    hot = most_frequent(counts, HOT)
+    hot = most_frequent(counts, HOT, LONGEST_UNIT)
     words, n = hot["unit"].to_pylist(), hot["n"].to_numpy().astype(float)
     texts = docs.select("text")
     if not total["n"]:

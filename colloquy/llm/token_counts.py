@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, NUMBERS, OTHER, WORD, most_frequent, row_ids, table
+from .common import LETTERS, LONGEST_UNIT, NUMBERS, OTHER, WORD, most_frequent, row_ids, table
 
-#: Pre-tokens in the broadcast table: at most 2^17 strings, whatever the input.
+#: Pre-tokens in the broadcast table: at most 2^17 strings of at most 64 bytes, whatever the input.
 HOT = 1 << 17
 #: A task's counter is emitted and emptied at this many entries.
 FLUSH = 200_000
@@ -144,7 +144,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, hot_size: int = HOT) -> D
     texts = docs.select("text")
     counts = texts.mapInArrow(_corpus_counts, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     vocabulary = table(counts.mapInArrow(_piece_counter(tokenizer_path), "unit string, n long, pieces long"), "pieces")
-    top = most_frequent(vocabulary, hot_size)
+    top = most_frequent(vocabulary, hot_size, LONGEST_UNIT)
     hot = spark.sparkContext.broadcast({sys.intern(u): n for u, n in zip(top["unit"].to_pylist(), top["pieces"].to_pylist(), strict=True)})
     pairs = row_ids(docs.select("doc_id", "text")).select("_row", "doc_id", "text").mapInArrow(_document_frequencies(hot), "row long, doc_id long, n_bytes long, known long, unit string, freq long")
     joined = pairs.join(vocabulary.select("unit", "pieces").hint("merge"), "unit", "left")

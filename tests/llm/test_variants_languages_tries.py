@@ -7,12 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from colloquy.llm import language_id, prefix_trie, spelling
+from colloquy.llm import common, language_id, language_model, prefix_trie, spelling, token_counts
 
 CLASHING = ("word", "n", "key", "way", "band", "m0", "run", "h", "form", "letters", "of", "rate", "place", "part", "score", "block", "row", "depth", "owner", "base", "turns", "path")
 
@@ -262,3 +264,29 @@ def test_common_prefixes(a, b):
     path = lambda x: b"".join(bytes([v]) * prefix_trie.DIGEST for v in x)
     want = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert prefix_trie._common(path(a), path(b)) == want
+
+
+# ---- broadcasts are bounded in bytes
+
+
+def test_very_long_words_are_joined_not_broadcast(spark, monkeypatch):
+    sent = []
+    real = common.most_frequent
+
+    def watched(counts, most, longest=None):
+        found = real(counts, most, longest)
+        sent.extend(found["unit"].to_pylist())
+        return found
+
+    monkeypatch.setattr(token_counts, "most_frequent", watched)
+    monkeypatch.setattr(language_model, "most_frequent", watched)
+    long = ["x" * 100_000, "é" * 50_000, "y" * 64]
+    rows = [(k, f"some words {long[k % 3]} of {long[0]}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, path).collect()}
+    assert got == {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in rows}
+    counts = common.table(language_model.word_counts(df), "counts")
+    scored = language_model.score(df, language_model.train(df, counts), counts).collect()
+    assert all(r.n_tokens == r.n_known == 6 for r in scored) and sent and max(len(u.encode()) for u in sent) <= common.LONGEST_UNIT
