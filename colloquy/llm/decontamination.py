@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, words_of
+from .common import LONGEST_UNIT, lower_ascii, new_path, row_ids, table, words_of
 
 SEED = 5
 THRESHOLD = 0.6
@@ -45,9 +46,11 @@ def _hash(word: str) -> int:
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = _hash(word)
+        h = _hash(word)
+        if len(word) <= LONGEST_UNIT:  # longer words are rare, and would fill the memory
+            if len(self) > CACHE:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -153,14 +156,16 @@ class Benchmark:
     places: np.ndarray  # of each seed in its item
     filter: np.ndarray  # by the upper 20 bits of a seed
     short: dict[tuple[int, ...], list[int]]  # items of fewer tokens than a seed
+    times: list[int]  # how often each item was given
     threshold: float
     #: Items that sets of seeds can cover.
     covered: dict[bytes, list[int]] = field(default_factory=dict)
 
     @staticmethod
-    def of(rows: list[tuple[int, str | None]], threshold: float = THRESHOLD) -> Benchmark:
+    def of(rows: list[tuple], threshold: float = THRESHOLD) -> Benchmark:
+        """Of rows (id, text) or (id, text, times)."""
         hashes = _Hashes()
-        tokens = [hashes.of(text)[0] for _, text in rows]
+        tokens = [hashes.of(text)[0] for _, text, *_ in rows]
         seeds = [_seeds(t) for t in tokens]
         all_ = np.concatenate([*seeds, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(rows)), [len(s) for s in seeds])
@@ -172,7 +177,8 @@ class Benchmark:
         for k, t in enumerate(tokens):
             if 0 < len(t) < SEED:
                 short.setdefault(tuple(t.tolist()), []).append(k)
-        return Benchmark([i for i, _ in rows], [t.tolist() for t in tokens], all_[order], owner[order], place[order], known, short, threshold)
+        times = [n[0] if n else 1 for _, _, *n in rows]
+        return Benchmark([r[0] for r in rows], [t.tolist() for t in tokens], all_[order], owner[order], place[order], known, short, times, threshold)
 
     def _coverable(self, seeds: np.ndarray) -> list[int]:
         """Items whose tokens these (distinct) seeds cover to the threshold; tiles lie within what they cover."""
@@ -229,12 +235,29 @@ _TILES = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32(
 
 
 def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Benchmark]:
-    """The benchmark in parts of bounded size (one item at least)."""
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    """The benchmark in parts of bounded size (one item at least); rows that repeat are in one part, as one item."""
+    items = table(benchmark.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")), "benchmark")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-int(chars) // BLOCK_CHARS)
     for k in range(n):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Benchmark.of(sorted(((r.item_id, r.text) for r in part.select("item_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold)
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        rows = sorted(map(tuple, part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        yield Benchmark.of(rows, threshold)
+
+
+def _in_turn(docs: DataFrame, blocks: Iterator[Benchmark], run, schema: str) -> DataFrame:
+    """``run`` over the documents with one block after the other.
+
+    A block's rows are written and it is let go before the next one is
+    broadcast, so no task and no plan holds more than one.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "decontamination")
+    for block in blocks:
+        held = spark.sparkContext.broadcast(block)
+        docs.mapInArrow(run(held), schema).write.mode("append").parquet(path)
+        held.destroy()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _matcher(held):
@@ -247,41 +270,78 @@ def _matcher(held):
                 for k, found in benchmark.search(h):
                     covered, whole = sum(n for *_, n in found), len(benchmark.tokens[k])
                     spans = [{"doc_start": int(at[d]), "item_start": i, "length": n} for d, i, n in sorted(found)]
-                    rows.append({"doc_id": doc_id, "item_id": benchmark.ids[k], "covered": covered, "item_tokens": whole, "coverage": covered / whole, "tiles": spans})
+                    row = {"doc_id": doc_id, "item_id": benchmark.ids[k], "covered": covered, "item_tokens": whole, "coverage": covered / whole, "tiles": spans}
+                    rows += [row] * benchmark.times[k]
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int64()), ("item_tokens", pa.int64()), ("coverage", pa.float64()), ("tiles", _TILES)])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
+def _finder(held):
+    """Row keys (column 0) of texts (column 1) in which some item is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark, hashes = held.value, _Hashes()
+        for batch in batches:
+            found = [bool(benchmark.search(hashes.of(text)[0])) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(found, pa.bool_()))], ["_found"])
+
+    return run
+
+
+def _keeper(held, at: int):
+    """Whole rows without those whose text (column ``at``) holds an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        benchmark, hashes = held.value, _Hashes()
+        for batch in batches:
+            keep = [not benchmark.search(hashes.of(text)[0]) for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document and item (item_id, text) found in it, with its tiles.
 
     ``doc_start`` counts the document's words, ``item_start`` the item's
     tokens. Null and empty texts match nothing; items of fewer than five tokens
-    match documents that have no other tokens. Rows that repeat (documents or items) are reported each;
-    extra columns are ignored. An empty benchmark gives no row.
+    match documents that have no other tokens. Very long texts are searched
+    whole. Of tiles of one length the item's, then the document's first is
+    marked. Rows that repeat (documents or items) are reported each; extra
+    columns are ignored. An empty benchmark or table gives no row.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     schema = "doc_id long, item_id long, covered long, item_tokens long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for n, block in enumerate(_blocks(benchmark, threshold)):
-        part = docs.select("doc_id", "text").mapInArrow(_matcher(sc.broadcast(block)), schema)
-        out = out.unionByName(part) if n else part
-    return out
+    blocks = _blocks(benchmark, threshold)
+    head = list(islice(blocks, 2))
+    texts = docs.select("doc_id", "text")
+    if not head:
+        return spark.createDataFrame([], schema)
+    if len(head) == 1:
+        return texts.mapInArrow(_matcher(spark.sparkContext.broadcast(head[0])), schema)
+    return _in_turn(texts, chain(head, blocks), _matcher, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` (all columns) in which no item is found."""
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark, threshold):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            benchmark_, hashes = held.value, _Hashes()
-            for batch in batches:
-                keep = [not benchmark_.search(hashes.of(text)[0]) for text in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of ``docs`` (all columns) in which no item is found.
+
+    Rows are judged each for itself, also where doc_ids repeat or are null;
+    other cases are those of ``contaminated``. A benchmark of one block is one
+    pass without a shuffle; of several, keys of rows are written per block and
+    texts are shuffled once.
+    """
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, threshold)
+    head = list(islice(blocks, 2))
+    if not head:
+        return docs
+    if len(head) == 1:
+        return docs.mapInArrow(_keeper(spark.sparkContext.broadcast(head[0]), docs.columns.index("text")), docs.schema)
+    key = "_row"
+    while key in docs.columns:
+        key += "_"
+    rows = table(row_ids(docs, key), "decontamination-rows")
+    found = _in_turn(rows.select(key, "text"), chain(head, blocks), _finder, "_found long").distinct()
+    return rows.join(found.hint("shuffle_hash"), rows[key] == found["_found"], "left_anti").drop(key)

@@ -259,6 +259,30 @@ def test_reordered_passages_are_found_and_clean_text_is_not(spark, monkeypatch):
     assert decontamination.contaminated(d, benchmark.limit(0)).count() == 0
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 40)  # more blocks give the same
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, benchmark).collect()} == set(got)
+    many = decontamination.clean(d, benchmark)
+    assert many.columns == d.columns and sorted(r.doc_id for r in many.collect()) == [2, 3, 4, 5]
+
+
+def python_nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_a_benchmark_of_many_blocks_is_no_chain_of_python_nodes(spark, monkeypatch):
+    items = [[f"i{k}w{j}" for j in range(12)] for k in range(9)]
+    bench = [(k, " ".join(w)) for k, w in enumerate(items)] + [(0, " ".join(items[0]))] * 2 + [(None, "one two"), (20, "y" * 300)]
+    rows = [(k, f"a b c {' '.join(items[k % 9])} d e") for k in range(18)] + [(None, " ".join(items[3])), (30, "one TWO"), (31, "y" * 300), (32, "y" * 299), (33, None), (34, "")]
+    benchmark, d = spark.createDataFrame(bench, "item_id long, text string"), docs(spark, rows)
+    key = lambda r: (str(r.doc_id), str(r.item_id), r.covered, r.coverage, str(r.tiles))
+    whole = sorted(map(key, decontamination.contaminated(d, benchmark).collect()))
+    kept = sorted(r.doc_id for r in decontamination.clean(d, benchmark).collect())
+    assert len(whole) == 16 + 2 * 3 + 1 + 1 + 1 and kept == [32, 33, 34]
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 100)
+    parts = decontamination.contaminated(d, benchmark)
+    assert sorted(map(key, parts.collect())) == whole and python_nodes(parts) == 0
+    left = decontamination.clean(d, benchmark)
+    assert sorted(r.doc_id for r in left.collect()) == kept and left.columns == d.columns and python_nodes(left) == 0
+    assert decontamination.clean(docs(spark, []), benchmark).count() == 0
+    assert decontamination.clean(d, benchmark.limit(0)).count() == len(rows)
 
 
 # ---- packing
