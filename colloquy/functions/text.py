@@ -7,29 +7,36 @@ from pyspark.sql import functions as F
 
 # The stop words of the three tokenisers.
 CHUNK_STOP = (
-    "the and for with this that from into have has your you i'm i've i'll are was were but not any all can could would should what when "
-    "where which while about they them their there here then than also just like want need make made use using used one two three lot "
-    "more most some such very well yes no ok okay thanks thank please really actually maybe got"
-).split()
+    "the", "and", "for", "with", "this", "that", "from", "into", "have", "has", "your", "you", "i'm", "i've", "i'll", "are", "was", "were",
+    "but", "not", "any", "all", "can", "could", "would", "should", "what", "when", "where", "which", "while", "about", "they", "them",
+    "their", "there", "here", "then", "than", "also", "just", "like", "want", "need", "make", "made", "use", "using", "used", "one", "two",
+    "three", "lot", "more", "most", "some", "such", "very", "well", "yes", "no", "ok", "okay", "thanks", "thank", "please", "really",
+    "actually", "maybe", "got",
+)
 TFIDF_STOP = (
-    "the and for with this that from into have has your you are was were but not any all can could would should what when where which "
-    "while about they them their there here then than also just like want need make made use using used one two three lot more most some "
-    "such very well yes no ok okay thanks thank please really actually maybe got will shall may might does did doing done been being its "
-    "it's my me we our us i'm i've i'll don't isn't msg msgs chunk chunks message messages user assistant system"
-).split()
+    "the", "and", "for", "with", "this", "that", "from", "into", "have", "has", "your", "you", "are", "was", "were", "but", "not", "any",
+    "all", "can", "could", "would", "should", "what", "when", "where", "which", "while", "about", "they", "them", "their", "there", "here",
+    "then", "than", "also", "just", "like", "want", "need", "make", "made", "use", "using", "used", "one", "two", "three", "lot", "more",
+    "most", "some", "such", "very", "well", "yes", "no", "ok", "okay", "thanks", "thank", "please", "really", "actually", "maybe", "got",
+    "will", "shall", "may", "might", "does", "did", "doing", "done", "been", "being", "its", "it's", "my", "me", "we", "our", "us", "i'm",
+    "i've", "i'll", "don't", "isn't", "msg", "msgs", "chunk", "chunks", "message", "messages", "user", "assistant", "system",
+)
 EMBED_STOP = (
-    "the and for with this that from into have has your you are was were but not any all can could would should what when where which "
-    "while about they them their there here then than also just like want need make made use using used one two three lot more most some "
-    "such very well yes okay thanks thank please really actually maybe got been being will does did had how its let may our own say she "
-    "too way who get each see her him his new now old only other over still think try help know come much take because good give"
-).split()
+    "the", "and", "for", "with", "this", "that", "from", "into", "have", "has", "your", "you", "are", "was", "were", "but", "not", "any",
+    "all", "can", "could", "would", "should", "what", "when", "where", "which", "while", "about", "they", "them", "their", "there", "here",
+    "then", "than", "also", "just", "like", "want", "need", "make", "made", "use", "using", "used", "one", "two", "three", "lot", "more",
+    "most", "some", "such", "very", "well", "yes", "okay", "thanks", "thank", "please", "really", "actually", "maybe", "got", "been",
+    "being", "will", "does", "did", "had", "how", "its", "let", "may", "our", "own", "say", "she", "too", "way", "who", "get", "each",
+    "see", "her", "him", "his", "new", "now", "old", "only", "other", "over", "still", "think", "try", "help", "know", "come", "much",
+    "take", "because", "good", "give",
+)
 
 CHUNK_WORD = "[A-Za-z][A-Za-z0-9_-]{2,}"
 TFIDF_WORD = "[A-Za-z][A-Za-z0-9_]{2,}"
 EMBED_WORD = "[a-zA-Z][a-zA-Z0-9]{2,}"
 
 
-def _words(text: Column, pattern: str, stop: list[str]) -> Column:
+def _words(text: Column, pattern: str, stop: tuple[str, ...]) -> Column:
     found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), F.lower)
     return F.filter(found, lambda w: ~w.isin(*stop))
 

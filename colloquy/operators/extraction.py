@@ -41,12 +41,16 @@ ARTIFACT = (
 PROJECT = r"\b(?i:project|initiative|workstream)\s+([A-Z][\w&\-/]{1,40}(?:\s+[A-Z][\w&\-/]{1,40}){0,3})\b"
 ACRONYM = r"\b([A-Z]{2,6}(?:-?[A-Z0-9]{0,4})?)\b"
 ENTITY = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"
-GENERIC = "OK HTTP JSON API URL AI LLM PDF CSV XLSX TODO FAQ UI UX CTO CEO CFO USA EU UK".split()
+GENERIC = (
+    "OK", "HTTP", "JSON", "API", "URL", "AI", "LLM", "PDF", "CSV", "XLSX", "TODO", "FAQ", "UI", "UX", "CTO", "CEO", "CFO", "USA", "EU",
+    "UK",
+)
 STARTERS = (
-    "Hi Hello Hey Thanks Thank Dear Sincerely The And But Or If When While After Before However Because Since Although Though Also "
-    "You Your We Our They Their Let Here There As At In On For With From To By About This That These Those "
-    "Sure Sorry Please Okay Great Good Excellent Got Done Noted Yes No Maybe"
-).split()
+    "Hi", "Hello", "Hey", "Thanks", "Thank", "Dear", "Sincerely", "The", "And", "But", "Or", "If", "When", "While", "After", "Before",
+    "However", "Because", "Since", "Although", "Though", "Also", "You", "Your", "We", "Our", "They", "Their", "Let", "Here", "There", "As",
+    "At", "In", "On", "For", "With", "From", "To", "By", "About", "This", "That", "These", "Those", "Sure", "Sorry", "Please", "Okay",
+    "Great", "Good", "Excellent", "Got", "Done", "Noted", "Yes", "No", "Maybe",
+)
 ACRONYM_TIMES = 3
 ENTITY_TIMES = 2
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -17,63 +17,61 @@ FLAGS = ("open_loops", "chunks")
 _TOKEN = re.compile(r'(?P<name>[a-z_]+):(?:"(?P<quoted>[^"]*)"|(?P<plain>\S+))|(?:(?![a-z_]+:\S).)+', re.I | re.S)
 
 
-@dataclass
-class Query:
-    """What a query string says."""
-
-    sources: list[str] = field(default_factory=list)
-    tags: list[str] = field(default_factory=list)
-    kinds: list[str] = field(default_factory=list)
-    projects: list[str] = field(default_factory=list)
-    after: float | None = None
-    before: float | None = None
-    has: list[str] = field(default_factory=list)
-    registers: list[str] = field(default_factory=list)
-    text: str = ""
-
-    def said(self) -> dict:
-        """Only what was given."""
-        return {k: v for k, v in asdict(self).items() if v}
+_DATE = re.compile(r"(\d{4})-(\d\d?)-(\d\d?)(?:T(\d\d?):(\d\d?):(\d\d?))?")
 
 
 def date_literal(value: str) -> float | None:
     """POSIX seconds of a day or a time in UTC; None where it is neither."""
-    for form in ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S"):
-        try:
-            return datetime.strptime(value, form).replace(tzinfo=UTC).timestamp()
-        except ValueError:
-            pass
-    return None
+    found = _DATE.fullmatch(value)
+    try:
+        return datetime(*(int(part) for part in found.groups(0)), tzinfo=UTC).timestamp() if found else None
+    except ValueError:  # no such day or time
+        return None
 
 
 def _one_of(allowed: tuple[str, ...]):
     return lambda value: value.lower() if value.lower() in allowed else None
 
 
-#: What each prefix sets, and how its value is read; None is not a valid value.
+#: How the value of each prefix is read; None is not a valid value.
 _FIELDS = {
-    "source": ("sources", str.lower),
-    "tag": ("tags", str),
-    "project": ("projects", str),
-    "register": ("registers", str.lower),
-    "kind": ("kinds", _one_of(KINDS)),
-    "has": ("has", _one_of(FLAGS)),
-    "after": ("after", date_literal),
-    "before": ("before", date_literal),
+    "source": str.lower,
+    "tag": str,
+    "project": str,
+    "register": str.lower,
+    "kind": _one_of(KINDS),
+    "has": _one_of(FLAGS),
+    "after": date_literal,
+    "before": date_literal,
 }
 
 
+@dataclass(frozen=True)
+class Query:
+    """What a query string says: valid values by prefix, in order, and free text."""
+
+    filters: dict[str, tuple] = field(default_factory=dict)
+    text: str = ""
+
+    def all(self, prefix: str) -> tuple:
+        return self.filters.get(prefix, ())
+
+    def last(self, prefix: str):
+        """The value that holds where only one can; None without any."""
+        return self.all(prefix)[-1] if self.all(prefix) else None
+
+
 def parse(raw: str | None) -> Query:
-    """The query that a string says; unknown prefixes are text, invalid values are dropped, of dates the last holds."""
-    tokens = list(_TOKEN.finditer((raw or "").strip()))
-    fields = [(_FIELDS.get((t["name"] or "").lower()), t) for t in tokens]
-    values: dict[str, list] = {attribute: [] for attribute, _ in _FIELDS.values()}
-    for (attribute, read), t in (f for f in fields if f[0]):
-        values[attribute].append(read(t["plain"] if t["quoted"] is None else t["quoted"]))
-    valid = {attribute: [x for x in found if x is not None] for attribute, found in values.items()}
-    dates = {attribute: valid.pop(attribute)[-1:] for attribute in ("after", "before")}
-    text = " ".join(words for field_, t in fields if not field_ and (words := t[0].strip()))
-    return Query(**valid, **{attribute: found[0] for attribute, found in dates.items() if found}, text=text)
+    """The query that a string says; unknown prefixes are text, invalid values are dropped."""
+    filters: dict[str, tuple] = {}
+    text: list[str] = []
+    for t in _TOKEN.finditer((raw or "").strip()):
+        prefix = (t["name"] or "").lower()
+        if prefix not in _FIELDS:
+            text.append(t[0].strip())
+        elif (value := _FIELDS[prefix](t["plain"] if t["quoted"] is None else t["quoted"])) is not None:
+            filters[prefix] = (*filters.get(prefix, ()), value)
+    return Query(filters, " ".join(filter(None, text)))
 
 
 def in_projects(names: tuple[str, ...], objects: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -90,27 +88,28 @@ def run(query: Query | str, *, conversations: DataFrame, messages: DataFrame, ch
     whose surface knows no other filter than kind and project.
     """
     q = parse(query) if isinstance(query, str) else query
-    shown = search.filtered(conversations.where(in_states("state", states)), after=q.after, before=q.before, sources=tuple(q.sources), registers=tuple(q.registers) if q.text else (), register=register)
-    if q.tags:
-        shown = shown.where(search.has_tag(tuple(q.tags)))
-    if "open_loops" in q.has:
+    kinds, projects = q.all("kind"), q.all("project")
+    shown = search.filtered(conversations.where(in_states("state", states)), after=q.last("after"), before=q.last("before"), sources=q.all("source"), registers=q.all("register") if q.text else (), register=register)
+    if tags := q.all("tag"):
+        shown = shown.where(search.has_tag(tags))
+    if "open_loops" in q.all("has"):
         shown = shown.where("has_open_loops")
-    if "chunks" in q.has:
+    if "chunks" in q.all("has"):
         shown = shown.join(chunks.select("conversation_id"), "conversation_id", "left_semi")
-    if q.projects:
-        shown = shown.join(in_projects(tuple(q.projects), objects, provenance), "conversation_id", "left_semi")
+    if projects:
+        shown = shown.join(in_projects(projects, objects, provenance), "conversation_id", "left_semi")
     hits: list[DataFrame] = []
-    if not q.kinds and q.text:
+    if not kinds and q.text:
         found = search.hybrid_search(conversations, messages, chunks, q.text, now, limit, states, state)
         hits.append(found.join(shown.select("conversation_id", "title"), "conversation_id").select(F.lit("conversation").alias("hit_type"), F.col("conversation_id").alias("id"), "title", "score"))
         parts = search.chunk_search(conversations, messages, chunks, q.text, states, state).join(shown.select("conversation_id"), "conversation_id", "left_semi")
         hits.append(parts.select(F.lit("chunk").alias("hit_type"), F.col("chunk_id").alias("id"), "title", "score"))
-    elif not q.kinds:
+    elif not kinds:
         listed = search.list_conversations(conversations, now, states=states).join(shown.select("conversation_id"), "conversation_id", "left_semi")
         hits.append(listed.select(F.lit("conversation").alias("hit_type"), F.col("conversation_id").alias("id"), "title", "score"))
-    if q.kinds or q.text:
-        derived = search.derived_search(objects, provenance, conversations, q.text, tuple(q.kinds), states)
-        if q.projects:  # no object belongs to a project by its own column
+    if kinds or q.text:
+        derived = search.derived_search(objects, provenance, conversations, q.text, kinds, states)
+        if projects:  # no object belongs to a project by its own column
             derived = derived.where(F.lit(False))
         hits.append(derived.select(F.col("kind").alias("hit_type"), F.col("object_id").alias("id"), "title", "score"))
     out = hits[0]
