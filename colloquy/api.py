@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .assist import tasks
+from .functions import text as X
 from .operators import chunking, cluster, extraction, lifecycle, rules, scratch, search, views
 from .operators import query as querylang
 from .operators.store import Store
@@ -106,12 +107,16 @@ class Api:
         mine = self.tables["groups"].where(F.col("group_id") == group_id).select("conversation_id")
         return self.tables["conversations"].where(in_states("state", VISIBLE)).join(mine, "conversation_id", "left_semi").select("conversation_id", "title")
 
-    def _set(self, name: str, df: DataFrame, entry: dict) -> None:
+    def _set(self, name: str, df: DataFrame, entry: dict, part: tuple[str, str] | None = None) -> None:
+        """``df`` in place of a table; ``part`` is the column and the only value of it whose rows differ."""
         if not self.writes:
             raise ToolError("write tools are off")
         self.tables[name] = df
         if self.store:
-            self.store.commit({name: df})
+            if part:
+                self.store.replace_parts(name, part[0], {part[1]: df.where(F.col(part[0]) == part[1])})
+            else:
+                self.store.commit({name: df})
             self.tables[name] = self.store.read(name)
         self.log.append(entry)
         if self.store:
@@ -121,11 +126,15 @@ class Api:
     def _set_group_label(self, group_id: str, label: str) -> None:
         g = self.tables["groups"]
         g = g if "llm_label" in g.columns else g.withColumn("llm_label", F.lit(None).cast("string"))
-        self._set("groups", g.withColumn("llm_label", F.when(F.col("group_id") == group_id, F.lit(label.strip()[:120])).otherwise(F.col("llm_label"))), {"tool": "set_group_label", "group_id": group_id})
+        mine = g.where(F.col("group_id") == group_id).select("level").first()
+        if mine is None:
+            raise ToolError("no such group")
+        named = g.withColumn("llm_label", F.when(F.col("group_id") == group_id, F.lit(X.shortened(label, 120))).otherwise(F.col("llm_label")))
+        self._set("groups", named, {"tool": "set_group_label", "group_id": group_id}, ("level", mine["level"]) if mine["level"] else None)
 
     def _tags(self, change, name: str, conversation_id: str, tags: list[str]) -> None:
         self._shown(conversation_id)
-        self._set("conversations", change(self.tables["conversations"], conversation_id, [t[:60] for t in tags[:10]]), {"tool": name, "conversation_id": conversation_id})
+        self._set("conversations", change(self.tables["conversations"], conversation_id, [X.shortened(t, 60) for t in tags]), {"tool": name, "conversation_id": conversation_id})
 
     def _add_tag(self, conversation_id: str, tags: list[str]) -> None:
         self._tags(lifecycle.add_tags, "add_tag", conversation_id, tags)
@@ -137,7 +146,7 @@ class Api:
         seen = search.visible_objects(self.tables["objects"], self.tables["provenance"], self.tables["conversations"]).where(F.col("object_id") == object_id)
         if seen.isEmpty():
             raise ToolError("no such object")
-        self._set("objects", lifecycle.rename(self.tables["objects"], object_id, title.strip()[:120]), {"tool": "rename_derived_object", "object_id": object_id})
+        self._set("objects", lifecycle.rename(self.tables["objects"], object_id, X.shortened(title, 120)), {"tool": "rename_derived_object", "object_id": object_id})
 
     def call(self, tool: str, arguments: dict[str, Any] | None = None) -> list[dict]:
         """Rows of a read tool; nothing of a write tool."""

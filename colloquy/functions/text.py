@@ -128,3 +128,9 @@ def minute_utc(epoch: Column) -> Column:
 
 def yes_no(flag: Column) -> Column:
     return F.when(flag, F.lit("yes")).otherwise("no")
+
+
+def shortened(value: str, most: int) -> str:
+    """A trimmed text of at most ``most`` characters; an ellipsis tells that it was cut."""
+    value = value.strip()
+    return value if len(value) <= most else value[: most - 1].rstrip() + "…"

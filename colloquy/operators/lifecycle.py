@@ -86,6 +86,16 @@ def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def replace_provenance(objects: DataFrame, provenance: DataFrame, links: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Objects and links after ``links`` took the place of all links of some ``conversations`` (conversation_id).
+
+    A conversation without new links loses those it had; objects that no link
+    names any more go.
+    """
+    kept = provenance.join(conversations.select("conversation_id").distinct(), "conversation_id", "left_anti").select(*provenance.columns).unionByName(links)
+    return without_orphans(objects, kept), kept
+
+
 def upsert_rows(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Whole rows by key, the latest by ``order``."""
     rows = old.unionByName(new)

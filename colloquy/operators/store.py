@@ -7,6 +7,10 @@ leaves the state before. Of two changes at once the later one fails where a
 rename doesn't replace, as on HDFS and local disks; an object store needs one
 writer at a time. All paths go through Hadoop's file systems.
 
+A table may be stored in parts by the values of a column (groups by level, say):
+each part has versions of its own, so a change of one leaves the files of the
+others as they are. Readers see the parts as one table.
+
 Versions that no pointer names are collected: after a time of grace for those
 who still read them, or at once if they hold rows that must be gone.
 """
@@ -15,15 +19,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seconds for which a version that isn't current any more may still be read.
 GRACE = 3600.0
+#: Stands between a table's name and the part in the pointer and in folder names.
+PART = "+"
+_PART_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
 
 class Store:
@@ -68,16 +77,52 @@ class Store:
         return self._current()[1]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.versions()[name]}")
+        """A table, with all its parts."""
+        return self._read({n: path for n, path in self.versions().items() if n.split(PART)[0] == name})[name]
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.spark.read.parquet(f"{self.root}/{path}") for name, path in self.versions().items()}
+        return self._read(self.versions())
+
+    def _read(self, versions: dict[str, str]) -> dict[str, DataFrame]:
+        out: dict[str, DataFrame] = {}
+        for name, path in versions.items():
+            table, rows = name.split(PART)[0], self.spark.read.parquet(f"{self.root}/{path}")
+            out[table] = out[table].unionByName(rows, allowMissingColumns=True) if table in out else rows
+        return out
+
+    def replace_parts(self, name: str, column: str, parts: dict[str, DataFrame]) -> None:
+        """Replaces all rows with these values of ``column``; the files of other parts stay as they are.
+
+        The rows given for a value must have that value. Rows that were
+        committed without parts are kept apart from those replaced, which
+        rewrites them once. Values are few and name folders, so only letters,
+        digits and ``_.-`` may stand in them.
+        """
+        for value, rows in parts.items():
+            if not _PART_NAME.fullmatch(value):
+                raise ValueError(f"{value!r} can't name a part")
+            if not rows.where(~F.col(column).eqNullSafe(value)).isEmpty():
+                raise ValueError(f"rows of another {column} than {value!r}")
+        changed = {f"{name}{PART}{value}": rows for value, rows in parts.items()}
+        if name in (versions := self.versions()):
+            whole = self._read({name: versions[name]})[name]
+            mine = F.coalesce(F.col(column).isin(*parts), F.lit(False))
+            if not whole.where(mine).isEmpty():
+                changed[name] = whole.where(~mine)
+        self._commit(changed)
 
     def commit(self, tables: dict[str, DataFrame], purge: bool = False, drop: list[str] | tuple[str, ...] = ()) -> None:
         """Writes new versions of the tables, then points to them, and no longer to those of ``drop``.
 
-        ``purge`` then removes every version that isn't current, without a time of grace.
+        A table that is given whole takes the place of its parts. ``purge``
+        then removes every version that isn't current, without a time of grace.
         """
+        parts = [n for n in self.versions() if PART in n and n.split(PART)[0] in {*tables, *drop}]
+        self._commit(tables, [*drop, *parts])
+        if purge:
+            self.collect(grace=float("-inf"))
+
+    def _commit(self, tables: dict[str, DataFrame], drop: list[str] | tuple[str, ...] = ()) -> None:
         number, old = self._current()
         new = {name: path for name, path in old.items() if name not in drop}
         for name, df in tables.items():
@@ -86,8 +131,6 @@ class Store:
         self._point(new, number + 1)
         for before in self._numbers()[:-2]:  # the last but one stays for readers that just listed it
             self._fs.delete(self._path(f"CURRENT-{before:012}"), False)
-        if purge:
-            self.collect(grace=float("-inf"))
 
     def unnamed(self) -> dict[str, float]:
         """Versions that the current pointer doesn't name, with the time (POSIX seconds) at which they were written."""

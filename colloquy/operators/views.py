@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import VISIBLE, in_states
 from . import search
+from .cluster import display_label
 
 
 def redacted(conversations: DataFrame) -> DataFrame:
@@ -148,3 +149,11 @@ def sheet_review(conversations: DataFrame, messages: DataFrame, chunks: DataFram
         "conversation_id", "state", "source", "title", "summary_short", F.when(F.length(u) > 500, F.concat(F.left(u, F.lit(497)), F.lit("..."))).otherwise(u).alias("first_user_message"), "message_count",
         F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit("").alias("operator_decision"), F.lit("").alias("operator_note"),
     )
+
+
+def listed_groups(groups: DataFrame, level: str | None = None) -> DataFrame:
+    """group_id, level, label, member_count by size: the model's label, else the keywords."""
+    rows = groups if level is None else groups.where(F.col("level") == level)
+    given = F.col("llm_label") if "llm_label" in groups.columns else F.lit(None).cast("string")
+    counted = rows.groupBy("group_id", "level").agg(F.max(display_label(given, F.col("keyword_label"))).alias("label"), F.max("keyword_label").alias("words"), F.count(F.lit(1)).alias("member_count"))
+    return counted.orderBy(F.desc("member_count"), "words", "group_id").drop("words")

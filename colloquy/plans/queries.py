@@ -610,6 +610,54 @@ def _(c: Corpus) -> DataFrame:
     return lifecycle.upsert_rows(old, new, "conversation_id", "at").select("conversation_id", "dominant_register")
 
 
+NUMBER = "CAST(substr(prov.conversation_id, 6) AS INT)"
+
+
+@query("m05_replace_provenance", f"SELECT object_id, kind, count(*) AS links FROM prov JOIN obj USING (object_id) WHERE {NUMBER} % 4 NOT IN (0, 1) OR ({NUMBER} % 4 = 0 AND kind = 'decision') GROUP BY ALL")
+def _(c: Corpus) -> DataFrame:
+    """Some conversations keep their decisions only, others nothing."""
+    digit = F.substring("conversation_id", 6, 6).cast("int") % 4
+    decisions = c.objects.where("kind = 'decision'").select("object_id")
+    new = c.provenance.where(digit == 0).join(decisions, "object_id", "left_semi")
+    objects, links = lifecycle.replace_provenance(c.objects, c.provenance, new, c.base.where(digit < 2).select("conversation_id"))
+    return objects.select("object_id", "kind").join(links.groupBy("object_id").agg(F.count(F.lit(1)).alias("links")), "object_id")
+
+
+def _of_level(c: Corpus, level: str, n: int) -> DataFrame:
+    number = F.substring("conversation_id", 6, 6).cast("int") % n
+    group = F.concat_ws("_", F.lit(level), F.lit(n), number)
+    return c.base.where(in_states("state", SEARCHABLE)).select(group.alias("group_id"), F.lit(level).alias("level"), F.concat(F.lit("k"), number).alias("keyword_label"), "conversation_id")
+
+
+LEVELS = "SELECT '{0}_{1}_' || (conv_id % {1}) AS group_id, '{0}' AS level, 'k' || (conv_id % {1}) AS keyword_label, conversation_id FROM conv0 WHERE state IN ('indexed', 'private')"
+
+
+@query("m07_replace_level", f"{LEVELS.format('broad', 5)} UNION ALL {LEVELS.format('fine', 11)}")
+def _(c: Corpus) -> DataFrame:
+    """Stored whole once, then the broad level is replaced twice."""
+    spark = c.base.sparkSession
+    store = Store(spark, scratch.new_path(spark, "levels")).init()
+    store.commit({"groups": _of_level(c, "broad", 7).unionByName(_of_level(c, "fine", 11))})
+    for n in (3, 5):
+        store.replace_parts("groups", "level", {"broad": _of_level(c, "broad", n)})
+    return store.read("groups")
+
+
+@query("l02_listed_groups", f"SELECT group_id, level, CASE WHEN group_id = 'broad_7_2' THEN 'Two' ELSE keyword_label END AS label, count(*) AS member_count FROM ({LEVELS.format('broad', 7)}) GROUP BY ALL")
+def _(c: Corpus) -> DataFrame:
+    groups = _of_level(c, "broad", 7).unionByName(_of_level(c, "fine", 11))
+    return views.listed_groups(groups.withColumn("llm_label", F.when(F.col("group_id") == "broad_7_2", F.lit("Two"))), "broad")
+
+
+@query("m11_link_project", f"SELECT conversation_id, CASE WHEN conv_id = 4 THEN '{ATLAS_ID}' END AS primary_project_id FROM conv0")
+def _(c: Corpus) -> DataFrame:
+    """One conversation is linked, another linked and unlinked."""
+    rows = c.base.withColumn("primary_project_id", F.lit(None).cast("string"))
+    first, second = "conv_000004", "conv_000005"
+    rows = lifecycle.link_project(lifecycle.link_project(rows, first, ATLAS_ID), second, ATLAS_ID)
+    return lifecycle.link_project(rows, second, None).select("conversation_id", "primary_project_id")
+
+
 RULES = [
     rules.Rule("ssn", "quarantined", (r"\b\d{3}-\d{2}-\d{4}\b",), "regex"),
     rules.Rule("vendor", "private", ("VENDOR", "budget")),
@@ -768,6 +816,12 @@ def _(c: Corpus) -> DataFrame:
     return _weights(c)[0].withColumn("w", F.round("w", 6))
 
 
+@query("x19_dense", "SELECT conversation_id, round(coalesce(max(w) FILTER (term = 'redis'), 0), 4) AS redis, round(coalesce(max(w) FILTER (term = 'budget'), 0), 4) AS budget FROM tw GROUP BY 1", PRIVATE_TOO)
+def _(c: Corpus) -> DataFrame:
+    rows = vectors.dense(_weights(c)[0], "conversation_id", ["redis", "budget", "nosuchterm"])
+    return rows.select("conversation_id", *[F.round(F.col("embedding")[k].cast("double"), 4).alias(t) for k, t in enumerate(("redis", "budget"))])
+
+
 @query("a12_centroid", "SELECT cluster, term, round(w, 6) AS w FROM cen", PRIVATE_TOO)
 def _(c: Corpus) -> DataFrame:
     return cluster.centroids(*_weights(c)).withColumn("w", F.round("w", 6))
@@ -927,19 +981,16 @@ def _(c: Corpus) -> DataFrame:
     return index.without(c.base.where(number % 7 == 3).select("conversation_id")).postings.select("message_id", "len", "term", "tf")
 
 
-#: Conversations whose index is out of date at first.
-LATE = F.substring("conversation_id", 6, 6).cast("int") % 10 == 4
-
-
 def _state(c: Corpus) -> stored.SearchState:
     """A stored state that was built over some outdated texts and then brought up to date by a segment."""
-    outdated = lambda df, name: df.withColumn(name, F.when(LATE, F.lit("revisit the outdated budget")).otherwise(F.col(name)))
+    late = F.substring("conversation_id", 6, 6).cast("int") % 10 == 4  # their index is out of date at first
+    outdated = lambda df, name: df.withColumn(name, F.when(late, F.lit("revisit the outdated budget")).otherwise(F.col(name)))
     kept = stored.SearchState.build(c.conversations, c.messages, c.chunks)
     vocabulary = scratch.table(kept.vocabulary, "vocabulary")
     first = stored.SearchState.build(outdated(c.conversations, "title"), outdated(c.messages, "content_text"), c.chunks, vocabulary)
     store = Store(c.messages.sparkSession, scratch.new_path(c.messages.sparkSession, "state")).init()
     store.commit(first.tables())
-    ids = c.base.where(LATE).select("conversation_id")
+    ids = c.base.where(late).select("conversation_id")
     store.commit(stored.SearchState.load(store.tables()).change(c.conversations, c.messages, c.chunks, ids, 2))
     return stored.SearchState.load(store.tables())
 

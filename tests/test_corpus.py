@@ -1,5 +1,9 @@
 """Operators on small hand-made corpora, and invariants on the derived one."""
 
+import pathlib
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +187,10 @@ def test_stored_search_state_equals_scans_and_follows_changes(spark, tmp_path):
     assert rows(search.chunk_search(convs, said, chunks, "budget", state=now)) == rows(search.chunk_search(convs, said, chunks, "budget")) != []
     assert SearchState.load({}) is None and now.titles.search("?!").count() == 0
     assert now.without(convs).vectors.count() == 0
+
+
+def test_queries_are_listed_without_a_session():
+    """The registry is read before a session stands, so no module may build columns when it is imported."""
+    root = pathlib.Path(__file__).parents[1]
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stderr

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from colloquy import cli
 from colloquy.api import import_exports
 from colloquy.assist import ledger, runner, tasks
-from colloquy.operators import fts, rules, stored
+from colloquy.functions import text as X
+from colloquy.operators import fts, lifecycle, rules, stored
 from colloquy.operators.store import Store
 from colloquy.operators.stored import SearchState
-from colloquy.sources import exports, normalized
+from colloquy.sources import exports, normalized, sinks
 
 from test_sources import LIST, TREE
 
@@ -421,3 +422,60 @@ def test_the_cap_of_answers_holds_and_keeps_those_used_last(spark):
         if most >= 250:
             assert kept.where("last_used = 9").count() == 100
     assert ledger.evicted(cache.withColumn("last_used", F.lit(1.0)), 300).count() <= 300
+
+
+def test_groups_are_replaced_by_level(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/root").init()
+    ddl = "group_id string, level string, conversation_id string"
+    rows = lambda level, *ids: spark.createDataFrame([(f"{level}_{i}", level, i) for i in ids], ddl)
+    held = lambda: sorted((r.level, r.conversation_id) for r in s.read("groups").collect())
+    s.commit({"groups": rows("broad", "a", "b").unionByName(rows("fine", "a")).unionByName(spark.createDataFrame([("g", None, "z")], ddl)).where("level IS NOT NULL"), "other": spark.range(2)})
+    s.replace_parts("groups", "level", {"broad": rows("broad", "c")})
+    assert held() == [("broad", "c"), ("fine", "a")]
+    before = s.versions()
+    s.replace_parts("groups", "level", {"broad": rows("broad", "d", "e")})
+    after = s.versions()
+    assert held() == [("broad", "d"), ("broad", "e"), ("fine", "a")]
+    assert {n for n in after if after[n] != before[n]} == {"groups+broad"}
+    s.replace_parts("groups", "level", {"fine": rows("fine"), "broad": rows("broad", "f")})
+    assert held() == [("broad", "f")] and set(s.tables()) == {"groups", "other"}
+    with pytest.raises(ValueError):
+        s.replace_parts("groups", "level", {"fine": rows("broad", "x")})
+    with pytest.raises(ValueError):
+        s.replace_parts("groups", "level", {"../x": rows("../x", "x")})
+    s.commit({"groups": rows("fine", "y")})  # whole again
+    assert held() == [("fine", "y")] and set(s.versions()) == {"groups", "other"}
+    s.collect(grace=0)
+    assert held() == [("fine", "y")] and s.unnamed() == {}
+
+
+def test_a_part_keeps_rows_without_a_value(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/root").init()
+    s.commit({"t": spark.createDataFrame([("a", None), ("b", "x"), ("c", "y")], "id string, level string")})
+    s.replace_parts("t", "level", {"x": spark.createDataFrame([("d", "x", 1)], "id string, level string, extra int")})
+    assert sorted((r.id, r.level, r.extra) for r in s.read("t").collect()) == [("a", None, None), ("c", "y", None), ("d", "x", 1)]
+
+
+def test_deleted_rows_go_from_parts_too(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/root").init()
+    rows = spark.createDataFrame([("a", "x", "secretword"), ("b", "x", "plain")], "conversation_id string, level string, label string")
+    s.replace_parts("groups", "level", {"x": rows})
+    s.replace_parts("groups", "level", {"x": rows})
+    s.commit({"groups": s.read("groups").where("conversation_id <> 'a'")})
+    s.purge({"conversation_id": rows.where("conversation_id = 'a'").select("conversation_id")})
+    assert s.unnamed() == {} and s.read("groups").count() == 1
+
+
+def test_provenance_gives_way_per_conversation(spark):
+    objects = spark.createDataFrame([("o1",), ("o2",), ("o3",)], "object_id string")
+    link = lambda *rows: spark.createDataFrame(rows, "object_id string, conversation_id string")
+    old = link(("o1", "a"), ("o2", "a"), ("o2", "b"), ("o3", "a"))
+    ids = spark.createDataFrame([("a",), ("a",), ("c",)], "conversation_id string")
+    left, links = lifecycle.replace_provenance(objects, old, link(("o1", "a")), ids)
+    assert sorted(map(tuple, links.collect())) == [("o1", "a"), ("o2", "b")] and sorted(r.object_id for r in left.collect()) == ["o1", "o2"]
+
+
+def test_cut_texts_and_tables_say_so(spark):
+    assert X.shortened("  abc ", 3) == "abc" and X.shortened("abcd", 3) == "ab…" and X.shortened("ab cd", 4) == "ab…"
+    page = sinks.report({"t": spark.range(5)}, most=3)
+    assert "Only the first 3 of 5 rows" in page and "Only" not in sinks.report({"t": spark.range(3)}, most=3)
