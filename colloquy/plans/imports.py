@@ -133,7 +133,8 @@ def _deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = F.when(F.col("tree") % 2 == 0, name(last))
     json = F.to_json(F.struct(F.concat(F.lit("t"), F.col("tree")).alias("id"), F.lit("Deep").alias("title"), F.lit(1e9).alias("create_time"), current.alias("current_node"), mapping.alias("mapping")))
     path = scratch.new_path(spark, "deep")
-    trees.select(F.concat(F.lit("["), json, F.lit("]")).alias("value")).repartition(8).write.text(path)
+    # an export is one list, so a file holds one row: of a second list in it nothing would be read
+    trees.select(F.concat(F.lit("["), json, F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     messages = exports.parse_exports(exports.read_exports(spark, path, NAMES))[1]
     return messages.select("source_conversation_id", F.col("ordinal").cast("long").alias("ordinal"), "role", "content_text")
 

@@ -15,6 +15,7 @@ from colloquy.functions import text as X
 from colloquy.operators import fts, lifecycle, rules, stored
 from colloquy.operators.store import Store
 from colloquy.operators.stored import SearchState
+from colloquy.plans import imports
 from colloquy.sources import exports, normalized, sinks
 
 from test_sources import LIST, TREE
@@ -479,3 +480,13 @@ def test_cut_texts_and_tables_say_so(spark):
     assert X.shortened("  abc ", 3) == "abc" and X.shortened("abcd", 3) == "ab…" and X.shortened("ab cd", 4) == "ab…"
     page = sinks.report({"t": spark.range(5)}, most=3)
     assert "Only the first 3 of 5 rows" in page and "Only" not in sinks.report({"t": spark.range(3)}, most=3)
+
+
+def test_every_tree_is_read_where_there_are_more_than_files_were(spark, tmp_path):
+    """Two lists in one export file would be read as the first alone."""
+    n = imports.TREE_CONVERSATIONS
+    said = sorted((tree * n + c, turn, ("user", "assistant")[turn % 2], f"text {tree} {c} {turn}") for tree in range(20) for c in range(2) for turn in range(3))
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = imports.QUERIES["s05_tree_paths"](spark, str(tmp_path)).collect()
+    wanted = [(f"t{c // n}", c % n * 3 + turn, role, text) for c, turn, role, text in said]
+    assert sorted(map(tuple, found)) == sorted(wanted)
