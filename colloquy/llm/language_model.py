@@ -46,11 +46,15 @@ STEP_TOKENS = 8192
 BLOCK = 1 << 16
 FLUSH = 400_000
 CACHE = 600_000
+#: What gradients are multiplied by.
+PART = np.float32(0.05)
 
 
 def tokens_of(text: str | None) -> list[str]:
     """Words of a text with A-Z in lower case, then the end token."""
-    return [*words_of(lower_ascii(text or "")), END]
+    words = words_of(lower_ascii(text or ""))
+    words.append(END)
+    return words
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +280,7 @@ class Tokens:
     """Arrays over the tokens of some documents."""
 
     code: np.ndarray
+    place: np.ndarray  # hot words, then topics of cold ones, in one table
     lengths: np.ndarray  # tokens of each document
     klass: np.ndarray
     member: np.ndarray
@@ -295,7 +300,6 @@ def encode(coder: Coder, texts: list[list[str]]) -> Tokens:
     code = np.fromiter(map(coder.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(lengths.sum()))
     low = code.astype(np.int32)  # the lower half
     cold = low >= HOT
-    # hot words, then topics of cold ones, look their classes up in one table
     size = len(v.count)
     place = np.where(cold, low - (HOT - size), low)
     klass = np.concatenate([v.klass, v.heads + np.arange(TOPICS)]).astype(np.int32).take(place)
@@ -317,11 +321,11 @@ def encode(coder: Coder, texts: list[list[str]]) -> Tokens:
     repeated[begins] = False
     klass[repeated] = v.classes - 1
     features = np.stack([_hashed(one + 7, 0), _hashed(two + 77, 1), _hashed((one + 7) * 40503 + two * 69069 + 5, 2)]).T
-    return Tokens(code, lengths, klass, member, before, features, cold)
+    return Tokens(code, place, lengths, klass, member, before, features, cold)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row; rows are shifted by their largest entries only where float32 would overflow or vanish."""
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row and its sum; rows are shifted by their largest entries only where float32 would overflow or vanish."""
     ones = np.ones(x.shape[1], np.float32)
     with np.errstate(over="ignore"):
         e = np.exp(x)
@@ -330,10 +334,23 @@ def _softmax(x: np.ndarray) -> np.ndarray:
         x = x - x.max(axis=1, keepdims=True)
         e = np.exp(x)
         total = e @ ones
-    e *= (1 / total)[:, None]
+    return e, total
+
+
+def _errors(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Softmax of each row less 1 at its target, times the part of a step."""
+    e, total = _exponentials(x)
+    e *= (PART / total)[:, None]
+    e[np.arange(len(e)), target] -= PART
     return e
 
 
+def _log_softmax_at(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log10 of each row's softmax at its target."""
+    e, total = _exponentials(x)
+    return np.log10(e[np.arange(len(e)), target] * (1 / total) + 1e-12)
+
+
 def _scatter(rows: np.ndarray, grads: np.ndarray, few: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the sum of each one's gradients.
 
@@ -380,12 +397,11 @@ def log_probabilities(net: Net, t: Tokens, step: int = STEP_TOKENS) -> np.ndarra
     v, out = net.v, np.zeros(len(t.code))
     for at in range(0, len(out), step):
         s = slice(at, at + step)
-        p = _softmax(_class_weights(net, t, s))
-        out[s] = np.log10(p[np.arange(len(p)), t.klass[s]] + 1e-12)
+        out[s] = _log_softmax_at(_class_weights(net, t, s), t.klass[s])
         head = np.flatnonzero(t.klass[s] < v.heads)
         if len(head):
             _, x = _member_weights(net, t, s, head)
-            out[at + head] += np.log10(_softmax(x)[np.arange(len(head)), t.member[s][head]] + 1e-12)
+            out[at + head] += _log_softmax_at(x, t.member[s][head])
     return out
 
 
@@ -408,17 +424,13 @@ class Trainer:
 
     def update(self, t: Tokens, s: slice) -> None:
         net, v = self.net, self.net.v
-        g = _softmax(_class_weights(net, t, s))
-        g[np.arange(len(g)), t.klass[s]] -= 1
-        g *= np.float32(0.05)
+        g = _errors(_class_weights(net, t, s), t.klass[s])
         for f in t.features[s].T:
             self._move("rows", f, g)
         head = np.flatnonzero(t.klass[s] < v.heads)
         if len(head):
             row, x = _member_weights(net, t, s, head)
-            g = _softmax(x)
-            g[np.arange(len(head)), t.member[s][head]] -= 1
-            g *= np.float32(0.05)
+            g = _errors(x, t.member[s][head])
             self._move("inner", row.astype(np.uint16) if len(net.inner) <= 1 << 16 else row, g)
 
 
@@ -532,8 +544,7 @@ def _scorer(held):
             for group in _groups(texts):
                 t = encode(coder, group)
                 k = len(group)
-                low = t.code.astype(np.int32)
-                value = log_count.take(np.where(t.cold, low - (HOT - len(v.count)), low))
+                value = log_count.take(t.place)
                 repeat = t.klass == v.classes - 1
                 tail = np.flatnonzero((t.klass >= v.heads) & ~repeat)
                 logp = log_probabilities(net, t) if net else np.full(len(t.code), -np.log10(v.classes))
